@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from lodestone.llm.neardup import OP1_SQL, op1_near_duplicates
 from lodestone.llm.urlfilter import OP7_SQL, op7_url_filter
 
 QUERIES = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op7_url_filter": op7_url_filter,
 }
 ORACLE_SQL = {
+    "op1_near_duplicates": OP1_SQL,
     "op7_url_filter": OP7_SQL,
 }
