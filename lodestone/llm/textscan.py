@@ -142,3 +142,40 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int, lower: bool = True)
     keep[1:] = (sh[1:] != sh[:-1]) | (owner[1:] != owner[:-1])
     sh, owner = sh[keep], owner[keep]
     return sh, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=rows))])
+
+
+class Table:
+    """Finds 64-bit hashes among given distinct ones, by open addressing over numpy arrays."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(8, int(np.ceil(np.log2(3 * max(1, keys.size)))))
+        self.key, self.at = np.zeros(1 << self.bits, U), np.full(1 << self.bits, -1, np.int32)
+        mask, left = (1 << self.bits) - 1, np.arange(keys.size)
+        spot = (keys >> U(64 - self.bits)).astype(np.int64)
+        while left.size:
+            free = np.flatnonzero(self.at[spot[left]] < 0)
+            take, where = np.unique(spot[left][free], return_index=True)
+            won = left[free[where]]
+            self.key[take], self.at[take] = keys[won], won
+            left = np.setdiff1d(left, won, assume_unique=True)
+            spot[left] = (spot[left] + 1) & mask
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The index of each hash among the given ones, or -1."""
+        mask, spot = (1 << self.bits) - 1, (h >> U(64 - self.bits)).astype(np.int64)
+        out, left = np.full(h.size, -1, np.int32), np.arange(h.size)
+        while left.size:
+            at = self.at[spot]
+            same = (at >= 0) & (self.key[spot] == h[left])
+            out[left[same]] = at[same]
+            go = (at >= 0) & ~same
+            left, spot = left[go], (spot[go] + 1) & mask
+        return out
+
+
+def runs_hash(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of codes[start:end] for each run; codes are unsigned 64-bit, not 0."""
+    up, down = powers(codes.size + 1)
+    sums = np.zeros(codes.size + 1, U)
+    np.cumsum(codes * up[: codes.size], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start])
