@@ -173,20 +173,33 @@ def score_texts(model: dict, tables: dict, texts: list[str | None]) -> tuple[lis
     return [langs[b] if ok else "und" for b, ok in zip(best.tolist(), has.tolist(), strict=True)], sure
 
 
-def predict(docs: DataFrame, model: dict, columns: str = "doc_id long") -> DataFrame:
-    """Adds lang_pred and score to the columns named (kept as they are); ``docs`` needs them and text."""
-    names = [c.split()[0] for c in columns.split(", ")]
+def predict(docs: DataFrame, model: dict) -> DataFrame:
+    """doc_id, lang_pred and score of every row of ``docs`` (doc_id, text)."""
 
     def run(batches):
         tables = {k: Table(keys) for k, (keys, _) in model["kinds"].items()}
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column(1).to_pylist()
             for lo, hi in _slices(texts):
                 pred, sure = score_texts(model, tables, texts[lo:hi])
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in names), pa.array(pred, pa.string()), pa.array(sure)], [*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(pred, pa.string()), pa.array(sure)], ["doc_id", "lang_pred", "score"])
 
-    need = [*names, *(["text"] if "text" not in names else [])]
-    return docs.select(*need).mapInArrow(run, f"{columns}, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, model: dict, least: float) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose language is told with a score of at least ``least``."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        tables = {k: Table(keys) for k, (keys, _) in model["kinds"].items()}
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            for lo, hi in _slices(texts):
+                pred, sure = score_texts(model, tables, texts[lo:hi])
+                yield batch.slice(lo, hi - lo).filter(pa.array((sure >= least) & np.array([p != "und" for p in pred], bool)))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out(doc_id="doc_id"):
