@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from lodestone.llm.decontaminate import OP9_SQL, op9_decontamination
 from lodestone.llm.langid import op2_language_id
+from lodestone.llm.mainhtml import op10_main_text
+from lodestone.llm.maxscore import OP5_SQL, op5_top_k
 from lodestone.llm.neardup import OP1_SQL, op1_near_duplicates
 from lodestone.llm.packing import op6_packing
 from lodestone.llm.quality import op4_quality
@@ -13,13 +15,16 @@ QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_language_id": op2_language_id,
     "op4_quality": op4_quality,
+    "op5_top_k": op5_top_k,
     "op6_packing": op6_packing,
     "op7_url_filter": op7_url_filter,
     "op9_decontamination": op9_decontamination,
+    "op10_main_text": op10_main_text,
 }
 #: The others are models and programs that SQL can't express; tests hold them against brute force.
 ORACLE_SQL = {
     "op1_near_duplicates": OP1_SQL,
+    "op5_top_k": OP5_SQL,
     "op7_url_filter": OP7_SQL,
     "op9_decontamination": OP9_SQL,
 }
