@@ -6,8 +6,8 @@ equal fingerprints are one class, held together by an equi-join; only a class's
 smallest doc_id, its representative, goes on. Representatives that share a band
 key are candidates. A bucket of any size is first tried as a star around its
 smallest member, and only buckets that then still span several groups are tried
-pair by pair (pairs whose set sizes alone rule the similarity out left aside),
-so a large group of near copies costs rows in proportion to its size. Every
+pair by pair, pairs left aside whose set sizes or numbers of shingles shared with
+any other such document already rule the similarity out; so a large group of near copies costs rows in proportion to its size. Every
 link is confirmed on both full shingle sets. Groups come from repeated
 min-label passes with pointer jumping over written tables.
 
@@ -175,6 +175,30 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def linkable(rest: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``rest`` with ``shared``, less the documents that can't link with any other of it.
+
+    ``shared`` counts a document's shingles that another document of ``rest`` has
+    too: no intersection is larger, which rules out most near copies that each
+    differ from their source in too many places of their own.
+    """
+
+    def run(batches):
+        for batch in batches:
+            buf, offs = text_bytes(batch.column(1))
+            for lo, hi in pieces(offs):
+                part = offs[lo : hi + 1]
+                sets, begin = shingle_sets(buf[part[0] : part[-1]], part - part[0], k)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(sets.view(np.int64)))], ["doc_id", "h"])
+
+    ids = rest.select("doc_id").distinct()
+    sets = written(texts.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, h array<long>"))
+    each = sets.select("doc_id", F.explode("h").alias("h"))
+    common = each.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("h")
+    shared = each.join(common, "h", "left_semi").groupBy("doc_id").agg(F.count("*").alias("shared"))
+    return written(rest.join(shared, "doc_id").where(den * F.col("shared") >= num * F.col("n")))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -197,11 +221,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     # Buckets that the stars left in several groups: their members of different groups are compared directly.
     marked = buckets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "hub", "doc_id", "n", F.coalesce("label", "doc_id").alias("label"))
     open_keys = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-    rest = written(marked.join(open_keys, "key"))
-    x = rest.select("key", "hub", F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"))
-    y = rest.select("key", F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"))
-    near_size = (F.col("an") * den >= F.col("bn") * num) & (F.col("bn") * den >= F.col("an") * num)
-    cross = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("al") != F.col("bl")) & (F.col("a") != F.col("hub")) & near_size).select("a", "b").distinct()
+    rest = linkable(written(marked.join(open_keys, "key")), texts, k, num, den)
+    x = rest.select("key", "hub", F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("shared").alias("sa"), F.col("label").alias("al"))
+    y = rest.select("key", F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("shared").alias("sb"), F.col("label").alias("bl"))
+    most = F.least("sa", "sb")  # of shingles in common
+    possible = den * most >= num * (F.col("an") + F.col("bn") - most)
+    cross = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("al") != F.col("bl")) & (F.col("a") != F.col("hub")) & possible).select("a", "b").distinct()
     more = written(confirmed(cross.join(stars, ["a", "b"], "left_anti"), texts, k, num, den))
     if more.limit(1).count():
         labels = components(links.unionByName(more))
@@ -211,6 +236,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def deduplicated(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs``, all columns, with one document of each group of near duplicates: the one of smallest doc_id.
+
+    Of repeated rows of one doc_id one stays. Rows with a null doc_id stay.
+    """
+    found = written(near_duplicates(docs, k, num, den))
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
+    left = docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
+    again = found.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again_id"))
+    if not again.limit(1).count():
+        return left
+    twice = docs["doc_id"].cast("long") == again["again_id"]
+    return left.join(again, twice, "left_anti").unionByName(left.join(again, twice, "left_semi").dropDuplicates(["doc_id"]))
+
+
 def op1_near_duplicates(spark, sf_dir):
     """All ``documents``: 4-word shingles, similarity 0.8."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4, num=80, den=100)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lodestone.llm.decontaminate import OP9_SQL, op9_decontamination
 from lodestone.llm.langid import op2_language_id
+from lodestone.llm.licenses import OP8_SQL, op8_license_scan
 from lodestone.llm.mainhtml import op10_main_text
 from lodestone.llm.maxscore import OP5_SQL, op5_top_k
 from lodestone.llm.neardup import OP1_SQL, op1_near_duplicates
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_top_k": op5_top_k,
     "op6_packing": op6_packing,
     "op7_url_filter": op7_url_filter,
+    "op8_license_scan": op8_license_scan,
     "op9_decontamination": op9_decontamination,
     "op10_main_text": op10_main_text,
 }
@@ -26,5 +28,6 @@ ORACLE_SQL = {
     "op1_near_duplicates": OP1_SQL,
     "op5_top_k": OP5_SQL,
     "op7_url_filter": OP7_SQL,
+    "op8_license_scan": OP8_SQL,
     "op9_decontamination": OP9_SQL,
 }
