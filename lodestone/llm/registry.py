@@ -11,10 +11,12 @@ from lodestone.llm.neardup import OP1_SQL, op1_near_duplicates
 from lodestone.llm.packing import op6_packing
 from lodestone.llm.quality import op4_quality
 from lodestone.llm.urlfilter import OP7_SQL, op7_url_filter
+from lodestone.llm.warc import OP3_SQL, op3_warc
 
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_language_id": op2_language_id,
+    "op3_warc": op3_warc,
     "op4_quality": op4_quality,
     "op5_top_k": op5_top_k,
     "op6_packing": op6_packing,
@@ -26,6 +28,7 @@ QUERIES = {
 #: The others are models and programs that SQL can't express; tests hold them against brute force.
 ORACLE_SQL = {
     "op1_near_duplicates": OP1_SQL,
+    "op3_warc": OP3_SQL,
     "op5_top_k": OP5_SQL,
     "op7_url_filter": OP7_SQL,
     "op8_license_scan": OP8_SQL,
