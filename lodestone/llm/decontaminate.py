@@ -17,8 +17,8 @@ At the threshold of 0.8 two fingerprints differ in 9.7 bits on average (deviatio
 2.9), and the radius of 19 leaves out fewer than one such pair in a thousand;
 closer pairs hardly ever.
 
-Only DataFrame operations run on the executors. Items with fewer than five words
-have their whole sequence as one shingle and match equal sequences of words.
+Only DataFrame operations run on the executors. An item with fewer than five words
+has its whole sequence as one shingle and matches only texts of just those words.
 
 Defined results: null or blank texts and items match nothing; rows with a null
 doc_id can't be named and are left out of ``matches`` but kept by ``clean``;

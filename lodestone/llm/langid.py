@@ -61,10 +61,11 @@ def scan(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 
 def grams(codes: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-grams of each word with its edges, and the word of each."""
-    many = np.maximum(0, end - start + 2 - n + 1)
+    """Hashes of the n-grams of each word with its edges (single characters without), and the word of each."""
+    edge = int(n > 1)
+    many = np.maximum(0, end - start + 2 * edge - n + 1)
     owner = np.repeat(np.arange(start.size), many)
-    at = np.arange(owner.size) - np.repeat(np.cumsum(many) - many, many) + (start - 1)[owner]
+    at = np.arange(owner.size) - np.repeat(np.cumsum(many) - many, many) + (start - edge)[owner]
     return runs_hash(codes, at, at + n) ^ SALT[n], owner
 
 

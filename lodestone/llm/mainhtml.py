@@ -149,6 +149,18 @@ def main_text(page: str | None, weights: dict | None = None) -> str:
     return text or _extract(page, w, False)
 
 
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """Bounds of the contiguous run of the largest sum, in one scan; empty if no sum is positive."""
+    best, found, here, lo = 0.0, (0, 0), 0.0, 0
+    for i, s in enumerate(scores):
+        if here <= 0:
+            here, lo = 0.0, i
+        here += s
+        if here > best:
+            best, found = here, (lo, i + 1)
+    return found
+
+
 def _extract(page: str, w: dict, cut: bool) -> str:
     runs: list[str] = []  # text of each item, "" for a tag; BREAK starts a block
     scores: list[float] = []
@@ -194,14 +206,8 @@ def _extract(page: str, w: dict, cut: bool) -> str:
             cost = max(own, 4 * tag_cost)
         runs.append("\0" if name in BLOCKS else " " if name in CELLS else "")
         scores.append(cost if name in BLOCKS else 0.25 * tag_cost)
-    best, best_lo, best_hi, here, lo = 0.0, 0, 0, 0.0, 0
-    for i, s in enumerate(scores):
-        if here <= 0:
-            here, lo = 0.0, i
-        here += s
-        if here > best:
-            best, best_lo, best_hi = here, lo, i + 1
-    blocks = "".join(runs[best_lo:best_hi]).split("\0")
+    lo, hi = best_region(scores)
+    blocks = "".join(runs[lo:hi]).split("\0")
     return "\n\n".join(b for b in (" ".join(_html.unescape(x).split()) for x in blocks) if b)
 
 

@@ -163,7 +163,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_grade: int = 3000) -> tuple[np.n
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], ["grade", "index"])
 
     # At most about GRADES * per_grade rows of two integers: small enough to send to every task.
-    found = docs.where(F.col("text").isNotNull()).join(F.broadcast(drawn), "doc_id").select("grade", "text").mapInArrow(run, "grade int, index array<int>").toArrow()
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
+    found = texts.join(F.broadcast(drawn), "doc_id").select("grade", "text").mapInArrow(run, "grade int, index array<int>").toArrow()
     if not found.num_rows:
         return None
     lists = found.column("index").combine_chunks()
