@@ -45,6 +45,7 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _CLASS = re.compile(r"(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+_UNSEEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
 _PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -59,13 +60,13 @@ _LINKS = "<ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li><li><a
 def _labelled() -> list[tuple[str, str, str]]:
     """Pages as (before, main text, after), in layouts of several kinds."""
     around = {
-        "nav": "menu navbar navigation breadcrumb breadcrumbs topbar toolbar pagination pager tabs toc",
+        "nav": "menu menubar navbar navigation breadcrumb breadcrumbs topbar toolbar pagination pager tabs toc",
         "header": "header masthead branding logo",
-        "footer": "footer copyright legal colophon",
-        "aside": "sidebar widget related recommended recommendations trending popular rail",
+        "footer": "footer contentinfo copyright legal colophon",
+        "aside": "sidebar complementary widget related recommended recommendations trending popular rail",
         "div": "ad ads advert adverts advertisement adsense advertising sponsor sponsored promo promotion banner sidebar related share sharing social "
         "comment comments commentlist respond reply replies disqus discussion cookie cookies consent gdpr notice notices notification alert warning popup modal overlay "
-        "newsletter subscribe subscription signup login register search breadcrumb menu navigation footer header tags metadata meta byline author teaser outbrain taboola",
+        "unseen newsletter subscribe subscription signup login register search breadcrumb menu navigation footer header tags metadata meta byline author teaser outbrain taboola",
         "section": "comments comment related sponsored newsletter promo recommended reactions feedback",
         "form": "form search newsletter contact login comment",
     }
@@ -89,8 +90,10 @@ LABELLED = _labelled()
 
 
 def _names(attrs: str) -> list[str]:
-    if "=" not in attrs:
+    if not attrs.strip("/ "):
         return []
+    if _UNSEEN.search(attrs):
+        return ["unseen"]
     return [p for v in _CLASS.findall(attrs) for p in _PART.findall(_CAMEL.sub(" ", v.strip("\"'")).lower())]
 
 
@@ -180,6 +183,8 @@ def _extract(page: str, w: dict, cut: bool) -> str:
             continue
         if name == "body":
             head = False
+        if junk == "p" and kind == "open" and name in BLOCKS:
+            junk = ""  # a paragraph ends where the next block begins
         if junk:
             if name == junk:
                 depth += 1 if kind == "open" else -1

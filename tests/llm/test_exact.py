@@ -255,7 +255,9 @@ def test_region_against_brute_force():
         assert sum(scores[lo:hi]) == max([0, *(sum(scores[a:b]) for a in range(len(scores)) for b in range(a, len(scores) + 1))])
 
 
-@pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("<p>", ""), ("<nav>only menu</nav>", "only menu"), ("<p>cut <a href='x", "cut"), ("<p>one &lt;two&gt; &am", "one <two> &am"), ("plain words only", "plain words only"), ("<script>x = 1;", ""), ("<!-- never closed <p>x</p>", ""), ("<p>a < b and c", "a < b and c")])
+@pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("<p>", ""), ("<nav>only menu</nav>", "only menu"), ("<p>cut <a href='x", "cut"), ("<p>one &lt;two&gt; &am", "one <two> &am"), ("plain words only", "plain words only"), ("<script>x = 1;", ""), ("<!-- never closed <p>x</p>", ""), ("<p>a < b and c", "a < b and c"),
+    ("<article><p>Text that stays here.<p class=ad>Buy it<p>More text that stays.</article>", "Text that stays here.\n\nMore text that stays."),
+    ("<article><p>Text that stays here.</p><div style='display: none'>not seen by anyone</div><div hidden>nor this</div></article>", "Text that stays here.")])
 def test_odd_pages(page, text):
     assert mainhtml.main_text(page) == text
 
