@@ -58,9 +58,9 @@ def vector_search_batch(df: DataFrame, queries: DataFrame, key: str, vector: str
     """
     from pyspark.sql import Window
 
-    packed = queries.select(F.pmod(F.xxhash64(key), F.lit(1 + queries.count() // broadcast_rows)).alias("block"), F.struct(F.col(key).alias("k"), F.col(vector).alias("v")).alias("q"))
-    blocks = packed.groupBy("block").agg(F.collect_list("q").alias("qs"))
     n = 1 + queries.count() // broadcast_rows
+    packed = queries.select(F.pmod(F.xxhash64(key), F.lit(n)).alias("block"), F.struct(F.col(key).alias("k"), F.col(vector).alias("v")).alias("q"))
+    blocks = packed.groupBy("block").agg(F.collect_list("q").alias("qs"))
     each = df.select(F.col(key), F.col(vector), F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")).alias("block")).join(blocks, "block")
     pairs = each.select(F.col(key), F.explode(F.transform("qs", lambda q: F.struct(q["k"].alias("query_key"), squared_l2(F.col(vector), q["v"]).alias("distance")))).alias("x")).select("x.query_key", key, "x.distance")
     w = Window.partitionBy("query_key").orderBy("distance", key)
