@@ -5,9 +5,9 @@ fingerprint of that set, and the keys of its signature's bands. Documents with
 equal fingerprints are one class, held together by an equi-join; only a class's
 smallest doc_id, its representative, goes on. Representatives that share a band
 key are candidates. A bucket of any size is first tried as a star around its
-smallest member, and only buckets that then still span several groups are tried
-pair by pair, pairs left aside whose set sizes or numbers of shingles shared with
-any other such document already rule the similarity out; so a large group of near copies costs rows in proportion to its size. Every
+smallest member. Members of buckets that then still span several groups are
+compared where they share rare enough shingles (see ``rare_pairs``), which loses
+no link. So a large group of near copies costs rows in proportion to its size. Every
 link is confirmed on both full shingle sets. Groups come from repeated
 min-label passes with pointer jumping over written tables.
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import written
+from lodestone.llm.shared import Scratch, written
 from lodestone.llm.textscan import U, mix, pieces, shingle_sets, text_bytes
 
 #: 36 bands of 6 ranks: a pair of similarity 0.8 shares no band with probability below 2e-5.
@@ -88,7 +88,7 @@ def signatures(sets: np.ndarray, begin: np.ndarray, m: int, most: int = 1 << 15)
     for lo, hi in _spans(begin, most):
         a, b = begin[lo], begin[hi]
         if hi - lo == 1 and b - a > 4 * most:
-            parts = [super_minhash(sets[x : x + most], np.array([0, min(most, b - x)]), m) for x in range(a, b, most)]
+            parts = [super_minhash(sets[x : min(x + most, b)], np.array([0, min(most, b - x)]), m) for x in range(a, b, most)]
             out.append(np.minimum.reduce(parts))
         else:
             out.append(super_minhash(sets[a:b], begin[lo : hi + 1] - a, m))
@@ -156,31 +156,34 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, tmp: Scratch) -> DataFrame:
     """node, label: the smallest node reachable from each node over the undirected edges (a, b).
 
     Each pass gives a node the smallest label around it and then the label of
     that label; only the number of changed labels reaches the driver.
     """
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    both = tmp.written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = tmp.written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node", "left").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         roots = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = written(step.join(roots, "label", "left").select("node", "was", F.coalesce(F.least("label", "up"), "label").alias("label")))
+        new = tmp.written(step.join(roots, "label", "left").select("node", "was", F.coalesce(F.least("label", "up"), "label").alias("label")))
         changed = new.where(F.col("was") != F.col("label")).limit(1).count()
         labels = new.select("node", "label")
         if not changed:
             return labels
 
 
-def linkable(rest: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """``rest`` with ``shared``, less the documents that can't link with any other of it.
+def rare_pairs(rest: DataFrame, texts: DataFrame, k: int, num: int, den: int, tmp: Scratch) -> DataFrame:
+    """Candidate pairs (a, b) of different groups among ``rest`` (doc_id, n, label): no link is left out.
 
-    ``shared`` counts a document's shingles that another document of ``rest`` has
-    too: no intersection is larger, which rules out most near copies that each
-    differ from their source in too many places of their own.
+    Shingles are put in one order, those of the fewest documents first. Two sets
+    of the similarity asked for share a shingle among the first
+    n - ceil(n * num / den) + 1 of each, and from the first such shingle on each has
+    as many left as they have in common at most. Near copies that differ from their
+    source in many places of their own thus meet few others, however many copies
+    there are; shingles that only one group has there are left out.
     """
 
     def run(batches):
@@ -191,17 +194,24 @@ def linkable(rest: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> D
                 sets, begin = shingle_sets(buf[part[0] : part[-1]], part - part[0], k)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(sets.view(np.int64)))], ["doc_id", "h"])
 
-    ids = rest.select("doc_id").distinct()
-    sets = written(texts.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, h array<long>"))
-    each = sets.select("doc_id", F.explode("h").alias("h"))
-    common = each.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("h")
-    shared = each.join(common, "h", "left_semi").groupBy("doc_id").agg(F.count("*").alias("shared"))
-    return written(rest.join(shared, "doc_id").where(den * F.col("shared") >= num * F.col("n")))
+    each = tmp.written(texts.join(rest, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, h array<long>")).select("doc_id", F.explode("h").alias("h"))
+    common = each.groupBy("h").agg(F.count("*").alias("df"))
+    ordered = each.join(common, "h").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s")).join(rest, "doc_id")
+    first = F.slice("s", 1, (F.col("n") - F.ceil(F.col("n") * num / den) + 1).cast("int"))
+    heads = tmp.written(ordered.select("doc_id", "n", "label", F.posexplode(first).alias("i", "x")).where("x.df > 1").select("doc_id", "n", "label", "i", F.col("x.h").alias("h")))
+    mixed = heads.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("h")
+    heads = heads.join(mixed, "h", "left_semi")
+    x = heads.select("h", F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"), F.col("i").alias("ai"))
+    y = heads.select("h", F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"), F.col("i").alias("bi"))
+    most = F.least(F.col("an") - F.col("ai"), F.col("bn") - F.col("bi"))
+    possible = den * most >= num * (F.col("an") + F.col("bn") - most)
+    return x.join(y, "h").where((F.col("a") < F.col("b")) & (F.col("al") != F.col("bl")) & possible).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    tmp = Scratch(docs.sparkSession)
     sk = written(sketch(docs, k, bands, rows))
     live = sk.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = live.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
@@ -210,26 +220,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     reps = sk.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "f1", "f2"], "left_semi")
     rows_ = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     hubs = rows_.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where(F.col("hub") != F.col("last")).select("key", "hub")
-    buckets = written(rows_.join(hubs, "key").select("key", "hub", "doc_id", "n").distinct())
+    buckets = tmp.written(rows_.join(hubs, "key").select("key", "hub", "doc_id", "n").distinct())
     stars = buckets.where(F.col("doc_id") != F.col("hub")).select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
 
     wanted = buckets.select("doc_id").distinct()
-    texts = written(docs.join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
-    links = written(confirmed(stars, texts, k, num, den))
-    labels = components(links)
+    texts = tmp.written(docs.join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
+    links = tmp.written(confirmed(stars, texts, k, num, den))
+    labels = components(links, tmp)
 
-    # Buckets that the stars left in several groups: their members of different groups are compared directly.
-    marked = buckets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "hub", "doc_id", "n", F.coalesce("label", "doc_id").alias("label"))
+    # Buckets that the stars left in several groups: their members of different groups are compared.
+    marked = buckets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("label", "doc_id").alias("label"))
     open_keys = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-    rest = linkable(written(marked.join(open_keys, "key")), texts, k, num, den)
-    x = rest.select("key", "hub", F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("shared").alias("sa"), F.col("label").alias("al"))
-    y = rest.select("key", F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("shared").alias("sb"), F.col("label").alias("bl"))
-    most = F.least("sa", "sb")  # of shingles in common
-    possible = den * most >= num * (F.col("an") + F.col("bn") - most)
-    cross = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("al") != F.col("bl")) & (F.col("a") != F.col("hub")) & possible).select("a", "b").distinct()
-    more = written(confirmed(cross.join(stars, ["a", "b"], "left_anti"), texts, k, num, den))
+    rest = tmp.written(marked.join(open_keys, "key").select("doc_id", "n", "label").distinct())
+    cross = rare_pairs(rest, texts, k, num, den, tmp)
+    more = tmp.written(confirmed(cross.join(stars, ["a", "b"], "left_anti"), texts, k, num, den))
     if more.limit(1).count():
-        labels = components(links.unionByName(more))
+        labels = components(links.unionByName(more), tmp)
+    labels = written(labels)
+    tmp.drop()
     out = sk.select("doc_id", "n_shingles", "f1", "f2").join(member, ["doc_id", "f1", "f2"], "left")
     out = out.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
     comp = F.coalesce("label", "rep", "doc_id")

@@ -53,3 +53,17 @@ def written(df: DataFrame, to: str | None = None) -> DataFrame:
     to = to or work_dir(spark)
     df.write.mode("overwrite").parquet(to)
     return spark.read.schema(df.schema).parquet(to)
+
+
+class Scratch:
+    """Intermediate tables of one call, dropped together once nothing reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.n = spark, work_dir(spark), 0
+
+    def written(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        return written(df, f"{self.path}/{self.n}")
+
+    def drop(self) -> None:
+        remove(self.spark, self.path)
