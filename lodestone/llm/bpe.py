@@ -12,6 +12,7 @@ chunk goes to the tokenizer itself.
 from __future__ import annotations
 
 import json
+import os
 from functools import lru_cache
 
 import numpy as np
@@ -72,6 +73,7 @@ class WordBPE:
     """Encodes columns of text; ``path`` names the vocabulary file."""
 
     def __init__(self, path: str, keep: int = 1 << 19):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the machine already
         from tokenizers import Tokenizer
 
         self.keep = keep

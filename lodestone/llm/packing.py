@@ -29,16 +29,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import word_bpe
-from lodestone.llm.textscan import pieces, text_bytes
+from lodestone.llm.textscan import distinct, pieces, text_bytes
 
 WIDTH, END_ID = 2048, 1
 #: Penalties of a cut, in ids of padding: at a sentence's end, a word's, anywhere.
-SENTENCE, WORD, INSIDE = 2, 8, 16
+SENTENCE, WORD, INSIDE = 2, 6, 16
 #: Stretches without a cut that are longer than this get word ends as cuts.
-STRETCH = 64
+STRETCH = 24
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _union(*parts: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    return distinct(np.concatenate(parts))
+
+
 def stream(enc, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ids of all rows with END_ID after each; ids per row; possible cuts and their penalties."""
     flat, n, per, stop = enc.encode(buf, offs)
@@ -49,14 +54,14 @@ def stream(enc, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     ids[np.arange(flat.size) + np.repeat(np.arange(rows), n)] = flat
     word = np.cumsum(per)
     word = word + np.searchsorted(np.cumsum(n), word, "left")
-    strong = np.union1d(ends, word[stop])
+    strong = _union(ends, word[stop])
     edges = np.concatenate([[0], strong])
     long = np.diff(edges) > STRETCH
     weak = word[long[np.minimum(np.searchsorted(strong, word, "left"), long.size - 1)]] if long.size else word[:0]
-    cuts = np.union1d(strong, weak)
+    cuts = _union(strong, weak)
     gaps = np.diff(np.concatenate([[0], cuts]))
     fill = [np.arange(c - g + 32, c, 32) for c, g in zip(cuts[gaps > STRETCH].tolist(), gaps[gaps > STRETCH].tolist(), strict=True)]
-    every = np.union1d(cuts, np.concatenate(fill)) if fill else cuts
+    every = _union(cuts, np.concatenate(fill)) if fill else cuts
     every = every[every > 0]
     cost = np.full(every.size, INSIDE, np.int64)
     cost[np.isin(every, word)] = WORD
@@ -71,22 +76,25 @@ def best_cuts(at: list[int], cost: list[int], width: int, last: bool) -> list[in
     Minimises the sum of width - length + cost over the windows. If not ``last``,
     the open window after the final cut returned costs nothing.
     """
-    pos, pen = [0, *at], [0, *cost]
-    f, came = [0] * len(pos), [0] * len(pos)
-    queue: deque[int] = deque()
-    for i in range(1, len(pos)):
-        j = i - 1
-        key = f[j] + pos[j]
-        while queue and f[queue[-1]] + pos[queue[-1]] >= key:
-            queue.pop()
-        queue.append(j)
-        while pos[i] - pos[queue[0]] > width:
-            queue.popleft()
-        j = queue[0]
-        f[i], came[i] = f[j] + pos[j] + pen[i] + width - pos[i], j
-    i = len(pos) - 1
-    if not last:
-        i = min((j for j in range(i, -1, -1) if pos[-1] - pos[j] <= width), key=lambda j: f[j])
+    pos = [0, *at]
+    n = len(at)
+    # g[i] = best cost up to cut i, plus its position: g[i] = min g[j] + cost + width over cuts j within the width.
+    g, came = [0] * (n + 1), [0] * (n + 1)
+    who, key = [0] * (n + 1), [0] * (n + 1)  # the queue: cuts with ascending g, from head on
+    head, tail, i = 0, 0, 0
+    for p, c in zip(at, cost, strict=True):
+        k = g[i]
+        while tail > head and key[tail - 1] >= k:
+            tail -= 1
+        who[tail], key[tail] = i, k
+        tail += 1
+        low = p - width
+        while pos[who[head]] < low:
+            head += 1
+        i += 1
+        came[i], g[i] = who[head], key[head] + c + width
+    if not last and n:
+        i = min((j for j in range(n, -1, -1) if pos[n] - pos[j] <= width), key=lambda j: g[j] - pos[j])
     out = []
     while i:
         out.append(pos[i])

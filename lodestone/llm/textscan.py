@@ -44,6 +44,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
+def distinct(a: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by sorting."""
+    a = np.sort(a)
+    keep = np.ones(a.size, bool)
+    keep[1:] = a[1:] != a[:-1]
+    return a[keep]
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and where each row begins in them; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
