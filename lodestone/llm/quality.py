@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.textscan import U, mix, pieces, powers, text_bytes, words
+from lodestone.llm.textscan import U, distinct, mix, pieces, powers, text_bytes, words
 
 BITS = 18
 GRADES = 3
@@ -58,8 +58,8 @@ def features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     np.cumsum(_CORE[buf] * up[: buf.size], out=sums[1:])
     core = h = mix((sums[end] - sums[begin]) * down[begin])
     key = (row.astype(np.int64) << BITS) | (h >> U(64 - BITS)).astype(np.int64)
-    key = np.unique(key[has])
-    distinct = np.bincount(key >> BITS, minlength=rows)
+    key = distinct(key[has])
+    different = np.bincount(key >> BITS, minlength=rows)
 
     def amount(mask: np.ndarray) -> np.ndarray:
         sums = np.concatenate([[0], np.cumsum(mask)])
@@ -86,14 +86,14 @@ def features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             at = np.flatnonzero((share > bound) & (total > 0))
             extra_row.append(at)
             extra.append(np.full(at.size, code * 8 + step, np.int64))
-    ratio = distinct / some
+    ratio = different / some
     for step, bound in enumerate((0.05, 0.15, 0.25, 0.35, 0.5)):
         at = np.flatnonzero((ratio < bound) & (total >= 40))
         extra_row.append(at)
         extra.append(np.full(at.size, 500 + step, np.int64))
     extra_row, extra = np.concatenate(extra_row), np.concatenate(extra)
     spot = (mix(extra.astype(U) * U(0x9E3779B97F4A7C15) + U(7)) >> U(64 - BITS)).astype(np.int64)
-    key = np.unique(np.concatenate([key, (extra_row << BITS) | spot]))
+    key = distinct(np.concatenate([key, (extra_row << BITS) | spot]))
     return (key & ((1 << BITS) - 1)).astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(key >> BITS, minlength=rows))])
 
 
