@@ -195,11 +195,11 @@ def rare_pairs(rest: DataFrame, texts: DataFrame, k: int, num: int, den: int, tm
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(sets.view(np.int64)))], ["doc_id", "h"])
 
     each = tmp.written(texts.join(rest, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, h array<long>")).select("doc_id", F.explode("h").alias("h"))
-    common = each.groupBy("h").agg(F.count("*").alias("df"))
+    common = tmp.written(each.groupBy("h").agg(F.count("*").alias("df")))  # as above: a popular shingle's rows can be split
     ordered = each.join(common, "h").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s")).join(rest, "doc_id")
     first = F.slice("s", 1, (F.col("n") - F.ceil(F.col("n") * num / den) + 1).cast("int"))
     heads = tmp.written(ordered.select("doc_id", "n", "label", F.posexplode(first).alias("i", "x")).where("x.df > 1").select("doc_id", "n", "label", "i", F.col("x.h").alias("h")))
-    mixed = heads.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("h")
+    mixed = tmp.written(heads.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("h"))
     heads = heads.join(mixed, "h", "left_semi")
     x = heads.select("h", F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"), F.col("i").alias("ai"))
     y = heads.select("h", F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"), F.col("i").alias("bi"))
@@ -214,12 +214,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     tmp = Scratch(docs.sparkSession)
     sk = written(sketch(docs, k, bands, rows))
     live = sk.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = live.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
+    # Written, so that the join back has two sides that adaptive execution can split where one set holds many documents.
+    classes = tmp.written(live.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")))
     member = written(live.select("doc_id", "f1", "f2").join(classes, ["f1", "f2"]).select("doc_id", "f1", "f2", "rep").distinct())
 
     reps = sk.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "f1", "f2"], "left_semi")
     rows_ = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     hubs = rows_.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where(F.col("hub") != F.col("last")).select("key", "hub")
+    hubs = tmp.written(hubs)
     buckets = tmp.written(rows_.join(hubs, "key").select("key", "hub", "doc_id", "n").distinct())
     stars = buckets.where(F.col("doc_id") != F.col("hub")).select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
 
