@@ -23,7 +23,8 @@ has its whole sequence as one shingle and matches only texts of just those words
 Defined results: null or blank texts and items match nothing; rows with a null
 doc_id can't be named and are left out of ``matches`` but kept by ``clean``;
 repeated rows of a document count once in ``matches``; repeated items match each
-by their own item_id. Extra columns are ignored by ``matches`` and kept by
+by their own item_id. Of windows of the same similarity one that holds a shingle
+where the item has it comes first, then the first and the longest. Extra columns are ignored by ``matches`` and kept by
 ``clean``.
 """
 
@@ -105,6 +106,31 @@ def weighted_common(a: Column, b: Column) -> Column:
     return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, d: acc + F.least(times(a, d), times(b, d)))
 
 
+def starts(at: Column, m: Column, k: int, num: int, den: int) -> Column:
+    """(w, start, take) of all windows that can reach num / den, of a text of ``m`` shingles.
+
+    ``at``: w, the words of an item, and ps, the sorted positions of shingles of
+    such items. A window of n shingles and an item of s need num * (n + s) / (num + den)
+    in common, n at least num / den * s. The windows whose first hit is ps[i] begin after
+    ps[i - 1], and those with enough hits late enough to hold ps[i + need - 1].
+    """
+    up = lambda a, b: F.floor((a + (b - 1)) / b).cast("int")
+    ps, size = at["ps"], F.greatest(at["w"] - (k - 1), F.lit(1))
+    least = up(num * size, den)
+
+    def first(p: Column, i: Column) -> Column:
+        far = F.get(ps, i + least - 1)
+        begin = F.greatest(F.when(i > 0, F.get(ps, i - 1)), far - size) + 1
+        return F.when(far - p < size, F.transform(F.sequence(begin, p), lambda b: F.struct(b.alias("start"), i.alias("i")))).otherwise(F.array())
+
+    def take(x: Column) -> Column:
+        return F.least(x["start"] + size, m) - F.greatest(x["start"], F.lit(0))
+
+    all_ = F.flatten(F.transform(ps, first))
+    able = F.filter(all_, lambda x: F.get(ps, x["i"] + up(num * (take(x) + size), num + den) - 1) < x["start"] + size)
+    return F.transform(able, lambda x: F.struct(at["w"].alias("w"), x["start"].alias("start"), take(x).alias("take")))
+
+
 def _sized(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
@@ -121,27 +147,28 @@ def matches(docs: DataFrame, benchmark: DataFrame, k: int = K, num: int = 80, de
     n = items.agg(F.sum(F.size("item_sh"))).first()[0] or 0
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    anchors = items.select("w", F.posexplode("item_sh").alias("o", "h")).distinct()
+    anchors = items.select("w", F.explode("item_sh").alias("h")).distinct()
     found = texts.select("doc_id", word_list(F.col("text")).alias("words")).select("doc_id", F.posexplode(shingles(F.col("words"), k)).alias("p", "h"))
-    hits = found.join(_sized(anchors, n, broadcast_rows), "h").select("doc_id", F.struct("w", (F.col("p") - F.col("o")).alias("start")).alias("at"))
-    wanted = written(hits.distinct().groupBy("doc_id").agg(F.collect_list("at").alias("at")))
-
-    held = texts.join(wanted, "doc_id").select("doc_id", "at", word_list(F.col("text")).alias("words")).select("doc_id", "at", F.size("words").alias("m"), shingles(F.col("words"), k).alias("sh"))
-    begin = lambda a: F.greatest(a["start"], F.lit(0))
-    end = lambda a, sh: F.least(a["start"] + F.greatest(a["w"] - (k - 1), F.lit(1)), F.size(sh))
-    cut = F.transform("at", lambda a: F.struct(a["w"].alias("w"), begin(a).alias("start"), F.slice(F.col("sh"), begin(a) + 1, F.greatest(end(a, F.col("sh")) - begin(a), F.lit(0))).alias("sh")))
-    windows = held.select("doc_id", F.explode(cut).alias("x")).select("doc_id", "x.*").where(F.size("sh") > 0)
+    hits = found.join(_sized(anchors, n, broadcast_rows), "h").groupBy("doc_id", "w").agg(F.array_sort(F.collect_set("p")).alias("ps"))
+    hits = hits.where(den * F.size("ps") >= num * F.greatest(F.col("w") - (k - 1), F.lit(1)))
+    wanted = written(hits.groupBy("doc_id").agg(F.collect_list(F.struct("w", "ps")).alias("at")))
+
+    held = texts.join(wanted, "doc_id").select("doc_id", F.explode("at").alias("at"), word_list(F.col("text")).alias("words")).select("doc_id", "at", shingles(F.col("words"), k).alias("sh"))
+    windows = held.select("doc_id", "sh", F.explode(starts(F.col("at"), F.size("sh"), k, num, den)).alias("x"))
+    begin = F.greatest(F.col("x.start"), F.lit(0))
+    windows = windows.select("doc_id", "x.w", begin.alias("start"), (begin - F.col("x.start")).alias("cut"), F.slice("sh", begin + 1, F.greatest(F.col("x.take"), F.lit(0))).alias("sh")).where(F.size("sh") > 0)
     windows = windows.withColumn("fp", simhash(F.col("sh")))
 
     rows = n * (radius + 1)
     index = items.select("item_id", "w", "item_sh", "item_fp", F.explode(blocks(F.col("item_fp"), radius)).alias("k")).select("item_id", "w", "item_sh", "item_fp", "k.b", "k.v")
-    probes = windows.select("*", F.explode(blocks(F.col("fp"), radius)).alias("k")).select("doc_id", "w", "start", "sh", "fp", "k.b", "k.v")
+    probes = windows.select("*", F.explode(blocks(F.col("fp"), radius)).alias("k")).select("doc_id", "w", "start", "cut", "sh", "fp", "k.b", "k.v")
     diff = F.col("fp").bitwiseXOR(F.col("item_fp"))
     near = probes.join(_sized(index, rows // 8, broadcast_rows), ["w", "b", "v"]).where((F.bit_count(diff) <= radius) & (F.col("b") == first_block(diff, radius)))
-    scored = near.select("doc_id", "item_id", "start", F.size("sh").alias("n"), F.size("item_sh").alias("m"), weighted_common(F.col("sh"), F.col("item_sh")).alias("c"))
+    aligned = F.exists(F.zip_with("sh", F.slice("item_sh", F.col("cut") + 1, F.size("sh")), lambda a, b: a == b), lambda same: same)
+    scored = near.select("doc_id", "item_id", "start", aligned.alias("aligned"), F.size("sh").alias("n"), F.size("item_sh").alias("m"), weighted_common(F.col("sh"), F.col("item_sh")).alias("c"))
     whole = F.col("n") + F.col("m") - F.col("c")
-    hit = scored.where(den * F.col("c") >= num * whole).select("doc_id", "item_id", "start", (F.col("n") + k - 1).alias("n_words"), (F.col("c") / whole).alias("similarity"))
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n_words")).alias("x")
+    hit = scored.where(den * F.col("c") >= num * whole).select("doc_id", "item_id", "start", "aligned", (F.col("n") + k - 1).alias("n_words"), (F.col("c") / whole).alias("similarity"))
+    best = F.max(F.struct("similarity", "aligned", (-F.col("start")).alias("back"), "n_words")).alias("x")
     return hit.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("x.back")).alias("start"), F.col("x.n_words").alias("n_words"), F.col("x.similarity").alias("similarity"))
 
 

@@ -101,6 +101,28 @@ def test_leaks_against_brute_force(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for i in [*(d for d, _ in docs if d not in {p[0] for p in got}), *([0] if 0 not in {p[0] for p in got} else []), None])
 
 
+def test_leaks_with_moved_parts(spark):
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(3, 7)))
+    items = [[word() for _ in range(n)] for n in (40, 50, 59, 59, 9, 15, 24)]
+    texts = []
+    for w in items:
+        half = len(w) // 2
+        for moved in (w[half:] + w[:half], w[12:] + w[:12], w[: half - 3] + w[half:] + w[half - 3 : half], w[:-2] + [word()] * 2, [word()] + w[1:]):
+            for lead, tail in ((30, 30), (0, 20), (20, 0), (0, 0)):
+                texts.append(" ".join([word() for _ in range(lead)] + moved + [word() for _ in range(tail)]))
+    items, docs = list(enumerate(" ".join(w) for w in items)), list(enumerate(texts))
+    got = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    best = {(d, i): leaked(t, x) for d, t in docs for i, x in items}
+    assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in got} == pytest.approx({p: s for p, s in best.items() if s >= 0.8 - 1e-9})
+    whole = dict(items)
+    for r in got:
+        w = counts(words(texts[r["doc_id"]])[r["start"] : r["start"] + r["n_words"]])
+        need = counts(words(whole[r["item_id"]]))
+        assert sum((w & need).values()) / sum((w | need).values()) == pytest.approx(r["similarity"])
+    assert any((r["doc_id"], r["item_id"]) == (20, 1) for r in got), "50 words, halves swapped"
+
+
 def test_blocks_hold_every_fingerprint_within_the_radius(spark):
     rnd = random.Random(2)
     masks = decontaminate.block_masks(19)
