@@ -5,7 +5,9 @@ rule or listed URL could fit it: each host suffix (of the label counts that the
 list has) with each path prefix (of the lengths that the list has). A blocked
 Bloom filter of the list's keys lets only possible hits through; those meet the
 list in an exact equi-join that removes the false positives. The longest rule
-wins; where no rule fits, a listed URL is blocked and any other allowed.
+wins; where no rule fits, a listed URL is blocked and any other allowed. For the
+list, but not for rules, hosts and paths of both sides are made canonical: without
+user, default port and trailing dots, an empty path as /.
 
 Null URLs and URLs without ``://`` have an empty host and path, fit nothing and
 are allowed. Repeated rows are judged alike and all returned. Columns other
@@ -33,6 +35,17 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return ascii_lower(host), path
 
 
+def canonical(host: Column, path: Column, scheme: Column | None = None) -> tuple[Column, Column]:
+    """Host without user, default port and trailing dots, and path with an empty one as /; without a scheme both default ports go."""
+    host = F.regexp_replace(ascii_lower(host), "(?s)^.*@", "")
+    bare = lambda ports: F.regexp_replace(host, rf":({ports})?\z", "")
+    if scheme is None:
+        host = bare("80|443")
+    else:
+        host = F.when(scheme == "http", bare("80")).when(scheme == "https", bare("443")).otherwise(bare(""))
+    return F.regexp_replace(host, r"\.+\z", ""), F.when(path == "", "/").otherwise(path)
+
+
 def _bits(h: Column, blocks: int) -> list[tuple[Column, Column]]:
     """Word index and mask of each probe of hash ``h``."""
     base = F.pmod(F.shiftrightunsigned(h, 45), F.lit(blocks)) * BLOCK_WORDS
@@ -71,40 +84,52 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col: str = "
     of all below them). Returns id, host, path, rule, verdict, listed.
     The list is broadcast only if it has at most ``broadcast_rows`` rows.
     """
+    list_host, list_path = canonical(F.col("host"), F.col("path"))
     keys = (
         rules.select("verdict", "host", "path", F.lit(True).alias("is_rule"))
-        .unionByName(listed.select(F.lit("block").alias("verdict"), "host", "path", F.lit(False).alias("is_rule")))
+        .unionByName(listed.select(F.lit("block").alias("verdict"), list_host.alias("host"), list_path.alias("path"), F.lit(False).alias("is_rule")))
         .where(F.col("host").isNotNull() & F.col("path").isNotNull())
         .select("verdict", "is_rule", F.concat("host", "path").alias("key"), F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("plen"))
         .dropDuplicates(["key", "is_rule"])
     )
     shape = keys.agg(F.count("*").alias("n"), F.array_sort(F.collect_set("labels")).alias("labels"), F.array_sort(F.collect_set("plen")).alias("plens")).first()
     host, path = split_url(F.col(url_col))
-    urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    scheme = ascii_lower(F.substring_index(F.coalesce(F.col(url_col), F.lit("")), "://", 1))
+    list_host, list_path = canonical(F.col("host"), F.col("path"), F.col("scheme"))
+    urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), scheme.alias("scheme"))
+    urls = urls.select("page_id", "host", "path", list_host.alias("list_host"), list_path.alias("list_path"))
+    url = ["host", "path", "list_host", "list_path"]
     if not shape["n"]:
         return urls.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"), F.lit(False).alias("listed"))
-    words = bloom(keys.select(F.xxhash64("key").alias("h")), "h", shape["n"])
-    suffixes = [F.when(F.size("parts") >= n, F.array_join(F.slice("parts", F.size("parts") - n + 1, n), ".")) for n in shape["labels"]]
-    cands = [F.when(F.length("path") >= p, F.concat(F.col(f"s{i}"), F.substring("path", 1, p))) for i in range(len(suffixes)) for p in shape["plens"]]
+    words = bloom(keys.select(F.xxhash64("key", "is_rule").alias("h")), "h", shape["n"])
+    suffix = lambda parts, n: F.when(F.size(parts) >= n, F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "."))
+    sides = [("parts", "path", "s", True), ("list_parts", "list_path", "t", False)]
+    suffixes = [suffix(parts, n).alias(f"{s}{i}") for parts, _, s, _ in sides for i, n in enumerate(shape["labels"])]
+    cands = [
+        F.struct(F.when(F.length(at) >= p, F.concat(F.col(f"{s}{i}"), F.substring(at, 1, p))).alias("key"), F.lit(is_rule).alias("is_rule"))
+        for _, at, s, is_rule in sides for i in range(len(shape["labels"])) for p in shape["plens"]
+    ]
     probes = (
-        urls.where(F.col("host") != "").select("host", "path").distinct()
+        urls.where(F.col("host") != "").select(*url).distinct()
         .withColumn("parts", F.split("host", r"\."))
-        .select("host", "path", *[s.alias(f"s{i}") for i, s in enumerate(suffixes)])
-        .select("host", "path", F.explode(F.array(*cands)).alias("key"))
+        .withColumn("list_parts", F.split("list_host", r"\."))
+        .select(*url, *suffixes)
+        .select(*url, F.explode(F.array(*cands)).alias("x"))
+        .select(*url, "x.key", "x.is_rule")
         .where(F.col("key").isNotNull())
-        .where(maybe(F.xxhash64("key"), words))
+        .where(maybe(F.xxhash64("key", "is_rule"), words))
     )
     table = F.broadcast(keys) if shape["n"] <= broadcast_rows else keys
     longest = F.struct(F.length("key"), "labels")
     best = (
-        probes.join(table.select("key", "is_rule", "labels", F.col("verdict").alias("says")), "key")
-        .groupBy("host", "path")
+        probes.join(table.select("key", "is_rule", "labels", F.col("verdict").alias("says")), ["key", "is_rule"])
+        .groupBy(*url)
         .agg(
             F.max(F.when(F.col("is_rule"), F.struct(longest, F.col("key").alias("rule"), "says"))).alias("best"),
             F.max(~F.col("is_rule")).alias("hit"),
         )
     )
-    return urls.join(best, ["host", "path"], "left").select(
+    return urls.join(best, url, "left").select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"),
         F.coalesce(F.col("best.says"), F.when(F.col("hit"), "block"), F.lit("allow")).alias("verdict"),
         F.coalesce("hit", F.lit(False)).alias("listed"),

@@ -199,6 +199,19 @@ def test_url_rules(spark):
     assert rows(urlfilter.judge(df, rules, listed, broadcast_rows=0)) == got
 
 
+def test_listed_urls_in_other_spellings(spark):
+    hit = ["http://cheap-pills.example.com", "http://cheap-pills.example.com?q=1", "http://cheap-pills.example.com#x", "HTTP://cheap-pills.example.com:80/en", "https://a@b@www.Cheap-Pills.example.com:443", "http://cheap-pills.example.com./en", "ftp://u:p@cheap-pills.example.com.:/x",
+           "http://dotted.net/a", "https://dotted.net:443/a/b"]
+    miss = ["http://cheap-pills.example.com:8080/", "http://cheap-pills.example.com:443/", "https://cheap-pills.example.com:80/", "http://cheap-pills.example.com@other.net/", "http://notcheap-pills.example.com/", "http://dotted.net", "http://dotted.net/b"]
+    df = spark.createDataFrame(list(enumerate(hit + miss)), "page_id long, url string")
+    rules = spark.createDataFrame([*urlfilter.RULES, ("allow", "net", "/b")], "verdict string, host string, path string")
+    listed = spark.createDataFrame([*urlfilter.LISTED, ("u@Dotted.NET.:80", "/a"), ("empty.example.com", "")], "host string, path string")
+    got = {r["page_id"]: (r["listed"], r["verdict"]) for r in urlfilter.judge(df, rules, listed).collect()}
+    assert got == {i: (i < len(hit), "block" if i < len(hit) else "allow") for i in range(len(hit + miss))}
+    rule = urlfilter.judge(spark.createDataFrame([(1, "http://x.org:80/"), (2, "http://x.org./"), (3, "http://x.org")], "page_id long, url string"), rules, listed)
+    assert rule.where("rule IS NOT NULL").isEmpty(), "rules take hosts and paths as written"
+
+
 def test_bloom_filter_passes_all_and_little_else(spark):
     from pyspark.sql import functions as F
 
