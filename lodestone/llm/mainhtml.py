@@ -1,8 +1,10 @@
 """Main text of web pages by the maximum-scoring contiguous region.
 
 A page is read as a row of tags and text runs. A word scores positive and a tag
-negative; words in links, and words under an element whose tag and class words
-tell of boilerplate, score negative too. The weights are log odds of being inside
+negative; words in links score negative too. An element whose tag, class and id
+words tell of boilerplate is cut out whole and costs the scan no more than its tag. One
+junk word is not enough for headings, beside a word of content, and inside an article
+or main for sections and where it is in an id only. The weights are log odds of being inside
 or outside the main text, counted over labelled pages (``LABELLED``, or any given
 to ``fit``). One linear scan finds the contiguous region of the largest score; its
 text, less the boilerplate elements within, is the result.
@@ -39,12 +41,14 @@ CELLS = {"td", "th", "br", "caption", "option"}
 #: Elements that can be boilerplate as a whole.
 CONTAINERS = set("aside blockquote dd details dialog div dl fieldset figure footer form header li menu nav ol p section span table tbody td tr ul center h2 h3 h4".split())
 
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(HIDDEN) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*(?:>|\Z)",
     re.S | re.I,
 )
-_CLASS = re.compile(r"(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+_CLASS = re.compile(r"(?:^|\s)(class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _UNSEEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
 _PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -90,11 +94,12 @@ LABELLED = _labelled()
 
 
 def _names(attrs: str) -> list[str]:
+    """Class words of an element; those of its id begin with #."""
     if not attrs.strip("/ "):
         return []
     if _UNSEEN.search(attrs):
         return ["unseen"]
-    return [p for v in _CLASS.findall(attrs) for p in _PART.findall(_CAMEL.sub(" ", v.strip("\"'")).lower())]
+    return ["#" * (k.lower() == "id") + p for k, v in _CLASS.findall(attrs) for p in _PART.findall(_CAMEL.sub(" ", v.strip("\"'")).lower())]
 
 
 def tokens(page: str):
@@ -124,7 +129,7 @@ def fit(pages: list[tuple[str, str, str]] = LABELLED, smooth: float = 1.0) -> di
                     linked = kind == "open"
                 if kind == "open":
                     to["<" + name] += 1
-                    for c in set(classes):
+                    for c in {c.lstrip("#") for c in classes}:
                         to["." + c] += 1
     total_in, total_out = sum(inside.values()), sum(outside.values())
     odds = {f: math.log((inside[f] + smooth) / (total_in + smooth)) - math.log((outside[f] + smooth) / (total_out + smooth)) for f in {*inside, *outside}}
@@ -164,6 +169,15 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return found
 
 
+def _told(name: str, classes: list[str], w: dict, article: bool) -> float:
+    """What the class words of an element say against it, 0 at most."""
+    words = {c.lstrip("#") for c in classes} - ({"header"} if article else set())
+    odds = {c: w.get("." + c, 0.0) for c in words}
+    junk = [c for c in words if odds[c] < JUNK]
+    weak = name in HEADINGS or max(odds.values(), default=0.0) > 0 or article and (name == "section" or not any(c in classes for c in junk))
+    return 0.0 if weak and len(junk) < 2 and "unseen" not in words else min(0.0, sum(odds.values()))
+
+
 def _extract(page: str, w: dict, cut: bool) -> str:
     runs: list[str] = []  # text of each item, "" for a tag; BREAK starts a block
     scores: list[float] = []
@@ -176,7 +190,7 @@ def _extract(page: str, w: dict, cut: bool) -> str:
             if head or not text:
                 continue
             runs.append("" if junk else text)
-            scores.append(-0.5 * word * n if junk else link * n if linked else word * n)
+            scores.append(0.0 if junk else link * n if linked else word * n)
             continue
         if name == "head":
             head = kind == "open"
@@ -201,7 +215,7 @@ def _extract(page: str, w: dict, cut: bool) -> str:
         if kind == "open":
             own = w.get("<" + name, tag_cost)
             if cut and name in CONTAINERS:
-                told = min(0.0, sum(w.get("." + c, 0.0) for c in set(classes) if c != "header" or not article))
+                told = _told(name, classes, w, article > 0)
                 base = 0.0 if name in ("div", "section", "span", "p", "li", "ul", "ol", "table", "figure") or name == "header" and article > 0 else own
                 if base + told < JUNK:
                     junk, depth = name, 1

@@ -282,6 +282,21 @@ def test_layouts(page):
     assert mainhtml.main_text(page) == TEXT
 
 
+KEPT = "<p>Words of the article that stay in its text.</p>"
+
+
+@pytest.mark.parametrize("part", ["<section id='discussion'>{}</section>", "<section class='discussion'>{}</section>", "<h2 id='legal-status'>Legal status of it</h2>{}", "<div id='related'>{}</div>", "<div class='content with-sidebar'>{}</div>"])
+def test_topical_words_cut_nothing(part):
+    page = f"<body><nav><a href='/'>Home</a></nav><article>{KEPT}{part.format(KEPT)}{KEPT}</article></body>"
+    assert mainhtml.main_text(page).count("Words of the article") == 3 and ("Legal status of it" in mainhtml.main_text(page)) == ("Legal" in part)
+
+
+def test_long_adverts_keep_the_lead():
+    lead, body = "lead " * 100, "body " * 300
+    page = f"<body><article><p>{lead}</p><div class='ad'>{'buy ' * 260}</div><p>{body}</p></article></body>"
+    assert mainhtml.main_text(page) == f"{lead.strip()}\n\n{body.strip()}"
+
+
 def test_region_against_brute_force():
     rnd = random.Random(8)
     for _ in range(200):
