@@ -26,6 +26,7 @@ An empty table gives an empty archive and index. Extra columns are ignored.
 from __future__ import annotations
 
 import bisect
+import hashlib
 import json
 import re
 import zlib
@@ -213,13 +214,16 @@ def _range(spark: SparkSession, path: str, offset: int, length: int) -> bytes:
         stream.close()
 
 
-READ = "path string, offset long, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+READ = "path string, offset long, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, stated string"
 
 
 def read_records(spark: SparkSession, archives: str, payload: bool = True) -> DataFrame:
-    """Every record of the archives with its path and offset, archive by archive in one pass each."""
+    """Every record of the archives with its path and offset, archive by archive in one pass each.
+
+    Digest and length are those of the payload read, null without one; ``stated`` is the header's digest.
+    """
     names = [x.split()[0] for x in READ.split(", ")]
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string())
 
     def made(rows):
         return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names)
@@ -230,6 +234,9 @@ def read_records(spark: SparkSession, archives: str, payload: bool = True) -> Da
                 data, at, rows, held = data.as_py(), 0, [], 0
                 while at < len(data):
                     record = content(data, at) | {"path": where, "offset": at}
+                    body, record["stated"] = record["payload"], record["payload_digest"]
+                    record["payload_bytes"] = None if body is None else len(body)
+                    record["payload_digest"] = None if body is None else hashlib.sha256(body).hexdigest()
                     if not payload and record["payload"] is not None:
                         record["payload"] = b""
                     rows.append(record)
@@ -245,7 +252,10 @@ def read_records(spark: SparkSession, archives: str, payload: bool = True) -> Da
 
 
 def read_back(spark: SparkSession, archives: str, index: str, payload: bool = True) -> DataFrame:
-    """Every record that the index lists, as found in its archive at the offset listed."""
+    """Every record that the index lists, as found in its archive at the offset listed.
+
+    Digest and length come from the payload read, for a revisit from its response's.
+    """
 
     def lines(batches):
         for batch in batches:
@@ -254,7 +264,12 @@ def read_back(spark: SparkSession, archives: str, index: str, payload: bool = Tr
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["path", "offset"])
 
     listed = spark.read.parquet(index).select("lines").mapInArrow(lines, "path string, offset long")
-    return read_records(spark, archives, payload).join(listed, ["path", "offset"]).drop("path", "offset")
+    found = read_records(spark, archives, payload).join(listed, ["path", "offset"]).drop("path", "offset")
+    said = read_records(spark, archives, False).where("payload IS NOT NULL AND page_id IS NOT NULL").groupBy(F.col("page_id").alias("refers_to"), "stated")
+    said = written(said.agg(F.min(F.struct("payload_bytes", "payload_digest")).alias("of")))
+    own = lambda c: F.coalesce(c, F.col(f"of.{c}")).alias(c)
+    names = [c for c in found.columns if c != "stated"]
+    return found.join(said, ["refers_to", "stated"], "left").select(*[own(c) if c in ("payload_bytes", "payload_digest") else c for c in names])
 
 
 def op3_warc(spark, sf_dir):

@@ -254,6 +254,20 @@ def test_archives_round_trip(spark):
     assert warc.lookup(spark, index, "http://nowhere.example/") == []
 
 
+def test_damaged_payloads_are_seen(spark):
+    from pathlib import Path
+
+    archives, index = work_dir(spark), work_dir(spark)
+    warc.write_archives(spark.createDataFrame([(1, "u", "a" * 120), (2, "v", "a" * 120), (3, "w", "b" * 120)], "page_id long, url string, html string"), archives)
+    warc.write_index(spark, archives, index)
+    for x in Path(archives.removeprefix("file:")).rglob("part-*"):
+        x.with_name(f".{x.name}.crc").unlink(missing_ok=True)
+        x.write_bytes(x.read_bytes().replace(b"a" * 120, b"a" * 119 + b"x"))
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = {r["page_id"]: (r["record_type"], r["payload_bytes"], r["payload_digest"]) for r in warc.read_back(spark, archives, index, payload=False).collect()}
+    assert got == {1: ("response", 120, sha("a" * 119 + "x")), 2: ("revisit", 120, sha("a" * 119 + "x")), 3: ("response", 120, sha("b" * 120))}
+
+
 def test_empty_archive(spark):
     archives, index = work_dir(spark), work_dir(spark)
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), archives)
