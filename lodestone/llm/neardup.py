@@ -2,9 +2,10 @@
 
 ``sketch`` reads each text once and gives the size of its shingle set, a 128-bit
 fingerprint of that set, and the keys of its signature's bands. Documents with
-equal fingerprints are one class, held together by an equi-join; only a class's
-smallest doc_id, its representative, goes on. Representatives that share a band
-key are candidates. A bucket of any size is first tried as a star around its
+equal fingerprints are one class; only its representative, the row of the smallest
+doc_id, goes on, and all members get its component in the end. Both steps deal a
+class by SALTS hashes of doc_id, so a class of any size is spread over the cluster.
+Representatives that share a band key are candidates. A bucket of any size is first tried as a star around its
 smallest member. Members of buckets that then still span several groups are
 compared where they share rare enough shingles (see ``rare_pairs``), which loses
 no link. So a large group of near copies costs rows in proportion to its size. Every
@@ -14,7 +15,7 @@ min-label passes with pointer jumping over written tables.
 Defined results: a null, empty or blank text has an empty set and links with
 nothing; a null doc_id links with nothing and is its own component (null).
 Repeated rows are all returned, in one component; rows of one doc_id with
-different texts count as one node, their links judged on the smallest text.
+different texts are linked with one another, and each text has its own links.
 Extra columns are ignored.
 """
 
@@ -30,6 +31,8 @@ from lodestone.llm.textscan import U, mix, pieces, shingle_sets, text_bytes
 
 #: 36 bands of 6 ranks: a pair of similarity 0.8 shares no band with probability below 2e-5.
 BANDS, ROWS = 36, 6
+#: Parts into which the members of a class of equal sets are dealt.
+SALTS = 1024
 GOLD = 0x9E3779B97F4A7C15
 
 
@@ -104,8 +107,9 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return acc
 
 
-def sketch(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, set fingerprint (f1, f2) and band keys of every document."""
+def sketch(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS, text: bool = False) -> DataFrame:
+    """doc_id, n_shingles, set fingerprint (f1, f2) and band keys of every document, and its text if asked for."""
+    names = ["doc_id", "n_shingles", "f1", "f2", "bands", *["text"] * text]
 
     def run(batches):
         for batch in batches:
@@ -123,9 +127,11 @@ def sketch(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> Dat
                 held = np.where(n > 0, bands, 0)
                 flat = pa.array(keys[has].ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(held)]).astype(np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(f1), pa.array(f2), lists], ["doc_id", "n_shingles", "f1", "f2", "bands"])
+                own = [batch.column(i).slice(lo, hi - lo) for i in range(1 + text)]
+                yield pa.RecordBatch.from_arrays([own[0], pa.array(n), pa.array(f1), pa.array(f2), lists, *own[1:]], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>")
+    schema = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>" + ", text string" * text
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -199,13 +205,23 @@ def rare_pairs(rest: DataFrame, texts: DataFrame, k: int, num: int, den: int, tm
     ordered = each.join(common, "h").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s")).join(rest, "doc_id")
     first = F.slice("s", 1, (F.col("n") - F.ceil(F.col("n") * num / den) + 1).cast("int"))
     heads = tmp.written(ordered.select("doc_id", "n", "label", F.posexplode(first).alias("i", "x")).where("x.df > 1").select("doc_id", "n", "label", "i", F.col("x.h").alias("h")))
-    mixed = tmp.written(heads.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("h"))
-    heads = heads.join(mixed, "h", "left_semi")
-    x = heads.select("h", F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"), F.col("i").alias("ai"))
+    # A shingle's largest group meets only the documents of other groups, never itself.
+    groups = heads.groupBy("h", "label").agg(F.count("*").alias("c"))
+    mixed = groups.groupBy("h").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("g")).where("g > 1").select("h", "main")
+    heads = tmp.written(heads.join(tmp.written(mixed), "h"))
+    x = heads.where(F.col("label") != F.col("main")).select("h", F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"), F.col("i").alias("ai"))
     y = heads.select("h", F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"), F.col("i").alias("bi"))
     most = F.least(F.col("an") - F.col("ai"), F.col("bn") - F.col("bi"))
     possible = den * most >= num * (F.col("an") + F.col("bn") - most)
-    return x.join(y, "h").where((F.col("a") < F.col("b")) & (F.col("al") != F.col("bl")) & possible).select("a", "b").distinct()
+    return x.join(y, "h").where((F.col("al") != F.col("bl")) & possible).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _split_ids(sk: DataFrame, docs: DataFrame, odd: DataFrame, k: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """``sk`` and (node, text) of ``docs`` where the doc_ids in ``odd`` have a node of their own for each text."""
+    own = lambda df: df.withColumn("node", F.xxhash64("doc_id", "f1", "f2"))
+    nodes = sk.join(odd, "doc_id", "left_anti").withColumn("node", F.col("doc_id")).unionByName(own(sk.join(odd, "doc_id", "left_semi")))
+    told = own(sketch(docs.join(odd, "doc_id", "left_semi"), k, bands, rows, text=True)).select("node", "text")
+    return nodes, docs.join(odd, "doc_id", "left_anti").select(F.col("doc_id").alias("node"), "text").unionByName(told)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -214,20 +230,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     tmp = Scratch(docs.sparkSession)
     sk = written(sketch(docs, k, bands, rows))
     live = sk.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    # Written, so that the join back has two sides that adaptive execution can split where one set holds many documents.
-    classes = tmp.written(live.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")))
-    member = written(live.select("doc_id", "f1", "f2").join(classes, ["f1", "f2"]).select("doc_id", "f1", "f2", "rep").distinct())
-
-    reps = sk.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "f1", "f2"], "left_semi")
-    rows_ = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    # A doc_id is one node, unless it has several sets: then each is one, and all are linked.
+    several = F.min(F.struct("f1", "f2")) != F.max(F.struct("f1", "f2"))
+    odd = tmp.written(live.groupBy("doc_id").agg(several.alias("several")).where("several").select("doc_id"))
+    split = bool(odd.limit(1).count())
+    nodes, of_node = _split_ids(live, docs, odd, k, bands, rows) if split else (live.withColumn("node", F.col("doc_id")), docs.withColumnRenamed("doc_id", "node"))
+
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
+    parts = nodes.groupBy("f1", "f2", salt.alias("salt")).agg(F.min("doc_id").alias("low"), F.min_by("node", "doc_id").alias("rep"))
+    classes = written(parts.groupBy("f1", "f2").agg(F.min_by("rep", "low").alias("rep"), F.min("low").alias("low"), F.collect_set("salt").alias("salts")))
+
+    reps = nodes.join(classes.select("f1", "f2", F.col("rep").alias("node")), ["node", "f1", "f2"], "left_semi")
+    rows_ = reps.select(F.col("node").alias("doc_id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     hubs = rows_.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where(F.col("hub") != F.col("last")).select("key", "hub")
     hubs = tmp.written(hubs)
     buckets = tmp.written(rows_.join(hubs, "key").select("key", "hub", "doc_id", "n").distinct())
     stars = buckets.where(F.col("doc_id") != F.col("hub")).select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
 
-    wanted = buckets.select("doc_id").distinct()
-    texts = tmp.written(docs.join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
-    links = tmp.written(confirmed(stars, texts, k, num, den))
+    wanted = buckets.select(F.col("doc_id").alias("node")).distinct()
+    texts = tmp.written(of_node.join(wanted, "node").groupBy(F.col("node").alias("doc_id")).agg(F.min("text").alias("text")))
+    links = confirmed(stars, texts, k, num, den)
+    if split:
+        mine = nodes.join(odd, "doc_id", "left_semi").join(classes.select("f1", "f2", "rep"), ["f1", "f2"])
+        one = mine.groupBy("doc_id").agg(F.min("rep").alias("a"))
+        links = links.unionByName(mine.join(one, "doc_id").where(F.col("a") != F.col("rep")).select("a", F.col("rep").alias("b")).distinct())
+    links = tmp.written(links)
     labels = components(links, tmp)
 
     # Buckets that the stars left in several groups: their members of different groups are compared.
@@ -240,10 +267,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         labels = components(links.unionByName(more), tmp)
     labels = written(labels)
     tmp.drop()
-    out = sk.select("doc_id", "n_shingles", "f1", "f2").join(member, ["doc_id", "f1", "f2"], "left")
-    out = out.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
-    comp = F.coalesce("label", "rep", "doc_id")
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+    # A component is named by its smallest doc_id, which its label is, unless a doc_id has several nodes.
+    marked = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "salts", "low", F.coalesce("label", "rep").alias("label"))
+    if split:
+        least = marked.groupBy("label").agg(F.min("low").alias("name"))
+        marked = marked.join(least, "label").withColumn("label", F.col("name"))
+    of_class = marked.select("f1", "f2", F.explode("salts").alias("salt"), F.col("label").alias("component_id"))
+    found = live.select("doc_id", "n_shingles", "f1", "f2", salt.alias("salt")).join(of_class, ["f1", "f2", "salt"]).select("doc_id", "n_shingles", "component_id")
+    alone = sk.where((F.col("n_shingles") == 0) | F.col("doc_id").isNull())
+    out = found.unionByName(alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -89,6 +89,32 @@ def test_nulls_repeats_and_ties(spark):
     assert sorted(str(r["doc_id"]) for r in left.collect()) == ["1", "5", "9", "None"]
 
 
+def test_texts_of_one_doc_id_are_linked(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    near = b.replace("b7", "x")
+    rows = [(3, a), (5, a), (5, b), (9, b), (4, c), (4, d), (12, near), (20, d + " e"), (21, "lone text of some words"), (5, b.upper()), (8, None), (8, a)]
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, num=70).collect()}
+    assert got == {(3, 3, True), (5, 3, False), (9, 3, False), (12, 3, False), (8, 8, True), (8, 3, False), (4, 4, True), (20, 4, False), (21, 21, True)}
+
+
+def test_rare_pairs_leave_out_a_large_group(spark):
+    """A shingle that a large group and one outsider share meets only the outsider."""
+    rnd = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    docs = []
+    for _ in range(400):
+        w = list(base)
+        w[rnd.randrange(60)] = f"x{rnd.randrange(10**6)}"
+        docs.append((len(docs), " ".join(w)))
+    docs.append((1000, " ".join(base[:30] + [f"y{i}" for i in range(3)])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rest = df.selectExpr("doc_id", "CAST(size(split(text, ' ')) - 3 AS BIGINT) AS n", "CASE WHEN doc_id = 1000 THEN doc_id ELSE 0 END AS label")
+    pairs = neardup.rare_pairs(rest, df, 4, 20, 100, neardup.Scratch(spark)).collect()
+    sets = {i: shingles(t, 4) for i, t in docs}
+    linked = {(i, 1000) for i in range(400) if 100 * len(sets[i] & sets[1000]) >= 20 * len(sets[i] | sets[1000])}
+    assert linked and linked <= {(r["a"], r["b"]) for r in pairs} and all(r["b"] == 1000 for r in pairs)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(df).collect() == [] and deduplicated(df).collect() == []
