@@ -1,11 +1,12 @@
 """Benchmark decontamination: which documents hold a benchmark item's passage.
 
 Texts are reduced to words (lower-cased runs of letters and digits); an item of
-w words is compared with document windows of w words, cut off at a document's
-ends. Only windows aligned with an item are looked at: those in which some
-five-word shingle stands where it stands in that item. A window that shares no
-shingle so is no copy, so nothing with the similarity asked for is lost but
-passages whose every shingle has been moved.
+w words is compared with every document window of w words, windows cut off at a
+document's ends included. A window is fingerprinted unless it has too few of the
+shingles of items of its length, at whatever offset, to reach the threshold
+(``starts``); that count is a bound on what the two can have in common, so no
+window of the similarity asked for is left out, and passages with moved or
+inserted parts are found.
 
 Each window gets a 64-bit SimHash of its shingles, weighted by how often they
 occur. Windows meet items of the same length in a multi-index of Hamming blocks:
@@ -13,9 +14,8 @@ the fingerprints are cut into radius + 1 blocks, and two that differ in at most
 ``radius`` bits agree in one block at least, so no pair within the radius is
 missed. Candidates within the radius are then confirmed by the exact weighted
 Jaccard similarity, the sum of the smaller counts over the sum of the larger.
-At the threshold of 0.8 two fingerprints differ in 9.7 bits on average (deviation
-2.9), and the radius of 19 leaves out fewer than one such pair in a thousand;
-closer pairs hardly ever.
+At the threshold of 0.8 two fingerprints differ in about 9.7 bits on average (deviation
+2.9); tests count pairs beyond the radius of 23 among random ones at the threshold.
 
 Only DataFrame operations run on the executors. An item with fewer than five words
 has its whole sequence as one shingle and matches only texts of just those words.
@@ -23,9 +23,9 @@ has its whole sequence as one shingle and matches only texts of just those words
 Defined results: null or blank texts and items match nothing; rows with a null
 doc_id can't be named and are left out of ``matches`` but kept by ``clean``;
 repeated rows of a document count once in ``matches``; repeated items match each
-by their own item_id. Of windows of the same similarity one that holds a shingle
-where the item has it comes first, then the first and the longest. Extra columns are ignored by ``matches`` and kept by
-``clean``.
+by their own item_id. Of windows of the same similarity the first and then the longest
+comes first. An item of 2^21 shingles or more is refused. Extra columns are ignored by
+``matches`` and kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.shared import table, written
 
-K, RADIUS = 5, 19
+K, RADIUS = 5, 23
+#: Shingles of an item that the counters of ``simhash`` can take.
+MOST_SHINGLES = (1 << 21) - 1
 
 
 def word_list(text: Column) -> Column:
@@ -131,44 +133,47 @@ def starts(at: Column, m: Column, k: int, num: int, den: int) -> Column:
     return F.transform(able, lambda x: F.struct(at["w"].alias("w"), x["start"].alias("start"), take(x).alias("take")))
 
 
-def _sized(df: DataFrame, rows: int, most: int) -> DataFrame:
-    return F.broadcast(df) if rows <= most else df
+def sized(df: DataFrame, bytes_: int, most: int) -> DataFrame:
+    """``df`` to be sent to all tasks if its ``bytes_``, as counted, are at most ``most``."""
+    return F.broadcast(df) if bytes_ <= most else df
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, k: int = K, num: int = 80, den: int = 100, radius: int = RADIUS, broadcast_rows: int = 200_000) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, k: int = K, num: int = 80, den: int = 100, radius: int = RADIUS, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, item_id, start, n_words, similarity: for each document and item the best window that reaches num / den.
 
     ``docs``: doc_id, text; ``benchmark``: item_id, text. What comes from the
-    benchmark is broadcast only up to ``broadcast_rows`` rows, else shuffled.
+    benchmark is broadcast only up to ``broadcast_bytes``, else shuffled.
     """
     items = benchmark.select("item_id", word_list(F.col("text")).alias("words")).where(F.size("words") > 0)
     items = items.select("item_id", F.size("words").alias("w"), shingles(F.col("words"), k).alias("item_sh"))
     items = written(items.withColumn("item_fp", simhash(F.col("item_sh"))))
-    n = items.agg(F.sum(F.size("item_sh"))).first()[0] or 0
+    known = items.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("item_sh")), F.lit(0)).alias("n"), F.coalesce(F.max(F.size("item_sh")), F.lit(0)).alias("longest")).first()
+    if known["longest"] > MOST_SHINGLES:
+        raise ValueError(f"an item has {known['longest']} shingles; {MOST_SHINGLES} are the most")
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     anchors = items.select("w", F.explode("item_sh").alias("h")).distinct()
     found = texts.select("doc_id", word_list(F.col("text")).alias("words")).select("doc_id", F.posexplode(shingles(F.col("words"), k)).alias("p", "h"))
-    hits = found.join(_sized(anchors, n, broadcast_rows), "h").groupBy("doc_id", "w").agg(F.array_sort(F.collect_set("p")).alias("ps"))
+    hits = found.join(sized(anchors, 32 * known["n"], broadcast_bytes), "h").groupBy("doc_id", "w").agg(F.array_sort(F.collect_set("p")).alias("ps"))
     hits = hits.where(den * F.size("ps") >= num * F.greatest(F.col("w") - (k - 1), F.lit(1)))
     wanted = written(hits.groupBy("doc_id").agg(F.collect_list(F.struct("w", "ps")).alias("at")))
 
     held = texts.join(wanted, "doc_id").select("doc_id", F.explode("at").alias("at"), word_list(F.col("text")).alias("words")).select("doc_id", "at", shingles(F.col("words"), k).alias("sh"))
     windows = held.select("doc_id", "sh", F.explode(starts(F.col("at"), F.size("sh"), k, num, den)).alias("x"))
     begin = F.greatest(F.col("x.start"), F.lit(0))
-    windows = windows.select("doc_id", "x.w", begin.alias("start"), (begin - F.col("x.start")).alias("cut"), F.slice("sh", begin + 1, F.greatest(F.col("x.take"), F.lit(0))).alias("sh")).where(F.size("sh") > 0)
+    windows = windows.select("doc_id", "x.w", begin.alias("start"), F.slice("sh", begin + 1, F.greatest(F.col("x.take"), F.lit(0))).alias("sh")).where(F.size("sh") > 0)
     windows = windows.withColumn("fp", simhash(F.col("sh")))
 
-    rows = n * (radius + 1)
-    index = items.select("item_id", "w", "item_sh", "item_fp", F.explode(blocks(F.col("item_fp"), radius)).alias("k")).select("item_id", "w", "item_sh", "item_fp", "k.b", "k.v")
-    probes = windows.select("*", F.explode(blocks(F.col("fp"), radius)).alias("k")).select("doc_id", "w", "start", "cut", "sh", "fp", "k.b", "k.v")
+    index = items.select("item_id", "w", "item_fp", F.explode(blocks(F.col("item_fp"), radius)).alias("k")).select("item_id", "w", "item_fp", "k.b", "k.v").distinct()
+    probes = windows.select("*", F.explode(blocks(F.col("fp"), radius)).alias("k")).select("doc_id", "w", "start", "sh", "fp", "k.b", "k.v")
     diff = F.col("fp").bitwiseXOR(F.col("item_fp"))
-    near = probes.join(_sized(index, rows // 8, broadcast_rows), ["w", "b", "v"]).where((F.bit_count(diff) <= radius) & (F.col("b") == first_block(diff, radius)))
-    aligned = F.exists(F.zip_with("sh", F.slice("item_sh", F.col("cut") + 1, F.size("sh")), lambda a, b: a == b), lambda same: same)
-    scored = near.select("doc_id", "item_id", "start", aligned.alias("aligned"), F.size("sh").alias("n"), F.size("item_sh").alias("m"), weighted_common(F.col("sh"), F.col("item_sh")).alias("c"))
+    near = probes.join(sized(index, 64 * known["rows"] * (radius + 1), broadcast_bytes), ["w", "b", "v"]).where((F.bit_count(diff) <= radius) & (F.col("b") == first_block(diff, radius)))
+    full = items.select("item_id", "w", "item_fp", "item_sh").distinct()
+    both = near.select("doc_id", "item_id", "w", "item_fp", "start", "sh").join(sized(full, 64 * known["rows"] + 8 * known["n"], broadcast_bytes), ["item_id", "w", "item_fp"])
+    scored = both.select("doc_id", "item_id", "start", F.size("sh").alias("n"), F.size("item_sh").alias("m"), weighted_common(F.col("sh"), F.col("item_sh")).alias("c"))
     whole = F.col("n") + F.col("m") - F.col("c")
-    hit = scored.where(den * F.col("c") >= num * whole).select("doc_id", "item_id", "start", "aligned", (F.col("n") + k - 1).alias("n_words"), (F.col("c") / whole).alias("similarity"))
-    best = F.max(F.struct("similarity", "aligned", (-F.col("start")).alias("back"), "n_words")).alias("x")
+    hit = scored.where(den * F.col("c") >= num * whole).select("doc_id", "item_id", "start", (F.col("n") + k - 1).alias("n_words"), (F.col("c") / whole).alias("similarity"))
+    best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n_words")).alias("x")
     return hit.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("x.back")).alias("start"), F.col("x.n_words").alias("n_words"), F.col("x.similarity").alias("similarity"))
 
 
@@ -183,13 +188,14 @@ def op9_decontamination(spark, sf_dir):
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: Every window that shares a shingle with an item of its length, compared with that item.
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 i AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL),
-ds AS MATERIALIZED (SELECT doc_id, p, array_to_string(w[p + 1:p + 5], ' ') AS h FROM d, unnest(range(0, len(w) - 4)) AS t(p)),
-isx AS MATERIALIZED (SELECT item_id, p AS o, len(w) AS n, array_to_string(w[p + 1:p + 5], ' ') AS h FROM i, unnest(range(0, len(w) - 4)) AS t(p)),
-win AS MATERIALIZED (SELECT DISTINCT doc_id, item_id, n, p - o AS s FROM ds JOIN isx USING (h)),
-wc AS (SELECT win.doc_id, win.item_id, win.s, ds.h, count(*) AS c FROM win JOIN ds ON ds.doc_id = win.doc_id AND ds.p >= win.s AND ds.p < win.s + win.n - 4 GROUP BY ALL),
+ds AS MATERIALIZED (SELECT doc_id, p, array_to_string(w[p + 1:p + 5], ' ') AS h FROM d, unnest(range(0, CASE WHEN len(w) = 0 THEN 0 ELSE greatest(len(w) - 4, 1) END)) AS t(p)),
+isx AS MATERIALIZED (SELECT item_id, greatest(len(w) - 4, 1) AS size, array_to_string(w[p + 1:p + 5], ' ') AS h FROM i, unnest(range(0, CASE WHEN len(w) = 0 THEN 0 ELSE greatest(len(w) - 4, 1) END)) AS t(p)),
+win AS MATERIALIZED (SELECT DISTINCT doc_id, item_id, size, s FROM (SELECT DISTINCT doc_id, item_id, size, p FROM ds JOIN isx USING (h)), unnest(range(p - size + 1, p + 1)) AS t(s)),
+wc AS (SELECT win.doc_id, win.item_id, win.s, ds.h, count(*) AS c FROM win JOIN ds ON ds.doc_id = win.doc_id AND ds.p >= win.s AND ds.p < win.s + win.size GROUP BY ALL),
 ic AS (SELECT item_id, h, count(*) AS c FROM isx GROUP BY ALL),
 com AS (SELECT doc_id, item_id, s, sum(least(wc.c, ic.c)) AS c FROM wc JOIN ic USING (item_id, h) GROUP BY ALL),
 tot AS (SELECT doc_id, item_id, s, sum(c) AS n FROM wc GROUP BY ALL),

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.decontaminate import K, _sized, shingles, word_list
+from lodestone.llm.decontaminate import K, shingles, sized, word_list
 from lodestone.llm.shared import table, written
 
 BANDS, ROWS = 32, 2
@@ -65,21 +65,21 @@ def signature(sh: Column, bands: int = BANDS, rows: int = ROWS) -> Column:
     return F.array(*[F.struct(F.lit(b).alias("b"), F.xxhash64(*[least(b * rows + r) for r in range(rows)]).alias("v")) for b in range(bands)])
 
 
-def scan(docs: DataFrame, templates: DataFrame, num: int = 80, den: int = 100, k: int = K, broadcast_rows: int = 200_000) -> DataFrame:
+def scan(docs: DataFrame, templates: DataFrame, num: int = 80, den: int = 100, k: int = K, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, template_id, license, start, containment: the best window of each document and template that holds num / den of it.
 
     ``docs``: doc_id, text; ``templates``: template_id, license, text. What comes
-    from the templates is broadcast only up to ``broadcast_rows`` rows.
+    from the templates is broadcast only up to ``broadcast_bytes``.
     """
     known = templates.select("template_id", "license", word_list(F.col("text")).alias("words")).where(F.size("words") >= k)
     known = known.select("template_id", "license", F.array_distinct(shingles(F.col("words"), k)).alias("t_sh"), F.size("words").alias("w"))
     known = written(known.withColumn("size", size_class(F.col("w") - (k - 1))))
-    n = known.agg(F.sum(F.size("t_sh"))).first()[0] or 0
+    of = known.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("t_sh")), F.lit(0)).alias("n")).first()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     anchors = known.select("size", F.explode("t_sh").alias("h")).distinct()
     found = texts.select("doc_id", word_list(F.col("text")).alias("words")).where(F.size("words") >= k).select("doc_id", F.posexplode(shingles(F.col("words"), k)).alias("p", "h"))
-    hits = found.join(_sized(anchors, n, broadcast_rows), "h").select("doc_id", "p", "size", step_of(F.col("size")).alias("step"))
+    hits = found.join(sized(anchors, 32 * of["n"], broadcast_bytes), "h").select("doc_id", "p", "size", step_of(F.col("size")).alias("step"))
     # The windows around a hit begin at multiples of the step, at most size + step - 2 before it.
     first = F.greatest(F.ceil((F.col("p") - F.col("size") - F.col("step") + 2) / F.col("step")).cast("int"), F.lit(0))
     last = F.floor(F.col("p") / F.col("step")).cast("int")
@@ -90,10 +90,12 @@ def scan(docs: DataFrame, templates: DataFrame, num: int = 80, den: int = 100, k
     cut = F.transform("at", lambda a: F.struct(a["size"].alias("size"), a["start"].alias("start"), F.array_distinct(F.slice(F.col("sh"), a["start"] + 1, a["span"])).alias("sh")))
     windows = held.select("doc_id", F.explode(cut).alias("x")).select("doc_id", "x.*").where(F.size("sh") > 0)
 
-    index = known.select("template_id", "license", "size", "t_sh", F.explode(signature(F.col("t_sh"))).alias("k")).select("template_id", "license", "size", "t_sh", "k.b", "k.v")
+    index = known.select("template_id", "size", "w", F.explode(signature(F.col("t_sh"))).alias("k")).select("template_id", "size", "w", "k.b", "k.v").distinct()
     probes = windows.select("doc_id", "size", "start", "sh", F.explode(signature(F.col("sh"))).alias("k")).select("doc_id", "size", "start", "sh", "k.b", "k.v")
     shared = F.size(F.array_intersect("sh", "t_sh")) / F.size("t_sh")
-    near = probes.join(_sized(index, n * BANDS // 8, broadcast_rows), ["size", "b", "v"]).select("doc_id", "template_id", "license", "start", shared.alias("containment"))
+    near = probes.join(sized(index, 64 * BANDS * of["rows"], broadcast_bytes), ["size", "b", "v"])
+    full = known.select("template_id", "size", "w", "license", "t_sh")
+    near = near.join(sized(full, 128 * of["rows"] + 8 * of["n"], broadcast_bytes), ["template_id", "size", "w"]).select("doc_id", "template_id", "license", "start", shared.alias("containment"))
     hit = near.where(F.col("containment") * den >= num)
     best = F.max(F.struct("containment", (-F.col("start")).alias("back"))).alias("x")
     return hit.groupBy("doc_id", "template_id", "license").agg(best).select("doc_id", "template_id", "license", (-F.col("x.back")).alias("start"), F.col("x.containment").alias("containment"))
