@@ -3,7 +3,7 @@
 ``judge`` splits every URL into host and path and forms the keys under which a
 rule or listed URL could fit it: each host suffix (of the label counts that the
 list has) with each path prefix (of the lengths that the list has). A blocked
-Bloom filter of the list's keys lets only possible hits through; those meet the
+Bloom filter of the list's keys, a table with a row for each block, lets only possible hits through; those meet the
 list in an exact equi-join that removes the false positives. The longest rule
 wins; where no rule fits, a listed URL is blocked and any other allowed. For the
 list, but not for rules, hosts and paths of both sides are made canonical: without
@@ -16,6 +16,8 @@ than the id and the URL are ignored, whatever their names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,43 +48,48 @@ def canonical(host: Column, path: Column, scheme: Column | None = None) -> tuple
     return F.regexp_replace(host, r"\.+\z", ""), F.when(path == "", "/").otherwise(path)
 
 
-def _bits(h: Column, blocks: int) -> list[tuple[Column, Column]]:
-    """Word index and mask of each probe of hash ``h``."""
-    base = F.pmod(F.shiftrightunsigned(h, 45), F.lit(blocks)) * BLOCK_WORDS
+def block_of(h: Column, blocks: int) -> Column:
+    return F.pmod(F.shiftrightunsigned(h, 45), F.lit(blocks))
+
+
+def _bits(h: Column) -> list[tuple[Column, Column]]:
+    """Word index within its block and mask of each probe of hash ``h``."""
     spots = [F.shiftrightunsigned(h, 9 * i).bitwiseAND(F.lit(511).cast("long")) for i in range(PROBES)]
-    return [((base + F.shiftright(p, 6)).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), p.bitwiseAND(F.lit(63).cast("long")).cast("int"))) for p in spots]
+    return [(F.shiftright(p, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), p.bitwiseAND(F.lit(63).cast("long")).cast("int"))) for p in spots]
 
 
-def bloom(hashes: DataFrame, column: str, keys: int, bits_per_key: int = 16, max_bytes: int = 4 << 20) -> list[int]:
-    """The words of a blocked Bloom filter of ``column``, aggregated on the executors.
+def bloom_blocks(keys: int, bits_per_key: int = 16, max_bytes: int = 32 << 20) -> int:
+    """Number of blocks for ``keys`` keys, of ``max_bytes`` together at most.
 
-    The filter has at most ``max_bytes``; a longer list makes it less selective,
-    never wrong, since an exact join follows.
+    A longer list makes the filter less selective, never wrong, since an exact join follows.
     """
-    blocks = max(1, min(max_bytes // (8 * BLOCK_WORDS), -(-keys * bits_per_key // (64 * BLOCK_WORDS))))
-    spots = F.array(*[F.struct(w.alias("w"), m.alias("m")) for w, m in _bits(F.col(column), blocks)])
-    rows = hashes.select(F.explode(spots).alias("s")).groupBy("s.w").agg(F.bit_or("s.m").alias("m")).collect()
-    out = [0] * (blocks * BLOCK_WORDS)
-    for r in rows:
-        out[r["w"]] = r["m"]
-    return out
-
-
-def maybe(h: Column, filter_words: list[int]) -> Column:
-    """Whether the Bloom filter may hold hash ``h``."""
-    held = F.lit(filter_words).cast("array<bigint>")
+    return max(1, min(max_bytes // (8 * BLOCK_WORDS), -(-keys * bits_per_key // (64 * BLOCK_WORDS))))
+
+
+def bloom(hashes: DataFrame, column: str, blocks: int) -> DataFrame:
+    """A blocked Bloom filter of ``column`` as a table: a row (block, w0 .. w7) for each block that holds a key."""
+    word = [reduce(lambda a, b: a.bitwiseOR(b), [F.when(w == i, m).otherwise(F.lit(0).cast("long")) for w, m in _bits(F.col(column))]) for i in range(BLOCK_WORDS)]
+    each = hashes.select(block_of(F.col(column), blocks).alias("block"), *[w.alias(f"w{i}") for i, w in enumerate(word)])
+    return each.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(BLOCK_WORDS)])
+
+
+def maybe(df: DataFrame, h: Column, filter_: DataFrame, blocks: int, send: bool) -> DataFrame:
+    """The rows of ``df`` whose hash ``h`` the filter may hold; the filter is sent to all tasks or joined by block."""
+    held = F.broadcast(filter_) if send else filter_
+    both = df.withColumn("h", h).withColumn("block", block_of(F.col("h"), blocks)).join(held, "block")
     ok = F.lit(True)
-    for w, m in _bits(h, len(filter_words) // BLOCK_WORDS):
-        ok = ok & (F.get(held, w).bitwiseAND(m) != 0)
-    return ok
+    for w, m in _bits(F.col("h")):
+        ok = ok & (F.get(F.array(*[F.col(f"w{i}") for i in range(BLOCK_WORDS)]), w).bitwiseAND(m) != 0)
+    return both.where(ok).select(*df.columns)
 
 
-def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", broadcast_rows: int = 100_000) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", broadcast_bytes: int = 64 << 20) -> DataFrame:
     """Judges every row of ``pages``.
 
     ``rules``: verdict, host, path. ``listed``: host, path of blocked URLs (and
     of all below them). Returns id, host, path, rule, verdict, listed.
-    The list is broadcast only if it has at most ``broadcast_rows`` rows.
+    The filter, of 32 MB at most, and the list are each sent to all tasks only if they
+    take at most ``broadcast_bytes`` there; else they are joined by shuffles.
     """
     list_host, list_path = canonical(F.col("host"), F.col("path"))
     keys = (
@@ -92,7 +99,7 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col: str = "
         .select("verdict", "is_rule", F.concat("host", "path").alias("key"), F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("plen"))
         .dropDuplicates(["key", "is_rule"])
     )
-    shape = keys.agg(F.count("*").alias("n"), F.array_sort(F.collect_set("labels")).alias("labels"), F.array_sort(F.collect_set("plen")).alias("plens")).first()
+    shape = keys.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("key") + 64), F.lit(0)).alias("bytes"), F.array_sort(F.collect_set("labels")).alias("labels"), F.array_sort(F.collect_set("plen")).alias("plens")).first()
     host, path = split_url(F.col(url_col))
     scheme = ascii_lower(F.substring_index(F.coalesce(F.col(url_col), F.lit("")), "://", 1))
     list_host, list_path = canonical(F.col("host"), F.col("path"), F.col("scheme"))
@@ -101,7 +108,8 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col: str = "
     url = ["host", "path", "list_host", "list_path"]
     if not shape["n"]:
         return urls.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"), F.lit(False).alias("listed"))
-    words = bloom(keys.select(F.xxhash64("key", "is_rule").alias("h")), "h", shape["n"])
+    blocks = bloom_blocks(shape["n"])
+    filter_ = bloom(keys.select(F.xxhash64("key", "is_rule").alias("h")), "h", blocks)
     suffix = lambda parts, n: F.when(F.size(parts) >= n, F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "."))
     sides = [("parts", "path", "s", True), ("list_parts", "list_path", "t", False)]
     suffixes = [suffix(parts, n).alias(f"{s}{i}") for parts, _, s, _ in sides for i, n in enumerate(shape["labels"])]
@@ -117,9 +125,9 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col: str = "
         .select(*url, F.explode(F.array(*cands)).alias("x"))
         .select(*url, "x.key", "x.is_rule")
         .where(F.col("key").isNotNull())
-        .where(maybe(F.xxhash64("key", "is_rule"), words))
     )
-    table = F.broadcast(keys) if shape["n"] <= broadcast_rows else keys
+    probes = maybe(probes, F.xxhash64("key", "is_rule"), filter_, blocks, 128 * blocks <= broadcast_bytes)
+    table = F.broadcast(keys) if shape["bytes"] <= broadcast_bytes else keys
     longest = F.struct(F.length("key"), "labels")
     best = (
         probes.join(table.select("key", "is_rule", "labels", F.col("verdict").alias("says")), ["key", "is_rule"])
@@ -146,6 +154,8 @@ RULES = (
 )
 LISTED = (
     ("cheap-pills.example.com", "/"),
+    ("spam-farm.example.com", "/"),
+    ("spam-farm.example.net", "/"),
     ("spam-farm.example.org", "/"),
 )
 
@@ -163,13 +173,16 @@ WITH r(verdict, host, path, rule) AS (VALUES
   ('allow', 'org', '/', 'org/'), ('block', 'example.org', '/es/', 'example.org/es/'),
   ('block', 'example.org', '/en/1', 'example.org/en/1'), ('allow', 'com', '/fr/', 'com/fr/'),
   ('block', 'com', '/de/', 'com/de/')),
-l(host, path) AS (VALUES ('cheap-pills.example.com', '/'), ('spam-farm.example.org', '/')),
-a AS (SELECT page_id, row_number() OVER () AS n, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-b AS (SELECT n, page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM a),
-u AS (SELECT n, page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM b),
+l(host, path) AS (VALUES ('cheap-pills.example.com', '/'), ('spam-farm.example.com', '/'), ('spam-farm.example.net', '/'), ('spam-farm.example.org', '/')),
+a AS (SELECT page_id, row_number() OVER () AS n, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest,
+  translate(coalesce(regexp_extract(url, '^(.*?)://', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS scheme FROM pages),
+b AS (SELECT n, page_id, rest, scheme, regexp_extract(rest, '^[^/?#]*') AS raw FROM a),
+u AS (SELECT n, page_id, scheme, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM b),
+c AS (SELECT n, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), CASE scheme WHEN 'http' THEN ':(80)?$' WHEN 'https' THEN ':(443)?$' ELSE ':$' END, ''), '[.]+$', '') AS host,
+  CASE WHEN path = '' THEN '/' ELSE path END AS path FROM u WHERE host <> ''),
 m AS (SELECT u.n, max_by(r.rule, length(r.rule)) AS rule, max_by(r.verdict, length(r.rule)) AS verdict
       FROM u JOIN r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path) GROUP BY u.n),
-h AS (SELECT DISTINCT u.n FROM u JOIN l ON (u.host = l.host OR ends_with(u.host, '.' || l.host)) AND starts_with(u.path, l.path))
+h AS (SELECT DISTINCT c.n FROM c JOIN l ON (c.host = l.host OR ends_with(c.host, '.' || l.host)) AND starts_with(c.path, l.path))
 SELECT u.page_id, u.host, u.path, m.rule, coalesce(m.verdict, CASE WHEN h.n IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, h.n IS NOT NULL AS listed
 FROM u LEFT JOIN m USING (n) LEFT JOIN h USING (n)
 """

@@ -226,12 +226,12 @@ def test_url_rules(spark):
         host, path = "".join(c.lower() if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else c for c in raw), re.match(r"[^?#]*", rest[len(raw) :])[0]
         fits = lambda h, p, host=host, path=path: (host == h or host.endswith("." + h)) and path.startswith(p)
         best = max(((len(h + p), h + p, v) for v, h, p in urlfilter.RULES if fits(h, p)), default=None)
-        hit = any(fits(h, p) for h, p in urlfilter.LISTED)
+        hit = any(fits(h, p) for h, p in urlfilter.LISTED)  # listed hosts are tried in other spellings below
         want.append((i, host, path, best and best[1], best[2] if best else "block" if hit else "allow", hit))
     assert got == sorted(want, key=str)
     assert urlfilter.judge(df, rules.where("false"), listed.where("false")).where("verdict = 'block' OR rule IS NOT NULL").isEmpty()
     assert urlfilter.judge(df.where("false"), rules, listed).collect() == []
-    assert rows(urlfilter.judge(df, rules, listed, broadcast_rows=0)) == got
+    assert rows(urlfilter.judge(df, rules, listed, broadcast_bytes=0)) == got
 
 
 def test_listed_urls_in_other_spellings(spark):
@@ -250,11 +250,26 @@ def test_listed_urls_in_other_spellings(spark):
 def test_bloom_filter_passes_all_and_little_else(spark):
     from pyspark.sql import functions as F
 
-    keys = spark.range(3000).select(F.xxhash64("id").alias("h"))
-    held = urlfilter.bloom(keys, "h", 3000)
-    assert keys.where(~urlfilter.maybe(F.col("h"), held)).isEmpty()
-    other = spark.range(10_000, 30_000).select(F.xxhash64("id").alias("h"))
-    assert other.where(urlfilter.maybe(F.col("h"), held)).count() < 400
+    keys = spark.range(3000).select(F.xxhash64("id").alias("k"))
+    n = urlfilter.bloom_blocks(3000)
+    held = urlfilter.bloom(keys, "k", n)
+    other = spark.range(10_000, 30_000).select(F.xxhash64("id").alias("k"))
+    for send in (True, False):
+        assert urlfilter.maybe(keys, F.col("k"), held, n, send).count() == 3000
+        assert urlfilter.maybe(other, F.col("k"), held, n, send).count() < 400
+    assert urlfilter.bloom_blocks(10**9) * 64 <= 32 << 20
+
+
+def test_long_lists(spark):
+    """200,000 listed hosts, those of every third page among them."""
+    from pyspark.sql import functions as F
+
+    rules = spark.createDataFrame(list(urlfilter.RULES), "verdict string, host string, path string")
+    listed = spark.range(200_000).select(F.concat(F.lit("h"), (F.col("id") * 3).cast("string"), F.lit(".example.net")).alias("host"), F.lit("/").alias("path"))
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://www.h"), F.col("id").cast("string"), F.lit(".example.net:80/x")).alias("url"))
+    for limit in (64 << 20, 0):
+        got = urlfilter.judge(pages, rules, listed, broadcast_bytes=limit).groupBy("verdict", "listed").agg(F.count("*").alias("n"), F.max(F.col("page_id") % 3).alias("m")).collect()
+        assert sorted(tuple(r) for r in got) == [("allow", False, 2000, 2), ("block", True, 1000, 0)]
 
 
 # Archives
