@@ -10,9 +10,11 @@ bounds still let compete. Each shard gives its k best for each query, and these
 are merged. Scores are exact: sums are kept in a floating type only where its
 integers reach, else in 64-bit integers.
 
-Queries meet shards in blocks, by an equi-join on the block's number. Query
-blocks are sent to all tasks only if they take at most ``broadcast_bytes``; else
-blocks and groups of shards are shuffled, salted by group.
+Queries meet shards in blocks, by an equi-join. Query blocks are sent to all tasks
+only if they take at most ``broadcast_bytes``; else shards are dealt into groups, each
+shard moved once, and every group gets a copy of the queries, so what is shuffled are the
+vectors once and the queries once a group. Python gets shards in batches of at most
+BATCH_BYTES, whatever their number.
 
 Defined results: a null vector, or one with a null or non-finite component, and
 rows with a null id take no part; missing components of shorter vectors count as
@@ -23,6 +25,8 @@ count. Fewer than k candidates give all of them. Extra columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -35,6 +39,8 @@ from lodestone.llm.shared import written
 PROBE = 6
 #: Vectors traversed at a time, so that early ones raise the threshold for later ones.
 CHUNK = 4096
+#: Bytes of a batch of shards on the way to Python, where the session sets no limit of its own.
+BATCH_BYTES = 64 << 20
 BLOCK_SCHEMA = "block long, n int, dims int, ids binary, vals binary"
 
 
@@ -78,8 +84,12 @@ def blocks(vectors: DataFrame, rows: int) -> DataFrame:
     return vectors.select("vec_id", "v").mapInArrow(run, BLOCK_SCHEMA)
 
 
-def search_shard(ids: np.ndarray, v: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query id, vector id and score of each query's k best vectors of one shard, ties to smaller ids."""
+def search_shard(ids: np.ndarray, v: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, work: Counter | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query id, vector id and score of each query's k best vectors of one shard, ties to smaller ids.
+
+    ``work`` counts the values traversed in essential and probed in other terms.
+    """
+    work = Counter() if work is None else work
     dims = max(v.shape[1], q.shape[1])
     v, q = (np.pad(x, ((0, 0), (0, dims - x.shape[1]))) for x in (v, q))
     order = np.argsort(ids, kind="stable")  # ascending ids: a later vector must beat the threshold to enter
@@ -103,6 +113,7 @@ def search_shard(ids: np.ndarray, v: np.ndarray, qids: np.ndarray, q: np.ndarray
             essential = max(1, int(np.argmax(rest <= floor))) if full and (rest <= floor).any() else dims
             t = terms[:essential]
             score = query[t] @ columns[t, lo:hi]
+            work["essential"] += score.size * t.size
             live = np.flatnonzero(ids[lo:hi] != qid)
             while essential < dims:
                 live = live[score[live] + rest[essential] > floor]
@@ -110,6 +121,7 @@ def search_shard(ids: np.ndarray, v: np.ndarray, qids: np.ndarray, q: np.ndarray
                     break
                 t = terms[essential : essential + PROBE]
                 score[live] += query[t] @ columns[t[:, None], lo + live[None, :]]
+                work["probed"] += live.size * t.size
                 essential += t.size
             if full:
                 live = live[score[live] > floor]
@@ -134,19 +146,23 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     if not numbers:
         return shards.select(F.lit(0).cast("long").alias("query_id"), F.lit(1).alias("rank"), F.lit(0).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("score")).where("false")
     asked = asked.select(F.col("block").alias("q_block"), F.col("n").alias("q_n"), F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("vals").alias("q_vals"))
-    paired = shards.withColumn("q_block", F.explode(F.lit(numbers).cast("array<bigint>")))
+    spark = vectors.sparkSession
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if sum(r["size"] for r in known) <= broadcast_bytes:
-        both = paired.join(F.broadcast(asked), "q_block")
+        both = shards.withColumn("q_block", F.explode(F.lit(numbers).cast("array<bigint>"))).join(F.broadcast(asked), "q_block")
     else:
-        groups = 64
-        both = paired.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups))).join(asked.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>"))), ["q_block", "g"])
+        groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = shards.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups)))
+        both = dealt.join(asked.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>"))), "g")
 
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                v = np.frombuffer(r["vals"], np.int64).reshape(r["n"], r["dims"])
-                q = np.frombuffer(r["q_vals"], np.int64).reshape(r["q_n"], r["q_dims"])
-                found = search_shard(np.frombuffer(r["ids"], np.int64), v, np.frombuffer(r["q_ids"], np.int64), q, k)
+            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            ints = lambda name, i, col=col: np.frombuffer(col[name][i].as_buffer(), np.int64)
+            for i in range(batch.num_rows):
+                n, dims, q_n, q_dims = (col[c][i].as_py() for c in ("n", "dims", "q_n", "q_dims"))
+                found = search_shard(ints("ids", i), ints("vals", i).reshape(n, dims), ints("q_ids", i), ints("q_vals", i).reshape(q_n, q_dims), k)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
 
     found = both.select("n", "dims", "ids", "vals", "q_n", "q_dims", "q_ids", "q_vals").mapInArrow(run, "query_id long, vec_id long, score long")

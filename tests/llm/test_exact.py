@@ -36,6 +36,19 @@ def test_top_k(spark, scale):
     assert sorted(got) == sorted(want) and sorted(salted) == sorted(want)
 
 
+def test_top_k_of_long_tables(spark):
+    """10,000 vectors in one shard of three chunks, through Spark."""
+    rnd = np.random.default_rng(17)
+    x = np.floor(rnd.normal(size=(10_000, 8)) * np.geomspace(900, 2, 8)).astype(np.int64)
+    v = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "vec_id long, v array<bigint>").coalesce(1)
+    got = [tuple(r) for r in maxscore.top_k(v, v.where("vec_id % 500 = 0")).collect()]
+    want = []
+    for q in range(0, 10_000, 500):
+        s = x @ x[q]
+        want += [(q, n + 1, int(j), int(s[j])) for n, j in enumerate([j for j in np.lexsort((np.arange(10_000), -s)) if j != q][:5])]
+    assert sorted(got) == want
+
+
 def test_top_k_of_little(spark):
     v = spark.createDataFrame([(50, [1, 2]), (3, [4, 5])], "vec_id long, v array<bigint>")
     assert rows(maxscore.top_k(v, v.where("vec_id = 50"))) == [(50, 1, 3, 14)]
@@ -43,6 +56,28 @@ def test_top_k_of_little(spark):
     assert maxscore.top_k(v.where("false"), v).collect() == []
 
 
+@pytest.mark.parametrize("scale", [1.0, 300.0, 1e7])
+def test_pruning_changes_nothing(scale):
+    """Shards of many chunks, where most terms can't lift a vector any more; ties and equal vectors among them."""
+    from collections import Counter
+
+    rnd = np.random.default_rng(3)
+    v = np.floor(rnd.normal(size=(15_000, 24)) * scale * np.geomspace(20, 0.2, 24)).astype(np.int64)
+    v[9000:9050] = v[17]
+    ids = rnd.permutation(15_000)
+    q = np.concatenate([v[:20], np.zeros((1, 24), np.int64)])
+    qids = np.append(ids[:20], 50_000)
+    work = Counter()
+    got = maxscore.search_shard(ids, v, qids, q, 5, work)
+    want = []
+    for i, x in zip(qids, q, strict=True):
+        s = v @ x
+        best = [j for j in np.lexsort((ids, -s)) if ids[j] != i][:5]
+        want += [(i, ids[j], s[j]) for j in best]
+    assert sorted(zip(*(x.tolist() for x in got), strict=True)) == sorted(want)
+    assert work["probed"] > 0 and work["essential"] + work["probed"] < 0.8 * v.size * len(q)
+
+
 # Decontamination
 
 def words(t):
