@@ -16,10 +16,9 @@ records: each archive once from end to end, and of it what the index lists, by
 path and offset, so that bulk reading moves no archive to another task.
 
 Defined results: a null html is an empty payload; a null URL is an empty target;
-records of a null page_id are all ``response``, as nothing can name them; repeated
-rows of one page_id share the type of its smallest row: one record of that
-page_id and payload is the response and further ones are responses too, since a
-record can't revisit itself. CR and LF in URLs are percent-encoded in headers.
+a record of a null page_id revisits the response of its payload if some page_id has
+it, else it is a response; every row of the smallest page_id of a payload is a
+response, since a record can't revisit itself. CR and LF in URLs are percent-encoded in headers.
 An empty table gives an empty archive and index. Extra columns are ignored.
 """
 
@@ -54,7 +53,7 @@ def records(pages: DataFrame, least: int = LEAST) -> DataFrame:
     # knows their size and moves the pages only where there are too many of them to send to all tasks.
     first = base.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     both = base.join(written(first), "payload_digest", "left")
-    return both.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when((F.col("payload_bytes") >= least) & (F.col("page_id") != F.col("first_id")), F.col("first_id")).alias("refers_to"))
+    return both.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when((F.col("payload_bytes") >= least) & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
 
 
 def _urn(page_id):
@@ -78,14 +77,26 @@ def record_text():
     return F.concat(head, body)
 
 
-def write_archives(pages: DataFrame, path: str, archive_bytes: int = 16 << 20) -> None:
-    """Writes the records of ``pages`` as archives of about ``archive_bytes`` at most in ``path``.
+def write_archives(pages: DataFrame, path: str, archive_bytes: int = 16 << 20, most_bytes: int = 1 << 30) -> None:
+    """Writes the records of ``pages`` as archives of about ``archive_bytes`` in ``path``, never above ``most_bytes`` but for one record.
 
-    The bound is kept as a number of records, from the mean size of a page.
+    Spark bounds a file by its number of records, here from the mean size of a page.
+    Pages far above the mean go to archives of their own, with fewer records.
     """
-    mean = pages.agg(F.avg(F.octet_length(F.col("html").cast("string")))).first()[0] or 0
-    max_records = max(1, int(archive_bytes / (mean + 600)))
-    records(pages).select(record_text().alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", max_records).text(path)
+    size = F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0))
+    mean, longest = pages.agg(F.coalesce(F.avg(size), F.lit(0.0)), F.coalesce(F.max(size), F.lit(0))).first()
+    room = lambda a_page: a_page + 4096
+    records_ = max(1, int(archive_bytes / (mean + 600)))
+    limit = most_bytes // records_ - 4096
+    made = records(pages)
+
+    def write(df: DataFrame, most: int, mode: str) -> None:
+        df.select(record_text().alias("value")).write.mode(mode).option("lineSep", CRLF * 2).option("maxRecordsPerFile", most).text(path)
+
+    if longest <= limit:
+        return write(made, records_, "error")
+    write(made.where(F.col("payload_bytes") <= limit), records_, "error")
+    write(made.where(F.col("payload_bytes") > limit), max(1, most_bytes // room(longest)), "append")
 
 
 def parse(data: bytes, at: int) -> tuple[dict[str, str], int, int]:
@@ -283,7 +294,7 @@ def op3_warc(spark, sf_dir):
 OP3_SQL = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT payload_digest, min(page_id) AS first_id FROM p GROUP BY 1)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
 FROM p JOIN f USING (payload_digest)
 """

@@ -311,6 +311,7 @@ def test_long_lists(spark):
 
 PAGES = [
     (3, "http://b.example.com/x", "a" * 120), (1, "http://a.example.com/x?q=1", "a" * 120), (2, "http://a.example.com/", "a" * 99), (4, "https://A.example.com:443/", "a" * 99), (5, None, None), (6, "no scheme", ""),
+    (None, None, "c" * 200), (None, "http://n.org/2", "c" * 200), (11, "http://r.org/1", "a" * 120), (11, "http://r.org/2", "d" * 120), (11, "http://r.org/3", "d" * 120), (12, "http://r.org/", "d" * 120),
     (7, "http://x.org/\r\nEvil: 1", "break\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\n" * 9), (8, "http://x.org/100%25", "日本語" * 100), (8, "http://x.org/100%25", "日本語" * 100), (None, "http://n.org/", "a" * 120), (9, "http://x.org/é ü", "é" * 400_000),
 ]
 
@@ -318,7 +319,9 @@ PAGES = [
 def test_archives_round_trip(spark):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string").selectExpr("*", "1 AS n", "'x' AS value", "2 AS first_id").repartition(3)
     archives, index = work_dir(spark), work_dir(spark)
-    warc.write_archives(df, archives, archive_bytes=3000)
+    warc.write_archives(df, archives, archive_bytes=200_000, most_bytes=300_000)
+    sizes = [r["length"] for r in spark.read.format("binaryFile").load(archives).select("length").collect()]
+    assert sum(x > 300_000 for x in sizes) == 1, "only the archive of the one longer record"
     warc.write_index(spark, archives, index, block_lines=2)
     got = warc.read_back(spark, archives, index).collect()
     first = {}
@@ -327,7 +330,7 @@ def test_archives_round_trip(spark):
     want = []
     for i, u, h in PAGES:
         raw = (h or "").encode()
-        again = len(raw) >= 100 and i is not None and first[h] != i
+        again = len(raw) >= 100 and first.get(h, i) != i
         want.append((str(i), u or "", "revisit" if again else "response", len(raw), hashlib.sha256(raw).hexdigest(), first[h] if again else None, None if again else raw))
     assert sorted(str((str(r[0]), *r[1:6], None if r[6] is None else bytes(r[6]))) for r in got) == sorted(map(str, want))
     sparse = warc.directory(spark, index)
