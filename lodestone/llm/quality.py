@@ -101,38 +101,51 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def train(index: np.ndarray, begin: np.ndarray, grade: np.ndarray, least: int = 5, tell: float = 30.0, steps: int = 250, rate: float = 0.08, ridge: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ascending thresholds that maximise the (class-balanced) likelihood, by Adam."""
+def chosen(index: np.ndarray, begin: np.ndarray, grade: np.ndarray, least: int, tell: float) -> np.ndarray:
+    """Features of ``least`` texts or more that some grade has at another rate than its share of all features tells.
+
+    The rest is noise that would add up in long texts.
+    """
     row = np.repeat(np.arange(grade.size), np.diff(begin))
-    # Only features that some grade has at another rate than its share of all features tells; the rest is noise
-    # that would add up in long texts.
     df = np.bincount(index, minlength=1 << BITS)
     odd = np.zeros(1 << BITS)
     for k in range(GRADES):
         mine = (grade == k)[row]
-        expected = df * (np.count_nonzero(mine) / index.size)
+        expected = df * (np.count_nonzero(mine) / max(1, index.size))
         odd += (np.bincount(index[mine], minlength=1 << BITS) - expected) ** 2 / np.maximum(expected, 0.5)
-    seen = np.flatnonzero((df >= least) & (odd >= tell))
+    return np.flatnonzero((df >= least) & (odd >= tell))
+
+
+def loss(p: np.ndarray, row: np.ndarray, col: np.ndarray, grade: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+    """Class-balanced mean of -log P(grade) plus ridge / 2 * w.w, and its gradient.
+
+    ``p``: the weights w, the first threshold and the log of the gap to the second;
+    text row[i] has feature col[i].
+    """
+    w, t = p[:-2], np.array([p[-2], p[-2] + np.exp(p[-1])])
+    share = np.bincount(grade, minlength=GRADES) / grade.size
+    weight = 1 / (np.maximum(share, 1e-9)[grade] * np.count_nonzero(share)) / grade.size
+    s = np.bincount(row, weights=w[col], minlength=grade.size)
+    cut = np.concatenate([[-np.inf], t, [np.inf]])
+    hi, lo = _sigmoid(cut[grade + 1] - s), _sigmoid(cut[grade] - s)
+    q = np.maximum(hi - lo, 1e-12)
+    d_hi, d_lo = weight * hi * (1 - hi) / q, weight * lo * (1 - lo) / q
+    at = [d_lo[grade == k + 1].sum() - d_hi[grade == k].sum() for k in range(2)]
+    g = np.concatenate([np.bincount(col, weights=(d_hi - d_lo)[row], minlength=w.size) + ridge * w, [at[0] + at[1], at[1] * np.exp(p[-1])]])
+    return float(-(weight * np.log(q)).sum() + ridge / 2 * (w @ w)), g
+
+
+def train(index: np.ndarray, begin: np.ndarray, grade: np.ndarray, least: int = 5, tell: float = 30.0, steps: int = 250, rate: float = 0.08, ridge: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ascending thresholds of the least loss, by Adam."""
+    seen = chosen(index, begin, grade, least, tell)
     at = np.full(1 << BITS, -1, np.int64)
     at[seen] = np.arange(seen.size)
-    col, keep = at[index], at[index] >= 0
-    col, row = col[keep], row[keep]
-    share = np.bincount(grade, minlength=GRADES) / grade.size
-    weight = 1 / (np.maximum(share, 1e-9)[grade] * np.count_nonzero(share))
-    theta = np.array([-1.0, np.log(2.0)])  # first threshold, log of the gap
-    w = np.zeros(seen.size)
-    p = np.concatenate([w, theta])
+    col, row = at[index], np.repeat(np.arange(grade.size), np.diff(begin))
+    col, row = col[at[index] >= 0], row[at[index] >= 0]
+    p = np.concatenate([np.zeros(seen.size), [-1.0, np.log(2.0)]])
     m, v = np.zeros_like(p), np.zeros_like(p)
     for step in range(1, steps + 1):
-        w, t = p[:-2], np.array([p[-2], p[-2] + np.exp(p[-1])])
-        s = np.bincount(row, weights=w[col], minlength=grade.size)
-        cut = np.concatenate([[-np.inf], t, [np.inf]])
-        hi, lo = _sigmoid(cut[grade + 1] - s), _sigmoid(cut[grade] - s)
-        q = np.maximum(hi - lo, 1e-12)
-        d_hi, d_lo = hi * (1 - hi), lo * (1 - lo)
-        ds = weight * (d_hi - d_lo) / q / grade.size  # of the loss -log q by s
-        dt = [np.sum((-weight * d_hi / q)[grade == k]) / grade.size + np.sum((weight * d_lo / q)[grade == k + 1]) / grade.size for k in range(2)]
-        g = np.concatenate([np.bincount(col, weights=ds[row], minlength=seen.size) + ridge * w, [dt[0] + dt[1], dt[1] * np.exp(p[-1])]])
+        _, g = loss(p, row, col, grade, ridge)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     out = np.zeros(1 << BITS, np.float32)

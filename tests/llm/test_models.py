@@ -1,5 +1,7 @@
 """Language ID and the quality classifier: held-out accuracy and defined results."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -98,7 +100,31 @@ def test_quality_defined_results(spark):
 
 
 def test_likelihood_gradient_by_differences():
-    """Training raises the likelihood of ordered grades that a feature tells."""
+    """The gradient of the loss against differences of the loss itself, computed text by text."""
+    rnd = np.random.default_rng(1)
+    grade = rnd.integers(0, 3, 60)
+    lists = [rnd.choice(9, rnd.integers(0, 6), replace=False) for _ in grade]
+    row, col = np.repeat(np.arange(60), [len(x) for x in lists]), np.concatenate(lists).astype(np.int64)
+    p = rnd.normal(size=11)
+
+    def plain(p):
+        sig = lambda x: 1 / (1 + np.exp(-x))
+        t, total = [p[-2], p[-2] + np.exp(p[-1])], 0.0
+        for g, x in zip(grade, lists, strict=True):
+            s = p[x].sum()
+            below = [sig(t[0] - s), sig(t[1] - s), 1.0]
+            total -= np.log(below[g] - (below[g - 1] if g else 0.0)) / (np.mean(grade == g) * 3) / 60
+        return total + 0.01 / 2 * (p[:-2] @ p[:-2])
+
+    value, g = quality.loss(p, row, col, grade, 0.01)
+    assert abs(value - plain(p)) < 1e-9
+    for i in range(p.size):
+        step = np.zeros(p.size)
+        step[i] = 1e-5
+        assert abs((plain(p + step) - plain(p - step)) / 2e-5 - g[i]) < 1e-6
+
+
+def test_training_orders_grades():
     rnd = np.random.default_rng(1)
     grade = rnd.integers(0, 3, 300)
     index, begin = [], [0]
@@ -107,3 +133,61 @@ def test_likelihood_gradient_by_differences():
         begin.append(len(index))
     w, t = quality.train(np.array(index), np.array(begin), grade)
     assert w[10] < w[11] < w[12] and t[0] < t[1]
+
+
+def test_features_against_brute_force():
+    """Distinct words, shapes and shares of every text, by plain loops."""
+    texts = ["The cat, the CAT; sat!! on (the) mat", "", None, "a a a a", "WOW WOW buy now!!! 50% off $$$", "éa b-c b-c x3 3", "w " * 60, "one Two tHREE four!"]
+    import pyarrow as pa
+
+    from lodestone.llm.textscan import U, mix, powers, text_bytes
+
+    def spot(h):
+        return int(h >> U(64 - quality.BITS))
+
+    def word_code(w):
+        raw = w.encode()
+        begin = next(i for i, b in enumerate(raw) if quality._CORE[b])
+        up, acc = powers(len(raw) + 1)[0], 0
+        for i, b in enumerate(raw[begin:]):
+            acc = (acc + int(quality._CORE[b]) * int(up[i])) % 2**64
+        return spot(mix(np.array([acc], U))[0]), acc
+
+    def extra(code):
+        return spot(mix(np.array([code], U) * U(0x9E3779B97F4A7C15) + U(7))[0])
+
+    buf, offs = text_bytes(pa.array(texts, pa.string()))
+    index, begin = quality.features(buf, offs)
+    for i, t in enumerate(texts):
+        ws = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        has = [w for w in ws if any(c.isascii() and c.isalnum() or not c.isascii() for c in w)]
+        want = {word_code(w)[0] for w in has}
+        different = len(want)
+        alnum = lambda c: c.isascii() and c.isalnum() or not c.isascii()
+        caps = lambda w: sum(c.isascii() and c.isupper() for c in w)
+        shapes = {
+            1: [w for w in ws if caps(w) >= 2 and not any(c.isascii() and c.islower() for c in w)],
+            2: [w for w in ws if w not in has],
+            3: [w for w in ws if any(c.isascii() and c.isdigit() for c in w)],
+            **{10 + k: [w for w in ws if w[-1] == c] for k, c in enumerate("!*#%$&|~?;:")},
+            30: [w for w in ws if len(w) > 1 and not alnum(w[-1]) and not alnum(w[-2])],
+            31: [w for w in has if caps(w) > 1 and caps(w) < sum(len(c.encode()) for c in w if alnum(c))],
+            32: [b for a, b in zip(ws, ws[1:], strict=False) if (a in has, b in has) == (True, True) and word_code(a)[1] == word_code(b)[1] or a not in has and b not in has],
+        }
+        for code, found in shapes.items():
+            want |= {extra(code * 8 + step) for step, bound in enumerate((0.02, 0.1, 0.3, 0.6)) if ws and len(found) / len(ws) > bound}
+        if len(ws) >= 40:
+            want |= {extra(500 + step) for step, bound in enumerate((0.05, 0.15, 0.25, 0.35, 0.5)) if different / len(ws) < bound}
+        assert set(index[begin[i] : begin[i + 1]].tolist()) == want, t
+
+
+def test_probabilities_of_a_text_and_ties_at_the_cut(spark):
+    """P(grade > k) from the thresholds; a text whose probability equals the cut is selected; clashing label columns."""
+    w = np.zeros(1 << quality.BITS, np.float32)
+    model = (w, np.array([-1.0, 0.0]))
+    df = spark.createDataFrame([(1, "some words"), (2, ""), (1, "some words")], "doc_id long, text string").selectExpr("*", "1 AS quality", "0 AS toxic", "2 AS selected")
+    got = sorted((r["doc_id"], round(r["expected_grade"], 9), r["p_good"]) for r in quality.grade(df, model).collect())
+    assert got == [(1, round(0.5 + 1 / (1 + np.exp(-1.0)), 9), 0.5)] * 2 + [(2, 0.0, 0.0)]
+    assert [r["doc_id"] for r in quality.selected(df, model, 0.5).collect()] == [1, 1]
+    labels = spark.createDataFrame([(1, 1, 0, "x"), (2, 0, 1, "y")], "doc_id long, quality int, toxic int, text string")
+    assert quality.fit(df, labels) is not None
