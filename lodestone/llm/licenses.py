@@ -29,7 +29,7 @@ from lodestone.llm.shared import table, written
 
 BANDS, ROWS = 32, 2
 
-#: The notices that the query looks for (id, license, text).
+#: The license texts and notices that the query looks for (id, license, text).
 NOTICES = (
     ("mit-released", "MIT", "Released under the MIT License."),
     ("mit-licensed", "MIT", "This project is licensed under the MIT License."),
@@ -41,15 +41,35 @@ NOTICES = (
     ("bsd-conditions", "BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("cc-by-nc-4-line", "CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("cc-by-4-line", "CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-)
+    ("mit-text", "MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("isc-text", "ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("bsd-2-text", "BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("bsd-3-clause", "BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("zlib-text", "Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("unlicense-text", "Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."),
+    ("mpl-2-header", "MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    ("gpl-2-line", "GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("lgpl-header", "LGPL", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("agpl-header", "AGPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("gpl-warranty", "GPL", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("cc-by-sa-4-line", "CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by-nc-4-long-line", "CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("cc0-line", "CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+)
+
+
+
+def class_sizes(most: int = 1 << 20) -> list[int]:
+    """1 to 8, then each a quarter above the last, up to ``most`` at least."""
+    sizes = list(range(1, 9))
+    while sizes[-1] < most:
+        sizes.append(sizes[-1] + sizes[-1] // 4)
+    return sizes
 
 
 def size_class(n: Column) -> Column:
-    """The least class size of at least ``n`` shingles: 1 to 8, then each a quarter above the last."""
-    sizes = list(range(1, 9))
-    while sizes[-1] < 1 << 20:
-        sizes.append(sizes[-1] + sizes[-1] // 4)
-    return F.array_min(F.filter(F.lit(sizes).cast("array<int>"), lambda s: s >= n))
+    """The least class size of at least ``n`` shingles."""
+    return F.array_min(F.filter(F.lit(class_sizes()).cast("array<int>"), lambda s: s >= n))
 
 
 def step_of(size: Column) -> Column:
@@ -116,7 +136,7 @@ d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{M}\p
 t AS (SELECT template_id, license, list_filter(string_split_regex(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM n),
 ts AS MATERIALIZED (SELECT DISTINCT template_id, license, len(w) - 4 AS n, array_to_string(w[p + 1:p + 5], ' ') AS h FROM t, unnest(range(0, len(w) - 4)) AS x(p)),
 ds AS MATERIALIZED (SELECT doc_id, p, array_to_string(w[p + 1:p + 5], ' ') AS h FROM d, unnest(range(0, len(w) - 4)) AS x(p)),
-sizes AS (SELECT list_min(list_filter([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 18, 22, 27, 33, 41, 51, 63, 78, 97], lambda s: s >= m.n)) AS size, m.* FROM (SELECT template_id, any_value(n) AS n, count(*) AS total FROM ts GROUP BY 1) m),
+sizes AS (SELECT list_min(list_filter(""" + str(class_sizes(2000)) + r""", lambda s: s >= m.n)) AS size, m.* FROM (SELECT template_id, any_value(n) AS n, count(*) AS total FROM ts GROUP BY 1) m),
 hits AS (SELECT doc_id, p, ts.h, template_id, license, size, (size + 3) // 4 AS step, total FROM ds JOIN ts USING (h) JOIN sizes USING (template_id)),
 win AS (SELECT doc_id, template_id, license, total, i * step AS start, h FROM hits, unnest(range(greatest(CAST(ceil((p - size - step + 2) / step) AS BIGINT), 0), p // step + 1)) AS x(i)),
 c AS (SELECT doc_id, template_id, license, start, count(DISTINCT h) / any_value(total) AS containment FROM win GROUP BY ALL),
