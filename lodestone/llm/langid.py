@@ -189,7 +189,12 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: dict, least: float) -> DataFrame:
-    """The rows of ``docs``, with all columns, whose language is told with a score of at least ``least``."""
+    """The rows of ``docs``, with all columns, whose language is told with a score of at least ``least``.
+
+    A model that knows no language can't reject: then texts with a letter stay.
+    """
+    if not model["langs"]:
+        return docs.where(F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
     at = docs.columns.index("text")
 
     def run(batches):

@@ -25,12 +25,14 @@ def work_dir(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share.
 
     The cluster names that folder in ``spark.checkpoint.dir``; a private one is
-    made only where the setting is absent, as in tests. The path goes when the
-    JVM that made it ends.
+    made only where the setting is absent and the master is local, as in tests.
+    The path goes when the JVM that made it ends.
     """
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = getattr(work_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="lodestone-")
         work_dir.own = root
     path = f"{root.rstrip('/')}/lodestone-{uuid.uuid4().hex}"

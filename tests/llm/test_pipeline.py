@@ -43,6 +43,30 @@ def test_every_stage_on_its_predecessor(spark, sf_small):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf_small).collect()} == set(want)
 
 
+def test_nulls_repeats_and_clashing_columns(spark, sf_small):
+    """Null and repeated doc_ids and extra columns named like the operators' own pass through all stages."""
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    first = docs.first()
+    more = spark.createDataFrame([(None, first["text"], "en", "s", 1), (first["doc_id"], first["text"], "en", "s", 1), (10**9, None, None, None, None), (10**9 + 1, "", "en", "s", 0), (10**9 + 2, " \n", None, "s", 2)], docs.schema)
+    docs = docs.unionByName(more).selectExpr("*", "1 AS rep", "2 AS label", "3 AS grade", "4 AS bad_id", "5 AS gone_id", "6 AS item_id")
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf_small).cache()
+        assert docs.columns == names, name
+        if name == "language_id":
+            assert not ids(docs) & {10**9, 10**9 + 1, 10**9 + 2}
+    kept = [r["doc_id"] for r in docs.collect()]
+    assert len([i for i in kept if i is not None]) == len({i for i in kept if i is not None}) > 0
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf_small).collect()
+    assert {r["doc_id"] for r in pieces} == set(kept)
+
+
+def test_corpus_without_languages(spark, sf_small):
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet").limit(20).selectExpr("doc_id", "CASE WHEN doc_id % 5 = 0 THEN '12 !' ELSE text END AS text", "CAST(NULL AS STRING) AS lang", "source", "n_chars")
+    kept = corpus_pipeline.language_id(spark, docs, sf_small)
+    assert kept.columns == docs.columns and kept.count() == docs.where("doc_id % 5 <> 0").count()
+
+
 def test_empty_corpus(spark, sf_small):
     docs = spark.read.parquet(f"{sf_small}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
