@@ -6,15 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import all_of, lines, strip
-
-#: First words that name a statement's operation, and lower-case C names that are no services.
-OPERATIONS = "SELECT|INSERT|UPDATE|DELETE|DECLARE|OPEN|FETCH|CLOSE|COMMIT|ROLLBACK"
-SQLCA = r"SQLCA\.sqlcode\s*!=\s*0|SQLCA\.sqlcode\s*<\s*0|SQLCA\.sqlerrd"
-
+from lodestone.operators import patterns as pat
 
 def fields(body: Column, side: str) -> Column:
     """Sorted distinct fields of ``in`` or ``out``."""
-    return F.array_sort(F.array_distinct(all_of(body, rf"\b{side}->(\w+)")))
+    return F.array_sort(F.array_distinct(all_of(body, pat.SIDE.format(side))))
 
 
 def _starts_sql(line: Column) -> Column:
@@ -55,15 +51,18 @@ def condition_above(ls: Column, at: Column) -> Column:
 
 def sql_statements(functions: DataFrame, name: str = "name", body: str = "body") -> DataFrame:
     """name, line_no, operation, raw_sql, tables, into_vars, comment, condition of each embedded statement."""
-    each = functions.select(F.col(name).alias("name"), lines(F.col(body)).alias("ls")).select("name", "ls", F.explode(sql_spans(F.col("ls"))).alias("s"))
-    raw = strip(F.regexp_replace(F.array_join(F.transform(F.slice("ls", F.col("s.first") + 1, F.col("s.last") - F.col("s.first") + 1), strip), " "), r"(?U)\s+", " "))
-    made = each.select("name", "ls", (F.col("s.first") + 1).alias("line_no"), raw.alias("raw_sql"))
-    op = F.upper(F.regexp_extract(F.replace("raw_sql", F.lit("EXEC SQL"), F.lit("")), rf"(?i)^\s*({OPERATIONS})", 1))
-    at = F.col("line_no") - 1
+    ls = F.col("ls")
+    told = lambda s: F.struct(
+        (s["first"] + 1).alias("line_no"), F.array_join(F.slice(ls, s["first"] + 1, s["last"] - s["first"] + 1), " ").alias("raw"),
+        comment_above(ls, s["first"]).alias("comment"), condition_above(ls, s["first"]).alias("condition"),
+    )
+    # All that depends on other lines is taken before the rows are made, so none carries the body along.
+    each = functions.select(F.col(name).alias("name"), lines(F.col(body)).alias("ls")).select("name", F.explode(F.transform(sql_spans(ls), told)).alias("s")).select("name", "s.*")
+    made = each.withColumn("raw_sql", strip(F.regexp_replace("raw", r"(?U)\s+", " ")))
+    op = F.upper(F.regexp_extract(F.replace("raw_sql", F.lit("EXEC SQL"), F.lit("")), rf"(?iU)^\s*({pat.FIRST_WORDS})", 1))
     return made.select(
         "name", "line_no", F.when(op == "", "OTHER").otherwise(op).alias("operation"), "raw_sql",
-        F.filter(all_of(F.col("raw_sql"), r"(?i)\b(?:FROM|INTO|UPDATE|JOIN)\s+(\w+)"), lambda t: F.upper(t).startswith("TB_")).alias("tables"),
-        all_of(F.col("raw_sql"), r"(?i)INTO\s+:(\w+)").alias("into_vars"), comment_above(F.col("ls"), at).alias("comment"), condition_above(F.col("ls"), at).alias("condition"),
+        F.filter(all_of(F.col("raw_sql"), pat.USED), lambda t: F.upper(t).startswith("TB_")).alias("tables"), all_of(F.col("raw_sql"), pat.INTO).alias("into_vars"), "comment", "condition",
     )
 
 
@@ -73,29 +72,36 @@ def host_variables(body: Column) -> Column:
 
     def step(acc: Column, line: Column) -> Column:
         begin, end = line.contains("BEGIN DECLARE SECTION"), line.contains("END DECLARE SECTION")
-        var = F.regexp_extract(line, r"(?U)^\s+\w+\s+(\w+)", 1)
+        var = F.regexp_extract(line, pat.HOST_VARIABLE, 1)
         take = acc["inside"] & ~begin & ~end & (var != "")
         return F.struct(F.when(begin, F.lit(True)).when(end, F.lit(False)).otherwise(acc["inside"]).alias("inside"), F.when(take, F.concat(acc["vars"], F.array(var))).otherwise(acc["vars"]).alias("vars"))
 
     return F.aggregate(lines(body), F.struct(F.lit(False).alias("inside"), none.alias("vars")), step, lambda acc: acc["vars"])
 
 
-CALL = r"\b([A-Z][A-Z0-9_]{2,})\s*\(([^)]*)\)"
+def _lines_with(functions: DataFrame, name: str, body: str, keep, more) -> DataFrame:
+    """name, line_no, line and what ``more`` says of (lines, 0-based place), for the lines that ``keep`` takes."""
+    ls = F.col("ls")
+    rows = F.filter(F.transform(ls, lambda x, i: F.when(keep(x), F.struct((i + 1).alias("line_no"), x.alias("line"), more(ls, i).alias("more")))), lambda x: x.isNotNull())
+    return functions.select(F.col(name).alias("name"), lines(F.col(body)).alias("ls")).select("name", F.explode(rows).alias("x")).select("name", "x.*")
 
 
 def service_calls(functions: DataFrame, name: str = "name", body: str = "body") -> DataFrame:
     """name, line_no, pos, callee, args, comment of each upper-case call, SQL functions included."""
-    each = functions.select(F.col(name).alias("name"), lines(F.col(body)).alias("ls")).select("name", "ls", F.posexplode("ls").alias("i", "line")).where(~F.col("line").contains("DECLARE"))
-    found = each.select("name", "ls", "i", F.posexplode(F.arrays_zip(all_of(F.col("line"), CALL, 1).alias("callee"), all_of(F.col("line"), CALL, 2).alias("args"))).alias("pos", "c"))
+    each = _lines_with(functions, name, body, lambda x: ~x.contains("DECLARE") & x.rlike(pat.CALL), comment_above)
+    found = each.select("name", "line_no", "more", F.posexplode(F.arrays_zip(all_of(F.col("line"), pat.CALL, 1).alias("callee"), all_of(F.col("line"), pat.CALL, 2).alias("args"))).alias("pos", "c"))
     kept = found.where(~F.col("c.callee").startswith("EXEC") & ~F.col("c.callee").startswith("SQL"))
-    return kept.select("name", (F.col("i") + 1).alias("line_no"), "pos", F.col("c.callee").alias("callee"), strip(F.col("c.args")).alias("args"), comment_above(F.col("ls"), F.col("i")).alias("comment"))
+    return kept.select("name", "line_no", "pos", F.col("c.callee").alias("callee"), strip(F.col("c.args")).alias("args"), F.col("more").alias("comment"))
 
 
 def error_handlers(functions: DataFrame, name: str = "name", body: str = "body", reach: int = 4) -> DataFrame:
     """name, line_no, condition, action of each check of the SQL state; the action is what the next lines set or return."""
-    each = functions.select(F.col(name).alias("name"), lines(F.col(body)).alias("ls")).select("name", "ls", F.posexplode("ls").alias("i", "line")).where(F.col("line").rlike(SQLCA))
-    after = F.filter(F.transform(F.slice("ls", F.col("i") + 2, reach), strip), lambda x: x.contains("return") | x.contains("err_cd") | x.contains("err_msg"))
-    return each.select("name", (F.col("i") + 1).alias("line_no"), strip(F.col("line")).alias("condition"), F.array_join(after, " | ").alias("action"))
+
+    def action(ls: Column, i: Column) -> Column:
+        return F.array_join(F.filter(F.transform(F.slice(ls, i + 2, reach), strip), lambda x: x.contains("return") | x.contains("err_cd") | x.contains("err_msg")), " | ")
+
+    each = _lines_with(functions, name, body, lambda x: x.rlike(pat.SQLCA), action)
+    return each.select("name", "line_no", strip(F.col("line")).alias("condition"), F.col("more").alias("action"))
 
 
 def summary(functions: DataFrame) -> DataFrame:

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
+from itertools import accumulate
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from lodestone.functions.text import lines
+from lodestone.functions.text import lines, strip
+from lodestone.operators import patterns as pat
 
 SIZE, OVERLAP = 6, 2
 
@@ -33,80 +37,66 @@ def chunk_fixed(files: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> D
     )
 
 
-_START = re.compile(r"int\s+([A-Z][A-Z0-9_]+)\s*\(")
-_HEAD = ("/*", "*", "//", "#", "EXEC SQL INCLUDE")
-
+def function_spans(text: str) -> list[tuple[int, int, str]]:
+    """First and last line (from 0) and name of each function, prototypes and indented definitions included.
+
+    A function ends on the first line behind an opening brace on which the braces are
+    level with its start again, else with the file; what begins inside another is none.
+    """
+    rows = text.split("\n")
+    opened = [0, *accumulate(r.count("{") for r in rows)]
+    level = [o - c for o, c in zip(opened, [0, *accumulate(r.count("}") for r in rows)], strict=True)]
+    out: list[tuple[int, int, str]] = []
+    for first, m in ((i, re.match(pat.FUNCTION_LINE, r.strip())) for i, r in enumerate(rows)):
+        if m and (not out or first > out[-1][1]):
+            shut = (j for j in range(first, len(rows)) if opened[j + 1] > opened[first] and level[j + 1] == level[first])
+            out.append((first, next(shut, len(rows) - 1), m[1]))
+    return out
 
-def _is_head(line: str) -> bool:
-    s = line.strip()
-    return not s or s.startswith(_HEAD) or s.endswith("*/")
 
+SPANS = ArrayType(StructType([StructField("first", IntegerType()), StructField("last", IntegerType()), StructField("name", StringType())]))
 
-def _is_lead(line: str) -> bool:
-    s = line.strip()
-    return not s or s.startswith(("/*", "*")) or s.endswith("*/")
 
+@F.pandas_udf(SPANS)
+def _spans(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: [dict(zip(("first", "last", "name"), x, strict=True)) for x in function_spans(t or "")])
 
-def head_end(all_lines: list[str]) -> tuple[int, int]:
-    """How many first lines are the file's head, and the index of the first other line (the last line if there is none)."""
-    n = next((i for i, x in enumerate(all_lines) if not _is_head(x)), len(all_lines))
-    return n, min(n, len(all_lines) - 1)
 
+def _begins(line: Column, marks: tuple[str, ...]) -> Column:
+    """Whether a line is blank, ends a comment or begins with one of ``marks``."""
+    s = strip(line)
+    return reduce(lambda a, b: a | b, [s.startswith(m) for m in marks], (s == "") | s.endswith("*/"))
 
-def spans(all_lines: list[str]) -> list[tuple[int, int, str]]:
-    """First and last line and name of each function, prototypes and indented definitions included."""
-    out, i = [], 0
-    while i < len(all_lines):
-        m = _START.match(all_lines[i].strip())
-        if not m:
-            i += 1
-            continue
-        depth, opened, end = 0, False, len(all_lines) - 1
-        for j in range(i, len(all_lines)):
-            opened |= "{" in all_lines[j]
-            depth += all_lines[j].count("{") - all_lines[j].count("}")
-            if opened and depth == 0:
-                end = j
-                break
-        out.append((i, end, m[1]))
-        i = end + 1
-    return out
 
+def _run(rows: Column, marks: tuple[str, ...]) -> Column:
+    """How many lines at the beginning of ``rows`` are such lines."""
+    other = F.array_position(F.transform(rows, lambda r: _begins(r, marks)), False).cast("int")
+    return F.when(other > 0, other - 1).otherwise(F.size(rows))
 
-def function_chunks(file: str, text: str) -> list[tuple]:
-    """Chunks of one C file: a function each, or the whole file."""
-    all_lines = text.split("\n")
-    found = spans(all_lines)
-    if not found:
-        return [(f"{file}:1-{len(all_lines)}", text, file, "pc", "", 1, len(all_lines), "EXEC SQL" in text)]
-    count, edge = head_end(all_lines)
-    head = "\n".join(all_lines[:count])
-    out = []
-    for start, end, name in found:
-        top = start
-        while top > edge and _is_lead(all_lines[top - 1]):
-            top -= 1
-        own = "\n".join(all_lines[top : end + 1])
-        whole = f"{head.rstrip()}\n\n{own}" if head.strip() and top > edge else own
-        out.append((f"{file}:{name}", whole, file, "pc", name, top + 1, end + 1, "EXEC SQL" in own))
-    return out
 
+def function_chunks(files: DataFrame) -> DataFrame:
+    """Chunks of C files: a function each, with what leads up to it, or the whole file where there is none.
 
-CHUNK = "id string, text string, file string, file_type string, function_name string, start_line int, end_line int, has_sql boolean"
+    The file's head goes in front of a function that stands clear of it.
+    """
+    rows = files.select("file", F.coalesce("text", F.lit("")).alias("text")).select("file", "text", lines(F.col("text")).alias("ls"), _spans(F.col("text")).alias("spans"))
+    rows = rows.withColumn("head", _run(F.col("ls"), pat.HEAD_LINE)).withColumn("edge", F.least(F.col("head"), F.size("ls") - 1))
+    each = rows.select("*", F.explode_outer("spans").alias("f")).drop("spans")
+    lead = _run(F.reverse(F.slice("ls", F.col("edge") + 1, F.greatest(F.col("f.first") - F.col("edge"), F.lit(0)))), pat.LEAD_LINE)
+    each = each.withColumn("top", F.col("f.first") - lead)
+    head = F.array_join(F.slice("ls", 1, F.col("head")), "\n")
+    own = F.array_join(F.slice("ls", F.col("top") + 1, F.col("f.last") - F.col("top") + 1), "\n")
+    each = each.withColumn("own", F.coalesce(own, F.col("text"))).withColumn("front", F.when((F.col("top") > F.col("edge")) & (strip(head) != ""), F.concat(F.regexp_replace(head, r"(?U)\s+$", ""), F.lit("\n\n"))))
+    end = F.coalesce(F.col("f.last") + 1, F.size("ls"))
+    return each.select(
+        F.concat("file", F.lit(":"), F.coalesce("f.name", F.concat(F.lit("1-"), F.size("ls").cast("string")))).alias("id"), F.concat(F.coalesce("front", F.lit("")), "own").alias("text"), "file", F.lit("pc").alias("file_type"),
+        F.coalesce("f.name", F.lit("")).alias("function_name"), F.coalesce(F.col("top") + 1, F.lit(1)).alias("start_line"), end.alias("end_line"), F.contains("own", F.lit("EXEC SQL")).alias("has_sql"),
+    )
 
 
 def chunk_semantic(files: DataFrame) -> DataFrame:
     """chunks at function boundaries; headers and definitions whole."""
-    names = [x.split()[0] for x in CHUNK.split(", ")]
-    types = (pa.string(),) * 5 + (pa.int32(), pa.int32(), pa.bool_())
-
-    def run(batches):
-        for batch in batches:
-            rows = [r for f, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in function_chunks(f, t or "")]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-
-    code = files.where(F.col("ext") == "pc").select("file", "text").mapInArrow(run, CHUNK)
+    code = function_chunks(files.where(F.col("ext") == "pc"))
     whole = files.where(F.col("ext").isin("h", "sql")).select(
         F.concat("file", F.lit(":full")).alias("id"), "text", "file", F.col("ext").alias("file_type"), F.lit("").alias("function_name"),
         F.lit(1).alias("start_line"), F.size(lines(F.col("text"))).alias("end_line"), (F.col("ext") == "sql").alias("has_sql"),

@@ -1,24 +1,22 @@
 """Graph operators over an edge table (src, dst): trees, reachability, impact, flow.
 
-Results defined by paths (``tree``, ``flow``) are recursive queries and keep one
-row for each path. Results defined by nodes (``reached``) go level by level with
-a distinct in between, so cycles and diamonds cost no more than their edges.
+All of them go level by level: a written frontier joins the edges, so depth and
+number of rows are bounded by nothing but the graph. Results defined by paths keep
+one row for each path: ``tree`` carries a count of paths for each node and only
+lays them out in its result, ``flow`` carries the paths. Results defined by nodes
+(``reached``) have a distinct in between, so cycles and diamonds cost no more than
+their edges. Every level reads ``edges`` once: give a stored table, or ``settled`` one.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.plans.store import settled
 
-#: Deepest recursion that the engine allows a recursive query.
-MAX_LEVELS = 95
-
-
-def _quoted(s) -> str:
-    return "'" + str(s).replace("\\", "\\\\").replace("'", "\\'") + "'"
-
 
 def neighbours(edges: DataFrame, name: str) -> DataFrame:
     """One row: the node, its sorted distinct callees and callers."""
@@ -36,18 +34,31 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both.groupBy("name").agg(F.sum("o").alias("n_calls"), F.sum("i").alias("n_callers"))
 
 
+def _levels(front: DataFrame, grow, depth: int) -> list[DataFrame]:
+    """Written frontiers of 1 to ``depth`` steps, until one is empty; ``grow`` makes the next from one."""
+    out = []
+    for _ in range(depth):
+        front = settled(grow(front))
+        if front.isEmpty():
+            break
+        out.append(front)
+    return out
+
+
 def tree(edges: DataFrame, root: str, depth: int = 2) -> DataFrame:
     """src, dst, depth of every step of every path of at most ``depth`` steps from ``root``; a row for each path."""
-    if depth > MAX_LEVELS:
-        raise ValueError(f"a tree is defined by its paths; its depth can't exceed {MAX_LEVELS}")
-    return edges.sparkSession.sql(
-        f"""WITH RECURSIVE t(src, dst, depth) AS (
-            SELECT src, dst, 1 FROM {{edges}} WHERE src = {_quoted(root)}
-            UNION ALL
-            SELECT e.src, e.dst, t.depth + 1 FROM {{edges}} e JOIN t ON e.src = t.dst WHERE t.depth < {int(depth)})
-        SELECT src, dst, depth FROM t""",
-        edges=edges,
-    )
+    step = edges.select("src", "dst")
+
+    def grow(front: DataFrame) -> DataFrame:
+        nodes = front.groupBy(F.col("dst").alias("src")).agg(F.sum("paths").alias("paths"))
+        return step.join(nodes, "src").select("src", "dst", "paths")
+
+    start = edges.sparkSession.range(1).select(F.lit(root).alias("dst"), F.lit(1).cast("long").alias("paths"))
+    found = [level.select("src", "dst", "paths", F.lit(d).alias("depth")) for d, level in enumerate(_levels(start, grow, depth), 1)]
+    if not found:
+        return step.where("false").select("src", "dst", F.lit(0).alias("depth"))
+    rows = reduce(DataFrame.unionByName, found)
+    return rows.select("src", "dst", "depth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("paths")))).drop("col")
 
 
 def reached(edges: DataFrame, seeds: DataFrame, depth: int, key: tuple[str, ...] = ()) -> DataFrame:
@@ -56,20 +67,12 @@ def reached(edges: DataFrame, seeds: DataFrame, depth: int, key: tuple[str, ...]
     ``seeds``: name and the key columns, which go along with it.
     """
     keys = list(key)
-    front = seeds.select(*keys, F.col("name")).distinct()
     step = edges.select(F.col("src").alias("name"), F.col("dst").alias("next"))
-    levels = []
-    for d in range(1, depth + 1):
-        front = front.join(step, "name").select(*keys, F.col("next").alias("name")).distinct()
-        if d < depth:
-            front = settled(front)
-        levels.append(front.withColumn("depth", F.lit(d)))
-        if d < depth and front.isEmpty():
-            break
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+    start = seeds.select(*keys, F.col("name")).distinct()
+    found = _levels(start, lambda front: front.join(step, "name").select(*keys, F.col("next").alias("name")).distinct(), depth)
+    if not found:
+        return start.where("false").select(*keys, "name", F.lit(0).alias("depth"))
+    return reduce(DataFrame.unionByName, [level.withColumn("depth", F.lit(d)) for d, level in enumerate(found, 1)])
 
 
 def reverse(edges: DataFrame) -> DataFrame:
@@ -110,16 +113,20 @@ def flow(edges: DataFrame, usage: DataFrame, root: str, depth: int = 5, skip: tu
 
     Steps into ``skip`` are left out, though ``root`` may be one of them.
     """
-    if depth > MAX_LEVELS:
-        raise ValueError(f"a flow is defined by its paths; its depth can't exceed {MAX_LEVELS}")
-    used = edges.where(~F.col("dst").isin(*skip)) if skip else edges
-    steps = edges.sparkSession.sql(
-        f"""WITH RECURSIVE t(name, depth, path) AS (
-            SELECT {_quoted(root)} AS name, 0 AS depth, array({_quoted(root)}) AS path
-            UNION ALL
-            SELECT e.dst, t.depth + 1, concat(t.path, array(e.dst)) FROM {{edges}} e JOIN t ON e.src = t.name WHERE t.depth < {int(depth)})
-        SELECT name, depth, path FROM t""",
-        edges=used,
-    )
-    ops = usage.select(F.col("function_name").alias("name"), F.struct("table_name", "operation").alias("op")).distinct().groupBy("name").agg(F.array_sort(F.collect_list("op")).alias("sql_operations"))
+    step = (edges.where(~F.col("dst").isin(*skip)) if skip else edges).select(F.col("src").alias("name"), F.col("dst").alias("next"))
+    start = edges.sparkSession.range(1).select(F.array(F.lit(root)).alias("path"), F.lit(root).alias("name"))
+    found = [start, *_levels(start, lambda front: front.join(step, "name").select(F.concat("path", F.array("next")).alias("path"), F.col("next").alias("name")), depth)]
+    steps = reduce(DataFrame.unionByName, [level.withColumn("depth", F.lit(d)) for d, level in enumerate(found)])
+    used = usage.join(steps.select(F.col("name").alias("function_name")).distinct(), "function_name", "left_semi")
+    ops = used.select(F.col("function_name").alias("name"), F.struct("table_name", "operation").alias("op")).distinct().groupBy("name").agg(F.array_sort(F.collect_list("op")).alias("sql_operations"))
     return steps.join(ops, "name", "left").select("path", "name", "depth", F.coalesce("sql_operations", F.array().cast("array<struct<table_name:string,operation:string>>")).alias("sql_operations"))
+
+
+def tables_touched(steps: DataFrame) -> DataFrame:
+    """table_name: the distinct tables of a ``flow``."""
+    return steps.select(F.explode("sql_operations.table_name").alias("table_name")).distinct()
+
+
+def tables_used(usage: DataFrame, name: str) -> DataFrame:
+    """Distinct (table_name, operation) of one function."""
+    return usage.where(F.col("function_name") == name).select("table_name", "operation").distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import lines
-from lodestone.operators.search import COMMON_HEADER
+from lodestone.operators.patterns import COMMON_HEADER
 
 
 def function_detail(rel: dict[str, DataFrame], name: str | None = None) -> DataFrame:

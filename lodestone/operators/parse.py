@@ -15,20 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import BLOCK_COMMENT, all_of, listed, or_null, strip
+from lodestone.operators import patterns as pat
+from lodestone.plans.store import settled
 
-# The patterns of the source language.
-FUNCTION_START = re.compile(r"^int\s+([A-Z][A-Z0-9_]+)\s*\(([^)]*)\)\s*\{", re.M)
-SQL_BLOCK = r"(?is)EXEC\s+SQL\s+(.*?);"
-#: Words before a parenthesis that are no calls.
-NOT_CALLS = (
-    "EXEC", "SQL", "BEGIN", "END", "DECLARE", "SECTION", "SELECT", "INSERT",
-    "UPDATE", "DELETE", "FROM", "WHERE", "INTO", "SET", "VALUES", "AND", "OR",
-    "NOT", "NULL", "BETWEEN", "ORDER", "BY", "SYSDATE", "DUAL", "NEXTVAL",
-    "CURRVAL", "LPAD", "SUM", "COUNT", "CONSTRAINT", "PRIMARY", "KEY",
-    "DEFAULT", "CREATE", "TABLE", "COMMENT", "OPEN", "CLOSE", "FETCH",
-    "CURSOR", "FOR", "INCLUDE", "SQLCA", "SUCCESS", "FAIL",
-    "TO_CHAR", "TO_DATE", "VARCHAR2", "NUMBER", "CHAR",
-)
 #: Characters before a function in which its own comment may stand.
 NEAR = 200
 RAW = "ord array<string>, file string, name string, params_raw string, body string, before string, text string, pos int"
@@ -44,7 +33,7 @@ def functions_of(text: str) -> list[tuple[str, str, str, str]]:
     where = {p: i for i, (p, _) in enumerate(braces)}
     level = [0, *accumulate(d for _, d in braces)]
     out = []
-    for m in FUNCTION_START.finditer(text):
+    for m in re.finditer(pat.FUNCTION_START, text, re.M):
         open_at = text.index("{", m.start())
         i = where[open_at]
         end = next((braces[j][0] + 1 for j in range(i, len(braces)) if level[j + 1] <= level[i]), len(text))
@@ -72,46 +61,37 @@ def place(*extra: Column) -> Column:
 
 def statement_texts(body: Column) -> Column:
     """Embedded statements in order, without declarations and includes."""
-    return F.filter(F.transform(all_of(body, SQL_BLOCK), strip), lambda s: ~s.rlike(r"(?i)^(BEGIN\s+DECLARE|END\s+DECLARE|INCLUDE)"))
+    return F.filter(F.transform(all_of(body, pat.SQL_BLOCK), strip), lambda s: ~s.rlike(pat.NO_STATEMENT))
 
 
 def operation(s: Column) -> Column:
     """Class of a statement, by the first pattern of this order that occurs anywhere in it."""
-    return (
-        F.when(s.rlike(r"(?is)\bSELECT\b.*?\bFROM\s+\w+"), "SELECT")
-        .when(s.rlike(r"(?i)\bINSERT\s+INTO\s+\w+"), "INSERT")
-        .when(s.rlike(r"(?i)\bUPDATE\s+\w+"), "UPDATE")
-        .when(s.rlike(r"(?i)\bDELETE\s+FROM\s+\w+"), "DELETE")
-        .when(s.rlike(r"(?i)\bDECLARE\b"), "DECLARE")
-        .when(s.rlike(r"(?i)\bOPEN\b"), "CURSOR")
-        .otherwise("OTHER")
-    )
+    first, *rest = pat.OPERATIONS
+    out = F.when(s.rlike(first[1]), first[0])
+    for name, pattern in rest:
+        out = out.when(s.rlike(pattern), name)
+    return out.otherwise("OTHER")
 
 
 def statement_tables(s: Column, op: Column) -> Column:
     """Tables of a statement; those of a SELECT keep repeats."""
-    named = all_of(s, r"(?i)\b(TB_\w+|SQ_\w+)\b")
-    joined = F.filter(all_of(s, r"(?i)\b(?:FROM|JOIN)\s+(\w+)"), lambda t: F.upper(t).startswith("TB_"))
-    none = F.array().cast("array<string>")
-    return (
-        F.when(op == "SELECT", F.concat(named, F.array_distinct(F.array_except(joined, named))))
-        .when(op == "INSERT", all_of(s, r"(?i)\bINSERT\s+INTO\s+(\w+)"))
-        .when(op == "UPDATE", all_of(s, r"(?i)\bUPDATE\s+(\w+)"))
-        .when(op == "DELETE", all_of(s, r"(?i)\bDELETE\s+FROM\s+(\w+)"))
-        .when(op == "CURSOR", all_of(s, r"\b(TB_\w+)\b"))
-        .otherwise(none)
-    )
+    named = all_of(s, pat.TABLE_NAMES)
+    joined = F.filter(all_of(s, pat.JOINED), lambda t: F.upper(t).startswith("TB_"))
+    out = F.when(op == "SELECT", F.concat(named, F.array_distinct(F.array_except(joined, named))))
+    for name, pattern in pat.TARGETS.items():
+        out = out.when(op == name, all_of(s, pattern))
+    return out.otherwise(F.array().cast("array<string>"))
 
 
 def select_columns(s: Column, op: Column) -> Column:
     """Names between SELECT and INTO, without qualifiers; split at every comma."""
-    part = F.regexp_extract(s, r"(?is)\bSELECT\s+(.*?)\s+INTO\b", 1)
+    part = F.regexp_extract(s, pat.SELECTED, 1)
     bare = F.transform(F.split(part, ","), lambda c: F.regexp_replace(F.substring_index(strip(c), ".", -1), "^:+", ""))
     return F.when(op == "SELECT", F.filter(bare, lambda c: (c != "") & (c != "*"))).otherwise(F.array().cast("array<string>"))
 
 
 def statements(text: Column) -> Column:
-    """ARRAY<STRUCT<operation, tables, columns, raw_sql>> of a body."""
+    """ARRAY<pat.STRUCT<operation, tables, columns, raw_sql>> of a body."""
     return F.transform(
         statement_texts(text),
         lambda s: F.struct(operation(s).alias("operation"), statement_tables(s, operation(s)).alias("tables"), select_columns(s, operation(s)).alias("columns"), F.concat(F.lit("EXEC SQL "), s, F.lit(";")).alias("raw_sql")),
@@ -120,13 +100,13 @@ def statements(text: Column) -> Column:
 
 def calls(body: Column, own: Column) -> Column:
     """Sorted distinct names called in a body; comments are not told from code."""
-    names = all_of(F.regexp_replace(body, SQL_BLOCK, ""), r"\b([A-Z][A-Z0-9_]{2,})\s*\(")
-    known = F.array(*[F.lit(w) for w in NOT_CALLS])
+    names = all_of(F.regexp_replace(body, pat.SQL_BLOCK, ""), pat.CALLED)
+    known = F.array(*[F.lit(w) for w in pat.NOT_CALLS])
     return F.array_sort(F.filter(F.array_distinct(F.array_except(names, known)), lambda c: (c != own) & ~c.startswith("TB_") & ~c.startswith("SQ_")))
 
 
 def includes(text: Column) -> Column:
-    return all_of(text, r'#include\s+"([^"]+)"')
+    return all_of(text, pat.INCLUDE)
 
 
 def description(before: Column, text: Column) -> Column:
@@ -145,12 +125,8 @@ def parse_functions(files: DataFrame) -> DataFrame:
     return f.withColumn("tables_used", F.array_distinct(F.flatten(F.transform("statements", lambda s: s["tables"]))))
 
 
-STRUCT = r"(?s)typedef\s+struct\s*\{(.*?)\}\s*(\w+)\s*;"
-FIELD = r"(?m)^\s+([\w\s\*]+?)\s+(\w+)\s*(\[\s*\d+\s*\])?\s*;(?:\s*/\*\s*(.*?)\s*\*/)?"
-
-
 def struct_fields(body: Column) -> Column:
-    parts = F.arrays_zip(*[all_of(body, FIELD, g).alias(n) for g, n in ((1, "t"), (2, "n"), (3, "s"), (4, "c"))])
+    parts = F.arrays_zip(*[all_of(body, pat.FIELD, g).alias(n) for g, n in ((1, "t"), (2, "n"), (3, "s"), (4, "c"))])
     return F.transform(parts, lambda f: F.struct(f["n"].alias("name"), strip(f["t"]).alias("c_type"), or_null(F.regexp_replace(f["s"], r"[\[\] ]", "")).alias("size"), or_null(f["c"]).alias("comment")))
 
 
@@ -158,18 +134,13 @@ def parse_structs(files: DataFrame) -> DataFrame:
     """structs: ord, name, file_path, description, fields."""
     h = files.where(F.col("ext") == "h")
     first = strip(F.coalesce(F.try_element_at(all_of(F.col("text"), BLOCK_COMMENT), F.lit(1)), F.lit("")))
-    each = h.select("ord", "file", first.alias("description"), F.posexplode(F.arrays_zip(all_of(F.col("text"), STRUCT, 1).alias("body"), all_of(F.col("text"), STRUCT, 2).alias("name"))).alias("pos", "s"))
+    each = h.select("ord", "file", first.alias("description"), F.posexplode(F.arrays_zip(all_of(F.col("text"), pat.STRUCT, 1).alias("body"), all_of(F.col("text"), pat.STRUCT, 2).alias("name"))).alias("pos", "s"))
     return each.select(place(F.col("pos")).alias("ord"), F.col("s.name").alias("name"), F.col("file").alias("file_path"), "description", struct_fields(F.col("s.body")).alias("fields"))
 
 
-TABLE = r"(?is)CREATE\s+TABLE\s+(\w+)\s*\((.*?)\);"
-COLUMN = r"(?im)^\s+(\w+)\s+(VARCHAR2|NUMBER|CHAR|DATE|TIMESTAMP)\s*(\([^)]+\))?\s*(NOT\s+NULL)?\s*(DEFAULT\s+\S+)?"
-TABLE_COMMENT = r"(?i)COMMENT\s+ON\s+TABLE\s+(\w+)\s+IS\s+'([^']+)'"
-
-
 def table_columns(body: Column) -> Column:
     """Columns of a definition; ``default`` keeps what follows to the next space, ``default_clean`` drops a last comma."""
-    parts = F.arrays_zip(*[all_of(body, COLUMN, g).alias(n) for g, n in ((1, "n"), (2, "t"), (3, "s"), (4, "nn"), (5, "d"))])
+    parts = F.arrays_zip(*[all_of(body, pat.COLUMN, g).alias(n) for g, n in ((1, "n"), (2, "t"), (3, "s"), (4, "nn"), (5, "d"))])
 
     def made(c: Column) -> Column:
         default = or_null(strip(F.replace(c["d"], F.lit("DEFAULT "), F.lit(""))))
@@ -181,11 +152,11 @@ def table_columns(body: Column) -> Column:
 def parse_tables(files: DataFrame) -> DataFrame:
     """tables_ddl: ord, name, file_path, comment, columns, primary_key."""
     sql = files.where(F.col("ext") == "sql")
-    each = sql.select("ord", "file", "text", F.posexplode(F.arrays_zip(all_of(F.col("text"), TABLE, 1).alias("name"), all_of(F.col("text"), TABLE, 2).alias("body"))).alias("pos", "t"))
-    comment = F.when(F.regexp_extract("text", TABLE_COMMENT, 1) == F.col("t.name"), or_null(F.regexp_extract("text", TABLE_COMMENT, 2)))
+    each = sql.select("ord", "file", "text", F.posexplode(F.arrays_zip(all_of(F.col("text"), pat.TABLE, 1).alias("name"), all_of(F.col("text"), pat.TABLE, 2).alias("body"))).alias("pos", "t"))
+    comment = F.when(F.regexp_extract("text", pat.TABLE_COMMENT, 1) == F.col("t.name"), or_null(F.regexp_extract("text", pat.TABLE_COMMENT, 2)))
     return each.select(
         place(F.col("pos")).alias("ord"), F.col("t.name").alias("name"), F.col("file").alias("file_path"), comment.alias("comment"), table_columns(F.col("t.body")).alias("columns"),
-        listed(F.regexp_extract("t.body", r"(?i)PRIMARY\s+KEY\s*\(([^)]+)\)", 1)).alias("primary_key"),
+        listed(F.regexp_extract("t.body", pat.PRIMARY_KEY, 1)).alias("primary_key"),
     )
 
 
@@ -207,8 +178,11 @@ def last_wins(df: DataFrame, key: str, order: str = "ord") -> DataFrame:
 
 
 def relations(files: DataFrame) -> dict[str, DataFrame]:
-    """The five relations of a source tree: names unique (the last wins), edges a set, usage a bag."""
-    parsed = parse_functions(files)
+    """The five relations of a source tree: names unique (the last wins), edges a set, usage a bag.
+
+    Functions are cut and parsed once and written; three of the relations derive from that table.
+    """
+    parsed = settled(parse_functions(files))
     kept = last_wins(parsed, "name")
     usage = parsed.select("ord", "name", F.posexplode("statements").alias("si", "s")).select("ord", "name", "si", "s", F.posexplode("s.tables").alias("ti", "table_name"))
     return {

@@ -8,22 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import query_terms
+from lodestone.operators import patterns as pat
 from lodestone.operators.graph import transitive_callees
 
-#: Upper-case words that name no function.
-NOT_NAMES = (
-    "EXEC", "SQL", "BEGIN", "END", "DECLARE", "SECTION", "SELECT", "INSERT",
-    "UPDATE", "DELETE", "FROM", "WHERE", "INTO", "SET", "VALUES", "AND", "OR",
-    "NOT", "NULL", "BETWEEN", "ORDER", "SYSDATE", "DUAL", "NEXTVAL",
-    "CURRVAL", "LPAD", "SUM", "COUNT", "CONSTRAINT", "PRIMARY", "KEY",
-    "DEFAULT", "CREATE", "TABLE", "COMMENT", "OPEN", "CLOSE", "FETCH",
-    "CURSOR", "INCLUDE", "SQLCA", "SUCCESS", "FAIL", "VARCHAR2", "NUMBER",
-    "CHAR", "TO_CHAR", "TO_DATE",
-)
-#: The header that every file includes and that is no part of a context.
-COMMON_HEADER = "proframe.h"
-
-
 def keyword_score(query: str, weights: dict[str, int]) -> Column:
     """Sum over the query's terms of the weights of the columns that contain them, case-sensitive."""
     parts = [F.contains(F.coalesce(F.col(c), F.lit("")), F.lit(t)).cast("int") * w for t in query_terms(query) for c, w in weights.items()]
@@ -68,7 +55,7 @@ def vector_search_batch(df: DataFrame, queries: DataFrame, key: str, vector: str
     return ranked.withColumn("score", similarity(F.col("distance")))
 
 
-def name_candidates(chunks: DataFrame, text: str = "text", score: str = "score", pattern: str = r"\b([A-Z][A-Z0-9_]{3,})\b", stop: tuple[str, ...] = NOT_NAMES) -> DataFrame:
+def name_candidates(chunks: DataFrame, text: str = "text", score: str = "score", pattern: str = pat.NAME, stop: tuple[str, ...] = pat.NOT_NAMES) -> DataFrame:
     """name, score of upper-case names in scored chunks: a name's best chunk counts; ``at`` orders ties by first sight."""
     each = chunks.select(F.col(score).alias("score"), F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))).alias("pos", "name"))
     kept = each.where(~F.col("name").isin(*stop) & ~F.col("name").startswith("TB_") & ~F.col("name").startswith("SQ_")) if stop else each
@@ -104,7 +91,7 @@ def context(rel: dict[str, DataFrame], name: str, depth: int = 2) -> DataFrame:
     row = lambda section, pos, content, role, relevance: [F.lit(section).alias("section"), pos.alias("pos"), F.col("file_path").alias("filename"), content.alias("content"), role.alias("role"), F.lit(relevance).alias("relevance")]
     order = lambda c: F.array(F.lpad(c.cast("string"), 9, "0"))
     entry = fn.select(*row(1, order(F.lit(0)), F.col("body"), F.lit("entry"), "direct"))
-    inc = fn.select(F.posexplode("includes").alias("ipos", "file_path")).where(F.col("file_path") != COMMON_HEADER)
+    inc = fn.select(F.posexplode("includes").alias("ipos", "file_path")).where(F.col("file_path") != pat.COMMON_HEADER)
     first = structs.groupBy("file_path").agg(F.min_by(F.struct("name", "description", "fields"), "ord").alias("s")).select("file_path", "s.*")
     headers = inc.join(first, "file_path").select(*row(2, order(F.col("ipos")), rendered_struct(), F.lit("struct"), "direct"))
     called = transitive_callees(edges, name, depth)

@@ -1,19 +1,30 @@
-"""Cutting lineage in multi-pass plans."""
+"""Cutting lineage in multi-pass plans: tables written in the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the checkpoint folder, which all executors share.
+def work_dir(spark: SparkSession) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names; it goes when the JVM that made it ends.
 
-    The folder is the session's own, else that of ``spark.checkpoint.dir``; a
-    private one is made only where neither is set.
+    A private folder is made only where that setting is absent and the master is local.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestone-"))
-    return df.checkpoint(eager=True)
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = work_dir.own = getattr(work_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="lodestone-")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/lodestone-{uuid.uuid4().hex}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once: written as Parquet in the shared folder and read again."""
+    path = work_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import all_of, strip
-from lodestone.operators import analyze, chunk, evaluate, graph, lookup, parse, search, vcs
+from lodestone.operators import analyze, chunk, evaluate, graph, lookup, parse, patterns, search, vcs
+from lodestone.plans.store import settled
 
 TERMS = "the tion und eau"
 Q, SQL = {}, {}
@@ -86,13 +87,13 @@ def vector_topk(spark, d):
 
 @query(
     "vector_topk_batch",
-    f"""WITH p AS (SELECT q.vec_id AS query_key, v.vec_id, {L2} AS d FROM embeddings v JOIN embeddings q ON q.vec_id % 100 = 0),
+    f"""WITH p AS (SELECT q.vec_id AS query_key, v.vec_id, {L2} AS d FROM embeddings v JOIN embeddings q ON q.vec_id % 20 = 0),
  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_key ORDER BY d, vec_id) AS INTEGER) AS rank FROM p)
  SELECT query_key, vec_id, rank, round(1.0::DOUBLE / (1 + d), 4) AS score FROM r WHERE rank <= 5""",
 )
 def vector_topk_batch(spark, d):
     e = table(spark, d, "embeddings")
-    return search.vector_search_batch(e, e.where("vec_id % 100 = 0"), "vec_id").select("query_key", "vec_id", "rank", "score")
+    return search.vector_search_batch(e, e.where("vec_id % 20 = 0"), "vec_id").select("query_key", "vec_id", "rank", "score")
 
 
 DOC_SCORE = " + ".join(f"CAST(contains(text, '{t}') AS INT)" for t in TERMS.split())
@@ -148,17 +149,17 @@ TREE = """, t(src, dst, depth) AS (SELECT src, dst, 1 FROM edges WHERE src = '{0
 
 @query("call_tree", f"WITH RECURSIVE {DAG}{TREE.format('R1', 3)} SELECT src, dst, depth FROM t")
 def call_tree(spark, d):
-    return graph.tree(dag(spark, d), "R1", 3)
+    return graph.tree(settled(dag(spark, d)), "R1", 3)
 
 
 @query("call_tree_cyclic", f"WITH RECURSIVE {CYCLE}{TREE.format('click', 4)} SELECT src, dst, depth FROM t")
 def call_tree_cyclic(spark, d):
-    return graph.tree(transitions(spark, d), "click", 4)
+    return graph.tree(settled(transitions(spark, d)), "click", 4)
 
 
 @query("transitive_callees", f"WITH RECURSIVE {DAG}{TREE.format('R1', 3)} SELECT dst AS name, min(depth) AS depth FROM t GROUP BY dst")
 def transitive_callees(spark, d):
-    return graph.transitive_callees(dag(spark, d), "R1", 3)
+    return graph.transitive_callees(settled(dag(spark, d)), "R1", 3)
 
 
 BACK = """, t(name, depth) AS (SELECT src, 1 FROM edges WHERE dst = '{0}' UNION ALL SELECT e.src, t.depth + 1 FROM edges e JOIN t ON e.dst = t.name WHERE t.depth < {1})"""
@@ -166,12 +167,12 @@ BACK = """, t(name, depth) AS (SELECT src, 1 FROM edges WHERE dst = '{0}' UNION
 
 @query("impact_function", f"WITH RECURSIVE {DAG}{BACK.format('P1', 5)} SELECT DISTINCT name, depth FROM t")
 def impact_function(spark, d):
-    return graph.function_impact(dag(spark, d), "P1")
+    return graph.function_impact(settled(dag(spark, d)), "P1")
 
 
 @query("impact_cyclic", f"WITH RECURSIVE {CYCLE}{BACK.format('purchase', 4)} SELECT DISTINCT name, depth FROM t")
 def impact_cyclic(spark, d):
-    return graph.function_impact(transitions(spark, d), "purchase", 4)
+    return graph.function_impact(settled(transitions(spark, d)), "purchase", 4)
 
 
 @query(
@@ -183,7 +184,7 @@ def impact_cyclic(spark, d):
  SELECT name, operation, depth, usr AS via FROM r WHERE k = 1""",
 )
 def impact_table(spark, d):
-    return graph.table_impact(dag(spark, d), usage(spark, d), "P1").select("name", "operation", "depth", "via")
+    return graph.table_impact(settled(dag(spark, d)), usage(spark, d), "P1").select("name", "operation", "depth", "via")
 
 
 @query(
@@ -195,7 +196,7 @@ def impact_table(spark, d):
 )
 def business_flow(spark, d):
     ops = table(spark, d, "events").select(F.col("event_type").alias("function_name"), F.concat(F.lit("T"), (F.col("user_id") % 3).cast("string")).alias("table_name"), F.lit("READ").alias("operation"))
-    f = graph.flow(transitions(spark, d), ops, "view", 3, ("error",))
+    f = graph.flow(settled(transitions(spark, d)), ops, "view", 3, ("error",))
     return f.select(F.array_join("path", ">").alias("path"), "name", "depth", F.array_join(F.transform("sql_operations", lambda o: F.concat_ws(":", o["table_name"], o["operation"])), ",").alias("sql_operations"))
 
 
@@ -302,7 +303,7 @@ def sql_columns(spark, d):
     return _bodies(spark, d).select("p_partkey", F.posexplode(parse.statements(F.col("body"))).alias("pos", "s")).select("p_partkey", "pos", F.array_join("s.columns", ",").alias("columns"))
 
 
-NO_CALL = ", ".join(f"'{w}'" for w in parse.NOT_CALLS)
+NO_CALL = ", ".join(f"'{w}'" for w in patterns.NOT_CALLS)
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import analyze, chunk, evaluate, graph, lookup, parse, search, vcs
 from lodestone.plans import render
 from lodestone.plans.catalog import CodeCatalog
+from lodestone.plans.store import settled
 from lodestone.sources.files import file_text, source_files
 
 AA_PAY = '''/* pay out money */
@@ -248,9 +249,14 @@ def test_graphs_against_brute_force(spark, seed):
     assert got == seen
 
 
-def test_deep_trees_are_refused(spark):
-    with pytest.raises(ValueError):
-        graph.tree(spark.createDataFrame([("a", "b")], "src string, dst string"), "a", 200)
+def test_deep_and_bushy_trees(spark):
+    """A chain of 120 steps, and 2 ** 20 paths through 20 diamonds."""
+    chain = spark.range(130).selectExpr("'c' || id AS src", "'c' || (id + 1) AS dst")
+    assert graph.tree(settled(chain), "c0", 20).count() == 20 and graph.function_impact(settled(chain), "c12", 40).count() == 12
+    hubs = spark.range(20).selectExpr("'h' || id AS a", "'h' || (id + 1) AS b", "explode(array('l', 'r')) AS side")
+    edges = settled(hubs.selectExpr("a AS src", "a || side AS dst").unionByName(hubs.selectExpr("a || side AS src", "b AS dst")))
+    t = graph.tree(edges, "h0", 40)
+    assert t.where("depth = 40").count() == 2**20 and t.where("dst = 'h3'").count() == 8
 
 
 def test_vector_batch_in_several_blocks(spark):
