@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,7 +54,7 @@ class CodeCatalog:
         return search.keyword_search(self.rel["functions"], query, {"description": 3, "body": 1}, "ord", limit)
 
     def search(self, query: str) -> dict | None:
-        """Best function for a query with candidates, call graph, context, files and tables; None without a match."""
+        """Best function for a query with candidates, call graph, context (with contents), files, their roles and tables; None without a match."""
         best = self.search_keywords(query).select("name", "description", "score", "tables_used").collect()
         if not best:
             return None
@@ -62,6 +63,7 @@ class CodeCatalog:
         return {
             "matched_function": name, "description": best[0]["description"], "candidates": [r.asDict() for r in best], "call_graph": self.call_graph(name), "context": context,
             "files_returned": context.groupBy("filename").agg(F.min(F.struct("section", "pos")).alias("at")).orderBy("at").select("filename"),
+            "related_files": context.groupBy("filename", "role").agg(F.min(F.struct("section", "pos")).alias("at")).orderBy("at").select("filename", "role"),
             "tables_used": self.rel["sql_usage"].where(F.col("function_name") == name).select("table_name").distinct(),
         }
 
@@ -79,20 +81,31 @@ class CodeCatalog:
         found = self.search(names[0]) or self.search(query)
         return {"vector_candidates": names, **(found or {})}
 
+    def returned_files(self, query: str, strategy: str, top_k: int = 5) -> list[str]:
+        """Names of the files that ``strategy`` (chunk, structural or hybrid) returns for a query, best first."""
+        if strategy == "chunk":
+            return [r["file"] for r in self.search_chunks(query, top_k).collect()]
+        found = self.search(query) if strategy == "structural" else self.search_hybrid(query, top_k)
+        return [r["filename"] for r in found["files_returned"].collect()] if found and "files_returned" in found else []
+
+    def _measured(self, queries: list[str], strategies: tuple[str, ...], truth: DataFrame, top_k: int) -> DataFrame:
+        rows = []
+        for q in queries:
+            for strategy in strategies:
+                began = time.perf_counter()
+                rows.append((q, strategy, self.returned_files(q, strategy, top_k), time.perf_counter() - began))
+        timed = self.edges.sparkSession.createDataFrame(rows, "query string, strategy string, returned_files array<string>, seconds double")
+        return evaluate.evaluate(timed, truth).join(timed.select("query", "strategy", "seconds"), ["query", "strategy"])
+
     def search_full(self, query: str, truth: DataFrame, top_k: int = 5) -> DataFrame:
-        """Metrics of the chunk and the structural strategy for one query, with the files each returned."""
-        spark, found = self.edges.sparkSession, self.search(query)
-        rows = [(query, "chunk", [r["file"] for r in self.search_chunks(query, top_k).collect()]), (query, "structural", [r["filename"] for r in found["files_returned"].collect()] if found else [])]
-        return evaluate.evaluate(spark.createDataFrame(rows, "query string, strategy string, returned_files array<string>"), truth)
+        """Metrics of the chunk and the structural strategy for one query; ``files`` lists each file with is_noise and is_relevant."""
+        found = self._measured([query], ("chunk", "structural"), truth, top_k)
+        flags = F.transform(F.array_distinct("returned_files"), lambda f: F.struct(f.alias("file"), F.array_contains("noise_files", f).alias("is_noise"), F.array_contains("relevant_returned", f).alias("is_relevant")))
+        return found.withColumn("files", flags)
 
     def run_evaluation(self, truth: DataFrame, top_k: int = 5) -> DataFrame:
-        """Metrics of all queries of the ground truth (a row for each) under all strategies."""
-        spark, rows = self.edges.sparkSession, []
-        for q in [r["query"] for r in truth.select("query").collect()]:
-            for name, found in (("structural", self.search(q)), ("hybrid", self.search_hybrid(q, top_k))):
-                rows.append((q, name, [r["filename"] for r in found["files_returned"].collect()] if found and "files_returned" in found else []))
-            rows.append((q, "chunk", [r["file"] for r in self.search_chunks(q, top_k).collect()]))
-        return evaluate.evaluate(spark.createDataFrame(rows, "query string, strategy string, returned_files array<string>"), truth)
+        """Metrics and seconds of all queries of the ground truth (a row for each, read to the driver) under all strategies."""
+        return self._measured([r["query"] for r in truth.select("query").distinct().collect()], ("chunk", "structural", "hybrid"), truth, top_k)
 
     # Graph
 
@@ -125,13 +138,24 @@ class CodeCatalog:
         steps = graph.flow(self.edges, self.rel["sql_usage"], entry, depth).join(known, "name", "left")
         return steps.select("path", "name", F.coalesce("description", F.lit("")).alias("description"), "depth", "sql_operations").orderBy("path")
 
+    def tables_used(self, name: str) -> DataFrame:
+        """Distinct (table_name, operation) of one function, as its impact lists them."""
+        return graph.tables_used(self.rel["sql_usage"], name).orderBy("table_name", "operation")
+
+    def tables_touched(self, entry: str, depth: int = 5) -> DataFrame:
+        """Distinct tables of all steps of a business flow."""
+        return graph.tables_touched(self.business_flow(entry, depth)).orderBy("table_name")
+
     # Lookups
 
     def function(self, name: str) -> DataFrame:
         return lookup.function_detail(self.rel, name)
 
     def find_by_table(self, table: str) -> DataFrame:
-        return lookup.functions_by_table(self.rel["sql_usage"], table).orderBy("function_name", "ord")
+        """Every use of a table, with the comment and columns of its definition, null where there is none."""
+        ddl = self.rel["tables_ddl"].where(F.col("name") == table).select("comment", "columns", F.lit(table).alias("table_name"))
+        used = lookup.functions_by_table(self.rel["sql_usage"], table).withColumn("table_name", F.lit(table))
+        return used.join(F.broadcast(ddl), "table_name", "left").orderBy("function_name", "ord")
 
     def table(self, name: str) -> DataFrame:
         return self.rel["tables_ddl"].where(F.col("name") == name).select("name", "comment", "columns", "primary_key")

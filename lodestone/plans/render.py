@@ -53,7 +53,22 @@ def comparison(metrics: Iterable, averages: Iterable) -> str:
     return "\n".join([head, *(line(r["query"], r) for r in metrics), *(line("mean", r) for r in averages)])
 
 
-def analysis(name: str, statements: Iterable, calls: Iterable, errors: Iterable) -> str:
+def fenced(path: str, text: str) -> str:
+    """A file's text in a block marked with its language."""
+    language = {"pc": "c", "c": "c", "h": "c", "sql": "sql", "py": "python", "xml": "xml"}.get(path.rpartition(".")[2].lower(), "")
+    return f"```{language}\n{text}\n```"
+
+
+def diff(text: str) -> str:
+    return f"```diff\n{text}\n```" if text.strip() else "No changes."
+
+
+def files(rows: Iterable) -> str:
+    """Related files with their roles."""
+    return "\n".join(f"- {r['filename']} ({r['role']})" for r in rows) or "No files."
+
+
+def analysis(name: str, statements: Iterable, calls: Iterable, errors: Iterable, raw_body: str | None = None) -> str:
     seen, out = set(), [f"## {name}", "### Statements"]
     out += [f"- L{s['line_no']} {s['operation']} {', '.join(s['tables'])}" for s in statements]
     out.append("### Calls")
@@ -63,6 +78,8 @@ def analysis(name: str, statements: Iterable, calls: Iterable, errors: Iterable)
             out.append(f"- L{c['line_no']} {c['callee']}({c['args']})")
     out.append("### Errors")
     out += [f"- L{e['line_no']} {e['condition']}: {e['action']}" for e in errors]
+    if raw_body is not None:
+        out += ["### Body", fenced(f"{name}.pc", raw_body)]
     return "\n".join(out)
 
 

@@ -316,11 +316,22 @@ def call_names(spark, d):
     return _bodies(spark, d).select("p_partkey", F.array_join(parse.calls(F.col("body"), F.lit("CM_LOG_1")), ",").alias("calls"))
 
 
+#: The text of a C file; line ends and quotes are escaped as Spark writes them.
+FILE = (
+    r"'/* supplier ' || s_suppkey || ' */\n#include \"proframe.h\"\n#include \"n' || s_nationkey || '_str.h\"\n\nint SP_GET_' || s_suppkey || '(sp_in_t *in, sp_out_t *out)\n{\n    /* read */\n    EXEC SQL SELECT BAL INTO :v FROM TB_SUPPLIER;\n    if (SQLCA.sqlcode != 0) {\n        strcpy(out->err_cd, \"E10\");\n        return FAIL;\n    }\n    NT_GET_' || s_nationkey || '(in, out);\n    return SUCCESS;\n}\n'"
+)
+
+
+def _plain(text: str) -> str:
+    """The same expression as DuckDB writes it."""
+    return text.replace(r"\n", "' || chr(10) || '").replace(r"\"", '"')
+
+
 def _files(spark, d):
     """A C file for each supplier, a header and a definition for each nation."""
     s = table(spark, d, "supplier").selectExpr(
         "array('c', lpad(s_suppkey, 9, '0')) AS ord", "'s' || s_suppkey || '.pc' AS file", "'pc' AS ext",
-        r"'/* supplier ' || s_suppkey || ' */\n#include \"proframe.h\"\n#include \"n' || s_nationkey || '_str.h\"\n\nint SP_GET_' || s_suppkey || '(sp_in_t *in, sp_out_t *out)\n{\n    /* read */\n    EXEC SQL SELECT BAL INTO :v FROM TB_SUPPLIER;\n    if (SQLCA.sqlcode != 0) {\n        strcpy(out->err_cd, \"E10\");\n        return FAIL;\n    }\n    NT_GET_' || s_nationkey || '(in, out);\n    return SUCCESS;\n}\n' AS text",
+        FILE + " AS text",
     )
     n = table(spark, d, "nation")
     h = n.selectExpr("array('h', lpad(n_nationkey, 9, '0')) AS ord", "'n' || n_nationkey || '_str.h' AS file", "'h' AS ext", r"'/* nation ' || n_nationkey || ' */\ntypedef struct {\n    char name[' || (n_nationkey + 2) || '];    /* its name */\n    long region;\n} n' || n_nationkey || '_in_t;\n' AS text")
@@ -338,6 +349,40 @@ def parse_functions(spark, d):
     return f.select("name", "file_path", "description", *[F.array_join(c, "|").alias(c) for c in ("params", "tables_used", "calls", "includes")])
 
 
+@query("function_bodies", f"""SELECT 'SP_GET_' || s_suppkey AS name, regexp_extract({_plain(FILE)}, '(?s)[{{].*[}}]') AS body FROM supplier""")
+def function_bodies(spark, d):
+    return parse.parse_functions(_files(spark, d)).select("name", "body")
+
+
+@query("relation_edges", "SELECT DISTINCT 'SP_GET_' || s_suppkey AS caller, 'NT_GET_' || s_nationkey AS callee FROM supplier")
+def relation_edges(spark, d):
+    return parse.relations(_files(spark, d))["function_calls"]
+
+
+@query("relation_usage", "SELECT 'SP_GET_' || s_suppkey AS function_name, 'TB_SUPPLIER' AS table_name, 'SELECT' AS operation, 'EXEC SQL SELECT BAL INTO :v FROM TB_SUPPLIER;' AS raw_sql FROM supplier")
+def relation_usage(spark, d):
+    return parse.relations(_files(spark, d))["sql_usage"].drop("ord")
+
+
+@query(
+    "rendered_definitions",
+    """SELECT 'n' || n_nationkey || '_in_t' AS name, '/* nation ' || n_nationkey || ' */' || chr(10) || 'typedef struct {' || chr(10) || '    char name[' || (n_nationkey + 2) || '];    /* its name */' || chr(10) || '    long region;' || chr(10) || '} n' || n_nationkey || '_in_t;' AS content FROM nation
+ UNION ALL SELECT 'TB_N' || n_nationkey, 'CREATE TABLE TB_N' || n_nationkey || ' (' || chr(10) || '    ID  VARCHAR2(' || (n_nationkey + 1) || ')  NOT NULL,' || chr(10) || '    BAL  NUMBER(15,2),' || chr(10) || '    D  DATE,' || chr(10) || '    PRIMARY KEY (ID, D)' || chr(10) || ');' || chr(10) || '-- nation ' || n_nationkey FROM nation""",
+)
+def rendered_definitions(spark, d):
+    files = _files(spark, d)
+    return parse.parse_structs(files).select("name", search.rendered_struct().alias("content")).unionByName(parse.parse_tables(files).select("name", search.rendered_table().alias("content")))
+
+
+@query(
+    "function_context",
+    """SELECT 1 AS section, 's1.pc' AS filename, 'entry' AS role, 'direct' AS relevance FROM supplier WHERE s_suppkey = 1 UNION ALL
+ SELECT 2, 'n' || s_nationkey || '_str.h', 'struct', 'direct' FROM supplier WHERE s_suppkey = 1""",
+)
+def function_context(spark, d):
+    return search.context(parse.relations(_files(spark, d)), "SP_GET_1").select("section", "filename", "role", "relevance")
+
+
 @query("parse_structs", "SELECT 'n' || n_nationkey || '_in_t' AS name, 'nation ' || n_nationkey AS description, 'char name[' || (n_nationkey + 2) || '] its name;long region[] ' AS fields FROM nation")
 def parse_structs(spark, d):
     text = F.array_join(F.transform("fields", lambda f: F.concat(f["c_type"], F.lit(" "), f["name"], F.lit("["), F.coalesce(f["size"], F.lit("")), F.lit("] "), F.coalesce(f["comment"], F.lit("")))), ";")
@@ -359,6 +404,15 @@ def semantic_chunks(spark, d):
     return chunk.chunk_semantic(_files(spark, d)).select("id", "file_type", "start_line", "end_line", "has_sql")
 
 
+@query(
+    "chunk_texts",
+    rf"""WITH t AS (SELECT s_suppkey, {_plain(FILE)} AS text FROM supplier)
+ SELECT 's' || s_suppkey || '.pc:SP_GET_' || s_suppkey AS id, substr(text, strpos(text, 'int SP_GET_'), length(text) - strpos(text, 'int SP_GET_')) AS text FROM t""",
+)
+def chunk_texts(spark, d):
+    return chunk.chunk_semantic(_files(spark, d)).where("file_type = 'pc'").select("id", "text")
+
+
 @query("include_links", """SELECT page_id, array_to_string(regexp_extract_all(html, 'href="([^"]+)"', 1), ' ') AS links FROM pages""")
 def include_links(spark, d):
     return table(spark, d, "pages").select("page_id", F.array_join(all_of(F.col("html"), 'href="([^"]+)"'), " ").alias("links"))
@@ -411,6 +465,22 @@ def strategy_averages(spark, d):
     return m.select("strategy", "n_queries", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "noise_ratio")])
 
 
+@query(
+    "retrieval_completeness",
+    """WITH p AS (SELECT p_partkey % 50 AS k, 'f' || p_size AS f, 's' || p_partkey % 7 AS g FROM part),
+ r AS (SELECT k, list(f) AS returned FROM p GROUP BY k), t AS (SELECT k, list(DISTINCT f) FILTER (f < 'f3') AS fb, list(DISTINCT g) FILTER (g = 's1') AS st FROM p GROUP BY k)
+ SELECT CAST(k AS VARCHAR) AS query, (coalesce(list_has_any(returned, coalesce(fb, [])), false)) AS has_function_body, (len(coalesce(st, [])) = 0 OR list_has_any(returned, coalesce(st, []))) AS has_structs, true AS has_called_functions, true AS has_table_ddl,
+ round((2 + CAST(list_has_any(returned, coalesce(fb, [])) AS INT) + CAST(len(coalesce(st, [])) = 0 OR list_has_any(returned, coalesce(st, [])) AS INT)) / 4.0::DOUBLE, 3) AS context_completeness FROM r JOIN t USING (k)""",
+)
+def retrieval_completeness(spark, d):
+    p = table(spark, d, "part").selectExpr("CAST(p_partkey % 50 AS STRING) AS query", "'f' || p_size AS f", "'s' || (p_partkey % 7) AS g")
+    results = p.groupBy("query").agg(F.collect_list("f").alias("returned_files")).withColumn("strategy", F.lit("s"))
+    none = F.array().cast("array<string>")
+    truth = p.groupBy("query").agg(F.collect_set(F.when(F.col("f") < "f3", F.col("f"))).alias("fb"), F.collect_set(F.when(F.col("g") == "s1", F.col("g"))).alias("st"))
+    truth = truth.select("query", none.alias("required_files"), none.alias("noise_files"), F.struct(F.col("fb").alias("function_body"), F.col("st").alias("structs"), none.alias("called_functions"), none.alias("table_ddl")).alias("context_categories"))
+    return evaluate.evaluate(results, truth).select("query", *[f"has_{c}" for c in evaluate.CATEGORIES], "context_completeness")
+
+
 # Version control
 
 @query("blame_parse", "SELECT o_orderkey, CAST(1 AS INTEGER) AS line, CAST(o_orderkey AS VARCHAR) AS revision, 'u' || o_custkey AS author, 'int a = ' || o_orderkey || ';' AS content FROM orders UNION ALL SELECT o_orderkey, 2, '7', 'me', '' FROM orders")
@@ -461,3 +531,32 @@ def analyzer_calls(spark, d):
 def analyzer_sql(spark, d):
     s = analyze.sql_statements(_analyzed(spark, d))
     return s.select("name", "line_no", "operation", "raw_sql", F.array_join("tables", ",").alias("tables"), F.array_join("into_vars", ",").alias("into_vars"), "comment", "condition")
+
+
+#: Bodies with a condition above a statement for every third part, a comment for every second, and two declared variables.
+SHAPED = r"""'{\n    EXEC SQL BEGIN DECLARE SECTION;\n    char v_' || p_size || '[4];\n    long n_row;\n    EXEC SQL END DECLARE SECTION;\n' ||
+ CASE WHEN p_partkey % 3 = 0 THEN '    if (x > ' || p_size || ')\n    {\n' ELSE '    a = 1;\n' END || CASE WHEN p_partkey % 2 = 0 THEN '    /* part ' || p_partkey || ' */\n' ELSE '' END ||
+ '    EXEC SQL DELETE FROM TB_P' || p_size || '\n        WHERE K = :v;\n}\n'"""
+
+
+def _shaped(spark, d):
+    return table(spark, d, "part").selectExpr("p_partkey AS name", "'' AS description", f"{SHAPED} AS body")
+
+
+@query(
+    "analyzer_conditions",
+    """SELECT p_partkey AS name, 7 + CAST(p_partkey % 3 = 0 AS INT) + CAST(p_partkey % 2 = 0 AS INT) AS line_no, 'EXEC SQL DELETE FROM TB_P' || p_size || ' WHERE K = :v;' AS raw_sql,
+ CASE WHEN p_partkey % 2 = 0 THEN 'part ' || p_partkey ELSE '' END AS comment, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 2 = 1 THEN 'if (x > ' || p_size || ')' ELSE '' END AS condition FROM part""",
+)
+def analyzer_conditions(spark, d):
+    return analyze.sql_statements(_shaped(spark, d)).where("operation = 'DELETE'").select("name", "line_no", "raw_sql", "comment", "condition")
+
+
+@query("analyzer_host_variables", "SELECT p_partkey AS name, 'v_' || p_size || ',n_row' AS host_variables FROM part")
+def analyzer_host_variables(spark, d):
+    return analyze.summary(_shaped(spark, d)).select("name", F.array_join("host_variables", ",").alias("host_variables"))
+
+
+@query("tables_touched", f"WITH {USAGE} SELECT DISTINCT table_name, operation FROM usage WHERE function_name = 'S1'")
+def tables_touched(spark, d):
+    return graph.tables_used(usage(spark, d), "S1")

@@ -189,6 +189,51 @@ def test_analysis(cat):
     assert "AA_PAY_01" in render.analysis("x", s, calls, [e])
 
 
+def test_names_of_all_scripts(spark):
+    """Names in any script count as words, in tables, columns, structs, fields and calls."""
+    body = "{ EXEC SQL SELECT A.이름, 금액 INTO :x FROM TB_한글 a JOIN TB_É2 ON 1 = 1;\u00a0exec\u00a0sql update TB_계좌 set n = 1; 가CALL_ONE(x); CALL_TWO\u00a0(in->계좌, out->é); }"
+    r = spark.createDataFrame([(body,)], "body string").select(
+        F.transform(parse.statements(F.col("body")), lambda s: s["tables"]).alias("t"), parse.statements(F.col("body"))[0]["columns"].alias("c"), parse.calls(F.col("body"), F.lit("X")).alias("calls"), analyze.fields(F.col("body"), "in").alias("i"), analyze.fields(F.col("body"), "out").alias("o"),
+    ).first()
+    assert r["t"] == [["TB_한글", "TB_É2"], ["TB_계좌"]] and r["c"] == ["이름", "금액"] and r["calls"] == ["CALL_TWO"] and (r["i"], r["o"]) == (["계좌"], ["é"])
+    files = spark.createDataFrame([(["a.h"], "a.h", "h", "typedef struct {\n    char 계좌[3]; /* c */\n} 구조_t;\n"), (["b.sql"], "b.sql", "sql", "CREATE TABLE TB_한글 (\n    이름 CHAR(2)\n);\nCOMMENT ON TABLE TB_한글 IS '표';\n")], "ord array<string>, file string, ext string, text string")
+    st, t = parse.parse_structs(files).first(), parse.parse_tables(files).first()
+    assert st["name"] == "구조_t" and st["fields"][0]["name"] == "계좌" and (t["name"], t["comment"], t["columns"][0]["name"]) == ("TB_한글", "표", "이름")
+    assert [r["name"] for r in search.name_candidates(spark.createDataFrame([("가ABCD EFGH", 1.0)], "text string, score double")).collect()] == ["EFGH"]
+
+
+def test_traps_of_statements(spark):
+    """Cursors, fetches, sequences, subqueries and comma joins as the operators class them."""
+    body = "{ EXEC SQL DECLARE c CURSOR FOR SELECT A FROM TB_A a, TB_B b; EXEC SQL FETCH c INTO :x; EXEC SQL CLOSE c; EXEC SQL SELECT SQ_N.NEXTVAL INTO :n FROM DUAL; EXEC SQL INSERT INTO TB_C SELECT X FROM TB_D; EXEC SQL COMMIT; EXEC SQL OPEN TB_CUR; }"
+    got = spark.createDataFrame([(body,)], "body string").select(F.explode(parse.statements(F.col("body"))).alias("s")).select("s.operation", "s.tables").collect()
+    assert [tuple(r) for r in got] == [("SELECT", ["TB_A", "TB_B"]), ("OTHER", []), ("OTHER", []), ("SELECT", ["SQ_N"]), ("SELECT", ["TB_C", "TB_D"]), ("OTHER", []), ("CURSOR", ["TB_CUR"])]
+
+
+def test_chunks_of_odd_files(spark):
+    text = "/* head */\n#include <a>\n\nint x;\n  int AA_ONE(int a);\nint AA_TWO(int b) {\n  if (a) { b; }\n}\n\n/* lead\n * more */\nint AA_THREE(void)\n{\n  EXEC SQL COMMIT;\n"
+    files = spark.createDataFrame([("a.pc", "pc", text), ("b.pc", "pc", ""), ("c.pc", "pc", None), ("d.pc", "pc", "/* only */\n// head")], "file string, ext string, text string")
+    got = {r["id"]: (r["start_line"], r["end_line"], r["text"], r["has_sql"]) for r in chunk.chunk_semantic(files).collect()}
+    rows_ = text.split("\n")
+    assert got["a.pc:AA_ONE"][:2] == (5, 8), "a prototype runs to the braces that follow it"
+    assert got["a.pc:AA_THREE"] == (9, len(rows_), "/* head */\n#include <a>\n\n" + "\n".join(rows_[8:]), True)
+    assert "a.pc:AA_TWO" not in got and got["b.pc:1-1"] == (1, 1, "", False) and got["c.pc:1-1"][2] == "" and got["d.pc:1-2"][:2] == (1, 2)
+
+
+def test_views(spark, cat):
+    assert [tuple(r) for r in cat.tables_used("AA_PAY_01").collect()] == [("TB_ACCT", "SELECT"), ("TB_OTHER", "SELECT"), ("TB_RATE", "SELECT")]
+    assert [r["table_name"] for r in cat.tables_touched("AA_TWO_02").collect()] == ["TB_CUR", "TB_LOG"]
+    by = cat.find_by_table("TB_RATE").collect()
+    assert [r["comment"] for r in by] == ["rates of fees"] * 2 and by[0]["columns"][0]["name"] == "K" and cat.find_by_table("TB_LOG").first()["comment"] is None
+    found = cat.search("fee rate")
+    assert tuple(found["related_files"].first()) == ("aa_pay_01.PC", "entry") and "(struct)" in render.files(found["related_files"].collect())
+    truth = spark.createDataFrame([("fee rate", ["aa_pay_01.PC"], ["tb_rate.sql"], {"function_body": ["aa_pay_01.PC"], "structs": ["aa_pay_str.h"], "called_functions": [], "table_ddl": []})], "query string, required_files array<string>, noise_files array<string>, context_categories struct<function_body:array<string>,structs:array<string>,called_functions:array<string>,table_ddl:array<string>>")
+    full = {r["strategy"]: r for r in cat.search_full("fee rate", truth).collect()}["structural"]
+    flags = {f["file"]: (f["is_noise"], f["is_relevant"]) for f in full["files"]}
+    assert flags["aa_pay_01.PC"] == (False, True) and flags["tb_rate.sql"] == (True, False) and full["recall"] == 1.0 and full["seconds"] > 0
+    assert cat.run_evaluation(truth).count() == 3
+    assert render.fenced("a.PC", "x") == "```c\nx\n```" and render.diff(" ") == "No changes." and "### Body" in render.analysis("x", [], [], [], "b")
+
+
 def test_evaluation(spark, cat):
     truth = spark.createDataFrame(
         [("q", ["a", "b"], ["n"], {"function_body": ["a"], "structs": [], "called_functions": ["c"], "table_ddl": []})],
