@@ -42,9 +42,22 @@ def evaluate(results: DataFrame, truth: DataFrame) -> DataFrame:
     return both.select("query", "strategy", "returned_files", *[v.alias(k) for k, v in m.items()], *[h.alias(f"has_{c}") for c, h in has.items()], F.round(full, 3).alias("context_completeness"))
 
 
+def evaluate_rows(results: DataFrame, truth: DataFrame) -> DataFrame:
+    """query, strategy, precision, recall, noise_ratio from rows, for results too large to hold as one list.
+
+    ``results``: query, strategy, file; ``truth``: query, file, kind (required or noise). Repeats count once.
+    """
+    is_ = lambda kind: F.max((F.col("kind") == kind).cast("int"))
+    told = truth.groupBy("query", "file").agg(is_("required").alias("required"), is_("noise").alias("noise"))
+    wanted = told.groupBy("query").agg(F.sum("required").alias("wanted"))
+    found = results.select("query", "strategy", "file").distinct().join(told, ["query", "file"], "left")
+    each = found.groupBy("query", "strategy").agg(F.count("*").alias("n"), F.sum(F.coalesce("required", F.lit(0))).alias("hit"), F.sum(F.coalesce("noise", F.lit(0))).alias("bad")).join(wanted, "query", "left")
+    return each.select("query", "strategy", ratio(F.col("hit"), F.col("n")).alias("precision"), ratio(F.col("hit"), F.coalesce("wanted", F.lit(0))).alias("recall"), ratio(F.col("bad"), F.col("n")).alias("noise_ratio"))
+
+
 METRICS = ("precision", "recall", "noise_ratio", "context_completeness")
 
 
 def strategy_averages(metrics: DataFrame) -> DataFrame:
-    """Mean of the rounded metrics for each strategy."""
-    return metrics.groupBy("strategy").agg(F.count("*").alias("n_queries"), *[F.avg(m).alias(m) for m in METRICS])
+    """Mean of the rounded metrics, those that are there, for each strategy."""
+    return metrics.groupBy("strategy").agg(F.count("*").alias("n_queries"), *[F.avg(m).alias(m) for m in METRICS if m in metrics.columns])

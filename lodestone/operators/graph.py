@@ -28,6 +28,12 @@ def neighbours(edges: DataFrame, name: str) -> DataFrame:
     )
 
 
+def links(edges: DataFrame, name: str) -> DataFrame:
+    """name, direction (calls or called_by) of each neighbour: ``neighbours`` as rows, for nodes with too many for one list."""
+    calls = edges.where(F.col("src") == name).select(F.col("dst").alias("name"), F.lit("calls").alias("direction"))
+    return calls.unionByName(edges.where(F.col("dst") == name).select(F.col("src").alias("name"), F.lit("called_by").alias("direction"))).distinct()
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """name, n_calls, n_callers of every node: ``neighbours`` of all nodes at once, as counts."""
     both = edges.select(F.col("src").alias("name"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionAll(edges.select(F.col("dst").alias("name"), F.lit(0).alias("o"), F.lit(1).alias("i")))

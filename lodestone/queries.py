@@ -144,6 +144,11 @@ def neighbours_of(spark, d):
     return graph.neighbours(dag(spark, d), "N1").select("entry", F.array_join("calls", ",").alias("calls"), F.array_join("called_by", ",").alias("called_by"))
 
 
+@query("links_of", f"WITH {DAG} SELECT DISTINCT dst AS name, 'calls' AS direction FROM edges WHERE src = 'N1' UNION ALL SELECT DISTINCT src, 'called_by' FROM edges WHERE dst = 'N1'")
+def links_of(spark, d):
+    return graph.links(dag(spark, d), "N1")
+
+
 TREE = """, t(src, dst, depth) AS (SELECT src, dst, 1 FROM edges WHERE src = '{0}' UNION ALL SELECT e.src, e.dst, t.depth + 1 FROM edges e JOIN t ON e.src = t.dst WHERE t.depth < {1})"""
 
 
@@ -447,11 +452,8 @@ def _evaluated(spark, d):
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
     ident = F.col("doc_id").cast("string")
     found = docs.select("lang", "doc_id", F.explode(F.array(*[F.when(F.contains("text", F.lit(t)), F.lit(s)) for s, t in STRATEGIES])).alias("strategy")).where(F.col("strategy").isNotNull())
-    results = found.groupBy(F.col("lang").alias("query"), "strategy").agg(F.collect_list(ident).alias("returned_files"))
-    none = F.array().cast("array<string>")
-    truth = docs.select("doc_id", "lang").join(labels, "doc_id").groupBy(F.col("lang").alias("query")).agg(F.collect_list(F.when(F.col("quality") == 1, ident)).alias("required_files"), F.collect_list(F.when(F.col("toxic") == 1, ident)).alias("noise_files"))
-    truth = truth.withColumn("context_categories", F.struct(*[none.alias(c) for c in evaluate.CATEGORIES]))
-    return evaluate.evaluate(results, truth)
+    told = docs.select("doc_id", F.col("lang").alias("query")).join(labels, "doc_id").select("query", ident.alias("file"), F.explode(F.array(F.when(F.col("quality") == 1, "required"), F.when(F.col("toxic") == 1, "noise"))).alias("kind"))
+    return evaluate.evaluate_rows(found.select(F.col("lang").alias("query"), "strategy", ident.alias("file")), told.where(F.col("kind").isNotNull()))
 
 
 @query("retrieval_metrics", f"WITH {EVAL} SELECT query, strategy, precision, recall, noise_ratio FROM e")
@@ -467,13 +469,13 @@ def strategy_averages(spark, d):
 
 @query(
     "retrieval_completeness",
-    """WITH p AS (SELECT p_partkey % 50 AS k, 'f' || p_size AS f, 's' || p_partkey % 7 AS g FROM part),
+    """WITH p AS (SELECT p_partkey // 40 AS k, 'f' || p_size AS f, 's' || p_partkey % 7 AS g FROM part),
  r AS (SELECT k, list(f) AS returned FROM p GROUP BY k), t AS (SELECT k, list(DISTINCT f) FILTER (f < 'f3') AS fb, list(DISTINCT g) FILTER (g = 's1') AS st FROM p GROUP BY k)
  SELECT CAST(k AS VARCHAR) AS query, (coalesce(list_has_any(returned, coalesce(fb, [])), false)) AS has_function_body, (len(coalesce(st, [])) = 0 OR list_has_any(returned, coalesce(st, []))) AS has_structs, true AS has_called_functions, true AS has_table_ddl,
  round((2 + CAST(list_has_any(returned, coalesce(fb, [])) AS INT) + CAST(len(coalesce(st, [])) = 0 OR list_has_any(returned, coalesce(st, [])) AS INT)) / 4.0::DOUBLE, 3) AS context_completeness FROM r JOIN t USING (k)""",
 )
 def retrieval_completeness(spark, d):
-    p = table(spark, d, "part").selectExpr("CAST(p_partkey % 50 AS STRING) AS query", "'f' || p_size AS f", "'s' || (p_partkey % 7) AS g")
+    p = table(spark, d, "part").selectExpr("CAST(p_partkey DIV 40 AS STRING) AS query", "'f' || p_size AS f", "'s' || (p_partkey % 7) AS g")
     results = p.groupBy("query").agg(F.collect_list("f").alias("returned_files")).withColumn("strategy", F.lit("s"))
     none = F.array().cast("array<string>")
     truth = p.groupBy("query").agg(F.collect_set(F.when(F.col("f") < "f3", F.col("f"))).alias("fb"), F.collect_set(F.when(F.col("g") == "s1", F.col("g"))).alias("st"))

@@ -245,6 +245,9 @@ def test_evaluation(spark, cat):
     assert (r["precision"], r["recall"], r["noise_ratio"], r["context_completeness"]) == (0.333, 0.5, 0.333, 0.75) and r["missing_files"] == ["b"]
     assert (m["q", "t"]["precision"], m["q", "t"]["context_completeness"]) == (0.0, 0.5)
     assert m["unknown", "s"]["context_completeness"] == 0.0 and m["unknown", "s"]["recall"] == 0.0
+    long = spark.createDataFrame([("q", "s", f) for f in ("a", "n", "x", "a")] + [("unknown", "s", "a")], "query string, strategy string, file string")
+    told = spark.createDataFrame([("q", "a", "required"), ("q", "b", "required"), ("q", "n", "noise"), ("q", "n", "noise")], "query string, file string, kind string")
+    assert {tuple(x) for x in evaluate.evaluate_rows(long, told).collect()} == {("q", "s", 0.333, 0.5, 0.333), ("unknown", "s", 0.0, 0.0, 0.0)}
     avg = {x["strategy"]: x for x in evaluate.strategy_averages(evaluate.evaluate(res, truth)).collect()}
     assert avg["s"]["n_queries"] == 2 and abs(avg["s"]["precision"] - 0.1665) < 1e-9
     assert cat.search_full("fee rate", truth).count() == 2
