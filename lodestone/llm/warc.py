@@ -9,17 +9,20 @@ payload as ``response``; the others are ``revisit`` records that name it.
 
 ``write_index`` reads the archives record by record and sorts captures by their
 reversed-host key (``com,example)/path``), range-partitioned; runs of ``block_lines``
-lines are compressed into blocks, and a sparse directory keeps each block's first
-key. ``lookup`` finds a URL's captures by binary search in the directory, then in
-the block, and then reads only the record's byte range. ``read_back`` reads all
-records: each archive once from end to end, and of it what the index lists, by
-path and offset, so that bulk reading moves no archive to another task.
+lines are compressed into blocks with their first and last key, and a sparse directory
+keeps the keys of each range of blocks. ``lookup`` finds one URL's captures by binary search
+in the directory, then in the blocks, and then reads only the records' byte ranges.
+``locate`` does so for a table of URLs of any size: each key finds its ranges by binary search
+in the directory, meets their blocks in key order, and is searched for in the lines.
+``read_back`` reads the byte ranges found, in the order of archives, neighbouring
+ranges together, so that no archive moves to another task.
 
 Defined results: a null html is an empty payload; a null URL is an empty target;
 a record of a null page_id revisits the response of its payload if some page_id has
 it, else it is a response; every row of the smallest page_id of a payload is a
 response, since a record can't revisit itself. CR and LF in URLs are percent-encoded in headers.
-An empty table gives an empty archive and index. Extra columns are ignored.
+An empty table gives an empty archive and index. Extra columns are ignored. URLs that no
+capture has give no rows, repeated URLs give their captures once.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ import zlib
 from urllib.parse import unquote
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -161,7 +165,7 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_index(spark: SparkSession, archives: str, path: str, block_lines: int = 1000) -> None:
-    """Writes blocks (first_key, last_key, n, lines) of the capture lines, sorted by key, and with them the directory."""
+    """Writes blocks (first_key, last_key, n, lines, part) of the capture lines, sorted by key; ``part`` numbers the ranges of keys."""
 
     def run(batches):
         def block(lines):
@@ -182,35 +186,101 @@ def write_index(spark: SparkSession, archives: str, path: str, block_lines: int
     lines = written(captures(spark, archives))
     # Equal keys are spread over ranges by page_id and offset: a host may hold a third of all pages.
     ordered = lines.repartitionByRange("key", "page_id", "path", "offset").sortWithinPartitions("key", "page_id", "path", "offset")
-    ordered.mapInArrow(run, "first_key string, last_key string, n long, lines binary").write.parquet(path)
+    blocks = ordered.mapInArrow(run, "first_key string, last_key string, n long, lines binary")
+    blocks.withColumn("part", F.spark_partition_id()).write.parquet(path)
 
 
-def directory(spark: SparkSession, index: str) -> list[tuple[str, str, int]]:
-    """The sparse directory: first and last key of each block and its lines, in key order; a row for each block."""
-    return sorted((r["first_key"], r["last_key"], r["n"]) for r in spark.read.parquet(index).select("first_key", "last_key", "n").collect())
+def directory(spark: SparkSession, index: str) -> list[tuple[str, str, int, int]]:
+    """The sparse directory: first key, last key, number and lines of each range of blocks, in key order.
 
+    It has a row for each task that wrote the index, so its size is that of
+    ``spark.sql.shuffle.partitions`` and doesn't grow with the pages.
+    """
+    ranges = spark.read.parquet(index).groupBy("part").agg(F.min("first_key").alias("first"), F.max("last_key").alias("last"), F.sum("n").alias("n"))
+    return sorted((r["first"], r["last"], r["part"], r["n"]) for r in ranges.collect())
+
+
+def _ranges_of(key: str, firsts: list[str], lasts: list[str]) -> range:
+    """Which ranges of the directory may hold ``key``; equal keys may fill several."""
+    return range(bisect.bisect_left(lasts, key), bisect.bisect_right(firsts, key))
+
+
+def _lines_of(key: str, lines: list) -> list:
+    """The lines of a block that have ``key``."""
+    return lines[bisect.bisect_left(lines, key, key=lambda x: x[0]) : bisect.bisect_right(lines, key, key=lambda x: x[0])]
+
+
+def _opened(block: bytes) -> list:
+    return [json.loads(x) for x in zlib.decompress(block).decode().split("\n")]
 
-def lookup(spark: SparkSession, index: str, url: str, sparse: list[tuple[str, str, int]] | None = None) -> list[dict]:
+
+def lookup(spark: SparkSession, index: str, url: str, sparse: list[tuple[str, str, int, int]] | None = None) -> list[dict]:
     """The captures of one URL, by two binary searches and a range read for each record."""
     key = surt(url)
     sparse = sparse if sparse is not None else directory(spark, index)
-    lo = max(0, bisect.bisect_left(sparse, (key,)) - 1)
-    wanted = []
-    while lo < len(sparse) and sparse[lo][0] <= key:
-        if sparse[lo][1] >= key:
-            wanted.append(sparse[lo][0])
-        lo += 1
-    if not wanted:
+    parts = [sparse[i][2] for i in _ranges_of(key, [x[0] for x in sparse], [x[1] for x in sparse])]
+    if not parts:
         return []
-    out = []
-    for r in spark.read.parquet(index).where(F.col("first_key").isin(sorted(set(wanted))) & (F.col("last_key") >= key)).select("lines").collect():
-        lines = [json.loads(x) for x in zlib.decompress(r["lines"]).decode().split("\n")]
-        at = bisect.bisect_left(lines, key, key=lambda x: x[0])
-        while at < len(lines) and lines[at][0] == key:
-            _, _, path, offset, length = lines[at]
-            out.append(content(_range(spark, path, offset, length), 0))
-            at += 1
-    return out
+    blocks = spark.read.parquet(index).where(F.col("part").isin(parts) & (F.col("first_key") <= key) & (F.col("last_key") >= key))
+    return [content(_range(spark, path, offset, length), 0) for r in blocks.select("lines").collect() for _, _, path, offset, length in _lines_of(key, _opened(r["lines"]))]
+
+
+FOUND = "page_id long, path string, offset long, length long"
+
+
+def _found(rows):
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], [x.split()[0] for x in FOUND.split(", ")])
+
+
+def all_lines(spark: SparkSession, index: str) -> DataFrame:
+    """page_id, path, offset and length of everything that the index lists."""
+
+    def run(batches):
+        for batch in batches:
+            for block in batch.column(0):
+                yield _found([x[1:] for x in _opened(block.as_py())])
+
+    return spark.read.parquet(index).select("lines").mapInArrow(run, FOUND)
+
+
+def locate(spark: SparkSession, index: str, urls: DataFrame) -> DataFrame:
+    """page_id, path, offset and length of the captures of all ``urls`` (first column; null: the empty URL).
+
+    Keys go to the ranges that the directory names for them, where keys and blocks
+    pass in one order; a block is opened once, for the first key inside it.
+    """
+    sparse = directory(spark, index)
+    firsts, lasts, parts = ([x[i] for x in sparse] for i in range(3))
+
+    def keys(batches):
+        for batch in batches:
+            wanted = {surt(u or "") for u in batch.column(0).to_pylist()}
+            rows = [(k, parts[i]) for k in sorted(wanted) for i in _ranges_of(k, firsts, lasts)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32()), strict=True)], ["key", "part"])
+
+    def search(batches):
+        at, held = None, []  # blocks whose keys reach the current one: [last_key, bytes, lines once opened]
+        for batch in batches:
+            rows = []
+            for part, key, last, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held = [b for b in held if b[0] >= key] if part == at else []
+                at = part
+                if block is not None:
+                    held.append([last, block, None])
+                    continue
+                for b in held:
+                    b[2] = b[2] or _opened(b[1])
+                    rows.extend(x[1:] for x in _lines_of(key, b[2]))
+            if rows:
+                yield _found(rows)
+
+    asked = urls.select(F.col(urls.columns[0]).cast("string").alias("url")).mapInArrow(keys, "key string, part int").distinct()
+    blocks = spark.read.parquet(index).select("part", F.col("first_key").alias("key"), "last_key", "lines")
+    both = blocks.unionByName(asked, allowMissingColumns=True)
+    # A range goes to the task of its number; blocks come before the keys that equal their first.
+    dealt = both.repartitionById(max(parts, default=0) + 1, F.col("part")).sortWithinPartitions("part", "key", F.col("lines").isNull())
+    return dealt.mapInArrow(search, FOUND)
 
 
 def _range(spark: SparkSession, path: str, offset: int, length: int) -> bytes:
@@ -226,69 +296,134 @@ def _range(spark: SparkSession, path: str, offset: int, length: int) -> bytes:
 
 
 READ = "path string, offset long, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, stated string"
+#: Ranges less than GAP bytes apart are read together, up to about TOGETHER bytes.
+GAP, TOGETHER = 1 << 16, 8 << 20
 
 
-def read_records(spark: SparkSession, archives: str, payload: bool = True) -> DataFrame:
-    """Every record of the archives with its path and offset, archive by archive in one pass each.
-
-    Digest and length are those of the payload read, null without one; ``stated`` is the header's digest.
-    """
+def _made(rows):
     names = [x.split()[0] for x in READ.split(", ")]
     kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names)
 
-    def made(rows):
-        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names)
 
-    def run(batches):
-        for batch in batches:
-            for where, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data, at, rows, held = data.as_py(), 0, [], 0
-                while at < len(data):
-                    record = content(data, at) | {"path": where, "offset": at}
-                    body, record["stated"] = record["payload"], record["payload_digest"]
-                    record["payload_bytes"] = None if body is None else len(body)
-                    record["payload_digest"] = None if body is None else hashlib.sha256(body).hexdigest()
-                    if not payload and record["payload"] is not None:
-                        record["payload"] = b""
-                    rows.append(record)
-                    held += len(record["payload"] or b"")
-                    at = parse(data, at)[2]
-                    if len(rows) == 1000 or held > 4 << 20:
-                        yield made(rows)
-                        rows, held = [], 0
-                if rows:
-                    yield made(rows)
+def _checked(record: dict, path: str, offset: int, payload: bool) -> dict:
+    """A record with digest and length of the payload read (null without one); ``stated`` is the header's digest."""
+    body = record["payload"]
+    sha = None if body is None else hashlib.sha256(body).hexdigest()
+    return record | {
+        "path": path, "offset": offset, "stated": record["payload_digest"], "payload_digest": sha,
+        "payload_bytes": None if body is None else len(body), "payload": body if payload or body is None else b"",
+    }
+
+
+def _batched(records):
+    """Batches of at most 1000 records or about 4 MB of payload."""
+    rows, held = [], 0
+    for record in records:
+        rows.append(record)
+        held += len(record["payload"] or b"")
+        if len(rows) == 1000 or held > 4 << 20:
+            yield _made(rows)
+            rows, held = [], 0
+    if rows:
+        yield _made(rows)
+
 
-    return _files(spark, archives).mapInArrow(run, READ)
+def _store(path: str):
+    """The file system of ``path`` for range reads within tasks, and the path in it."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file" or not rest:
+        return fs.LocalFileSystem(), "/" + (rest or path).lstrip("/")
+    host, _, inner = rest.lstrip("/").partition("/")
+    store, root = fs.FileSystem.from_uri(f"{'s3' if scheme == 's3a' else scheme}://{host}/")
+    return store, f"{root.rstrip('/')}/{inner}"
 
 
-def read_back(spark: SparkSession, archives: str, index: str, payload: bool = True) -> DataFrame:
-    """Every record that the index lists, as found in its archive at the offset listed.
+def read_ranges(lines: DataFrame, payload: bool = True) -> DataFrame:
+    """The records at path, offset and length of ``lines``, each archive in order, neighbouring ranges in one read.
 
-    Digest and length come from the payload read, for a revisit from its response's.
+    Tasks get like numbers of records in the order of archives, so large archives are split between them.
     """
 
-    def lines(batches):
+    def runs(batches):
+        run = []
         for batch in batches:
-            for data in batch.column(0):
-                rows = [json.loads(x)[2:4] for x in zlib.decompress(data.as_py()).decode().split("\n")]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["path", "offset"])
+            for path, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if run and (path != run[0][0] or offset - run[-1][1] - run[-1][2] > GAP or offset + length - run[0][1] > TOGETHER):
+                    yield run
+                    run = []
+                run.append((path, offset, length))
+        if run:
+            yield run
+
+    def records(batches):
+        name, file = None, None
+        for run in runs(batches):
+            path, begin, _ = run[0]
+            if path != name:
+                store, inner = _store(path)
+                name, file = path, store.open_input_file(inner)
+            data = file.read_at(run[-1][1] + run[-1][2] - begin, begin)
+            for _, offset, _ in run:
+                yield _checked(content(data, offset - begin), path, offset, payload)
+
+    ordered = lines.select("path", "offset", "length").repartitionByRange("path", "offset").sortWithinPartitions("path", "offset")
+    return ordered.mapInArrow(lambda batches: _batched(records(batches)), READ)
 
-    listed = spark.read.parquet(index).select("lines").mapInArrow(lines, "path string, offset long")
-    found = read_records(spark, archives, payload).join(listed, ["path", "offset"]).drop("path", "offset")
-    said = read_records(spark, archives, False).where("payload IS NOT NULL AND page_id IS NOT NULL").groupBy(F.col("page_id").alias("refers_to"), "stated")
+
+def read_records(spark: SparkSession, archives: str, payload: bool = True) -> DataFrame:
+    """Every record of the archives with its path and offset, archive by archive from end to end through Spark's reader."""
+
+    def records(batches):
+        for batch in batches:
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data, at = data.as_py(), 0
+                while at < len(data):
+                    yield _checked(content(data, at), path, at, payload)
+                    at = parse(data, at)[2]
+
+    return _files(spark, archives).mapInArrow(lambda batches: _batched(records(batches)), READ)
+
+
+def read_back(spark: SparkSession, archives: str, index: str, payload: bool = True, urls: DataFrame | None = None) -> DataFrame:
+    """The records of ``urls`` (None: every record that the index lists), read at the byte ranges that the index gives.
+
+    Digest and length come from the payload read, for a revisit from its response's, which
+    is read too where it belongs to none of the URLs. Stores that Arrow can't open
+    are read whole by Spark, and joined to the ranges by path and offset.
+    """
+    try:
+        _store(archives)
+        read = read_ranges
+    except (pa.ArrowException, NotImplementedError, OSError):
+        def read(lines, payload):
+            return read_records(spark, archives, payload).join(lines.select("path", "offset"), ["path", "offset"])
+
+    lines = written(all_lines(spark, index) if urls is None else locate(spark, index, urls))
+    found = written(read(lines, False))
+    had = ["page_id", "stated", "payload_bytes", "payload_digest"]
+    responses = found.where("payload IS NOT NULL AND page_id IS NOT NULL").select(had)
+    named = written(found.where("refers_to IS NOT NULL").select(F.col("refers_to").alias("page_id"), "stated").distinct())
+    others = named.join(responses, ["page_id", "stated"], "left_anti").select("page_id").distinct()
+    if urls is not None and not others.isEmpty():
+        more = written(all_lines(spark, index).join(others, "page_id", "left_semi"))
+        responses = responses.unionByName(read(more, False).where("payload IS NOT NULL").select(had))
+    said = responses.join(named, ["page_id", "stated"], "left_semi").groupBy(F.col("page_id").alias("refers_to"), "stated")
     said = written(said.agg(F.min(F.struct("payload_bytes", "payload_digest")).alias("of")))
+    found = (read(lines, True) if payload else found).drop("path", "offset")
     own = lambda c: F.coalesce(c, F.col(f"of.{c}")).alias(c)
     names = [c for c in found.columns if c != "stated"]
     return found.join(said, ["refers_to", "stated"], "left").select(*[own(c) if c in ("payload_bytes", "payload_digest") else c for c in names])
 
 
 def op3_warc(spark, sf_dir):
-    """Writes all ``pages`` as archives and an index, and reads every record back through it."""
+    """Writes all ``pages`` as archives and an index, and reads the records of all their URLs back through it."""
     archives, index = work_dir(spark), work_dir(spark)
-    write_archives(table(spark, sf_dir, "pages"), archives)
+    pages = table(spark, sf_dir, "pages")
+    write_archives(pages, archives)
     write_index(spark, archives, index)
-    return read_back(spark, archives, index, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = read_back(spark, archives, index, payload=False, urls=pages.select("url"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP3_SQL = """

@@ -340,6 +340,35 @@ def test_archives_round_trip(spark):
         assert any(r["page_id"] == i and r["url"] == (u or "") for r in hits)
         assert all(r["payload"] is None or hashlib.sha256(r["payload"]).hexdigest() == r["payload_digest"] for r in hits)
     assert warc.lookup(spark, index, "http://nowhere.example/") == []
+    digits = lambda rows: sorted(map(str, ((r["page_id"], r["url"], r["record_type"], r["payload_bytes"], r["payload_digest"], r["refers_to"]) for r in rows)))
+    every = df.select("url").union(df.select("url")).union(spark.createDataFrame([("http://nowhere.example/",), ("",), (None,)], "url string"))
+    assert digits(warc.read_back(spark, archives, index, payload=False, urls=every).collect()) == digits(got)
+    for u in ("http://n.org/", "http://r.org/", "http://x.org/100%25"):  # responses of other URLs are read for their revisits
+        some = warc.read_back(spark, archives, index, urls=spark.createDataFrame([(u,)], "url string")).collect()
+        assert digits(some) == digits(r for r in got if r["url"] == u) and some
+
+
+def test_lookup_reads_ranges_only(spark):
+    """One URL with a third of all captures over many blocks and ranges, keys around it, and what is read of an archive."""
+    pages = [(i, "http://hot.org/" if i % 3 == 0 else f"http://h{i % 7}.org/{i}", f"{i}," * 60) for i in range(900)]
+    archives, index = work_dir(spark), work_dir(spark)
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4), archives, archive_bytes=50_000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so small an index is one range
+    try:
+        warc.write_index(spark, archives, index, block_lines=20)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(warc.directory(spark, index)) > 1
+    asked = ["http://hot.org/", "http://h1.org/1", "http://h1.org/0", "http://HOT.org", "http://zz.org/"]
+    urls = spark.createDataFrame([(u,) for u in asked], "url string")
+    want = {i for i, u, _ in pages if u in asked}
+    at = warc.locate(spark, index, urls).collect()
+    assert len(at) == len(want) and {r["page_id"] for r in at} == want
+    got = warc.read_back(spark, archives, index, urls=urls).collect()
+    assert {r["page_id"]: bytes(r["payload"]).decode() for r in got} == {i: h for i, _, h in pages if i in want} and len(got) == len(want)
+    whole = warc.read_records(spark, archives).collect()
+    assert sorted(r["page_id"] for r in whole) == list(range(900))
+    assert sorted(bytes(r["payload"]).decode() for r in whole) == sorted(h for *_, h in pages)
 
 
 def test_damaged_payloads_are_seen(spark):
@@ -361,6 +390,7 @@ def test_empty_archive(spark):
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), archives)
     warc.write_index(spark, archives, index)
     assert warc.read_back(spark, archives, index).collect() == []
+    assert warc.read_back(spark, archives, index, urls=spark.createDataFrame([("u",)], "url string")).collect() == []
 
 
 def test_keys():
