@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import query_terms
 from lodestone.operators import patterns as pat
 from lodestone.operators.graph import transitive_callees
+from lodestone.plans.store import settled
+
 
 def keyword_score(query: str, weights: dict[str, int]) -> Column:
     """Sum over the query's terms of the weights of the columns that contain them, case-sensitive."""
@@ -37,22 +43,91 @@ def vector_search(df: DataFrame, query: list[float], key: str, vector: str = "em
     return df.withColumn("distance", d).orderBy("distance", key).limit(k).withColumn("score", similarity(F.col("distance")))
 
 
-def vector_search_batch(df: DataFrame, queries: DataFrame, key: str, vector: str = "embedding", k: int = 5, broadcast_rows: int = 10_000) -> DataFrame:
-    """query_key, key, distance, score, rank: the k nearest rows for each row of ``queries`` (same columns).
-
-    The stated queries meet all rows in blocks of ``broadcast_rows``; each row of
-    ``df`` is paired with whole blocks only.
+def _blocks(df: DataFrame, key: str, vector: str, rows: int) -> DataFrame:
+    """block, dims, keys, vals: about ``rows`` vectors of one length in each row, as doubles; a task packs its own rows."""
+
+    def run(batches):
+        task, made, held = TaskContext.get().partitionId() << 32, 0, {}
+
+        def packed(dims):
+            keys, vals = zip(*held.pop(dims), strict=True)
+            every, names = np.concatenate(vals), pa.concat_arrays(keys)
+            lists = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names)
+            return pa.RecordBatch.from_arrays([pa.array([task + made]), pa.array([dims]), lists, pa.array([every.tobytes()])], ["block", "dims", "keys", "vals"])
+
+        for batch in batches:
+            size, vals = batch.column(2).to_numpy(), batch.column(1).flatten().to_numpy()
+            begin = np.cumsum(size) - size
+            for dims in np.unique(size).tolist():
+                at = np.flatnonzero(size == dims)
+                held.setdefault(dims, []).append((batch.column(0).take(pa.array(at)), vals[begin[at][:, None] + np.arange(dims)]))
+                if sum(len(v) for _, v in held[dims]) >= rows:
+                    yield packed(dims)
+                    made += 1
+        for dims in list(held):
+            yield packed(dims)
+            made += 1
+
+    whole = F.col(key).isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull())
+    kept = df.where(whole).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.size(vector).alias("size"))
+    return kept.mapInArrow(run, f"block long, dims long, keys array<{df.schema[key].dataType.simpleString()}>, vals binary")
+
+
+def _nearest(v: np.ndarray, q: np.ndarray, k: int, step: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions in ``q`` and ``v`` and squared distance of the k nearest rows, ties to the earlier; sums run in the order of dimensions."""
+    out = []
+    columns = np.ascontiguousarray(v.T)
+    for lo in range(0, len(q), step):
+        some = q[lo : lo + step]
+        d = np.zeros((len(some), len(v)))
+        for x, y in zip(columns, some.T, strict=True):
+            d += np.square(x[None, :] - y[:, None])
+        for i, row in enumerate(d):
+            at = np.flatnonzero(~np.isnan(row))
+            if at.size > k:
+                at = at[row[at] <= np.partition(row[at], k - 1)[k - 1]]
+            at = at[np.argsort(row[at], kind="stable")[:k]]
+            out.append((np.full(at.size, lo + i), at, row[at]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def vector_search_batch(df: DataFrame, queries: DataFrame, key: str, vector: str = "embedding", k: int = 5, shard_rows: int = 16_384, broadcast_rows: int = 2048, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """query_key, key, distance, score, rank: the k nearest rows for each row of ``queries`` (same columns), exact.
+
+    Shards of ``df`` meet blocks of ``broadcast_rows`` queries and keep k rows a
+    query, so only these are shuffled and ranked. Up to ``broadcast_bytes`` (counted) the
+    blocks are sent to all tasks; beyond, they are copied to groups of shards, and a shard moves
+    once. ``key`` is unique on either side. Rows without key or vector, with an empty
+    vector or a null in it take no part; vectors of other lengths are not compared.
     """
-    from pyspark.sql import Window
-
-    n = 1 + queries.count() // broadcast_rows
-    packed = queries.select(F.pmod(F.xxhash64(key), F.lit(n)).alias("block"), F.struct(F.col(key).alias("k"), F.col(vector).alias("v")).alias("q"))
-    blocks = packed.groupBy("block").agg(F.collect_list("q").alias("qs"))
-    each = df.select(F.col(key), F.col(vector), F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")).alias("block")).join(blocks, "block")
-    pairs = each.select(F.col(key), F.explode(F.transform("qs", lambda q: F.struct(q["k"].alias("query_key"), squared_l2(F.col(vector), q["v"]).alias("distance")))).alias("x")).select("x.query_key", key, "x.distance")
-    w = Window.partitionBy("query_key").orderBy("distance", key)
-    ranked = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.withColumn("score", similarity(F.col("distance")))
+    spark = df.sparkSession
+    kind = df.schema[key].dataType.simpleString()
+    asked = settled(_blocks(queries, key, vector, broadcast_rows)).select(F.col("block").alias("q_block"), F.col("dims").alias("q_dims"), F.col("keys").alias("q_keys"), F.col("vals").alias("q_vals"))
+    shards = _blocks(df, key, vector, shard_rows)
+    size = asked.agg(F.coalesce(F.sum(F.length("q_vals") + F.octet_length(F.to_json("q_keys"))), F.lit(0))).first()[0]
+    if size <= broadcast_bytes:
+        both = shards.join(F.broadcast(asked), F.col("dims") == F.col("q_dims"))
+    else:
+        groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = shards.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups)))
+        copies = asked.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>")))
+        both = dealt.join(copies, (dealt["g"] == copies["g"]) & (F.col("dims") == F.col("q_dims")))
+
+    def run(batches):
+        for batch in batches:
+            col = dict(zip(batch.schema.names, batch.columns, strict=True))
+            for i in range(batch.num_rows):
+                keys, q_keys = (col[c][i].values for c in ("keys", "q_keys"))
+                dims = col["dims"][i].as_py()
+                v, q = (np.frombuffer(col[c][i].as_buffer(), np.float64).reshape(-1, dims) for c in ("vals", "q_vals"))
+                order = pc.sort_indices(keys)
+                qi, vi, d = _nearest(v[order.to_numpy()], q, k)
+                yield pa.RecordBatch.from_arrays([q_keys.take(pa.array(qi)), keys.take(order).take(pa.array(vi)), pa.array(d)], ["query_key", "key", "distance"])
+
+    found = both.select("dims", "keys", "vals", "q_keys", "q_vals").mapInArrow(run, f"query_key {kind}, key {kind}, distance double")
+    w = Window.partitionBy("query_key").orderBy("distance", "key")
+    ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.select("query_key", F.col("key").alias(key), "distance", "rank", similarity(F.col("distance")).alias("score"))
 
 
 def name_candidates(chunks: DataFrame, text: str = "text", score: str = "score", pattern: str = pat.NAME, stop: tuple[str, ...] = pat.NOT_NAMES) -> DataFrame:

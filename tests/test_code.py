@@ -308,10 +308,19 @@ def test_deep_and_bushy_trees(spark):
 
 
 def test_vector_batch_in_several_blocks(spark):
-    df = spark.createDataFrame([(i, [float(i % 7), float(i % 3)]) for i in range(60)], "id long, embedding array<float>")
-    one = search.vector_search_batch(df, df.where("id < 20"), "id", k=3).select("query_key", "id", "rank")
-    many = search.vector_search_batch(df, df.where("id < 20"), "id", k=3, broadcast_rows=4).select("query_key", "id", "rank")
-    assert sorted(rows(one)) == sorted(rows(many)) and one.count() == 60
+    """Against all distances, with ties, blocks of all sizes, queries sent and copied, and rows that take no part."""
+    made = [(f"k{i:02}", [float(i % 7), float(i % 3)]) for i in range(60)]
+    odd = [("n0", None), ("n1", []), ("n2", [1.0, None]), (None, [1.0, 1.0]), ("x", [1.0]), ("nan", [float("nan"), 1.0])]
+    df = spark.createDataFrame(made + odd, "id string, embedding array<float>").selectExpr("*", "1 AS rank", "2 AS block", "'q' AS query_key").repartition(3)
+    want = []
+    for q, v in made[:20] + [odd[4]]:
+        near = sorted((sum((a - b) ** 2 for a, b in zip(v, w, strict=True)), k) for k, w in [*made, odd[4]] if len(w) == len(v))[:3]
+        want += [(q, k, d, i + 1, round(1 / (1 + d), 4)) for i, (d, k) in enumerate(near)]
+    asked = df.where("id < 'k20' OR id IN ('x', 'nan', 'n0') OR id IS NULL")
+    for more in ({}, {"broadcast_rows": 4, "shard_rows": 5}, {"broadcast_rows": 4, "shard_rows": 5, "broadcast_bytes": 0}):
+        got = search.vector_search_batch(df, asked, "id", k=3, **more).select("query_key", "id", "distance", "rank", "score")
+        assert sorted(rows(got)) == sorted(want)
+    assert search.vector_search_batch(df, df.where("false"), "id").count() == 0 == search.vector_search_batch(df.where("false"), df, "id").count()
 
 
 def test_incremental_index(spark, tmp_path):
