@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from lodestone.llm.decontaminate import OP9_SQL, op9_decontamination
+from lodestone.llm.divergence import OP12_SQL, op12_source_divergence
+from lodestone.llm.exactdup import OP11_SQL, op11_exact_dedup
 from lodestone.llm.langid import op2_language_id
 from lodestone.llm.licenses import OP8_SQL, op8_license_scan
 from lodestone.llm.mainhtml import op10_main_text
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_decontamination": op9_decontamination,
     "op10_main_text": op10_main_text,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_source_divergence": op12_source_divergence,
 }
 #: The others are models and programs that SQL can't express; tests hold them against brute force.
 ORACLE_SQL = {
@@ -33,4 +37,6 @@ ORACLE_SQL = {
     "op7_url_filter": OP7_SQL,
     "op8_license_scan": OP8_SQL,
     "op9_decontamination": OP9_SQL,
+    "op11_exact_dedup": OP11_SQL,
+    "op12_source_divergence": OP12_SQL,
 }
