@@ -14,6 +14,7 @@ from lodestone.llm.packing import op6_packing
 from lodestone.llm.quality import op4_quality
 from lodestone.llm.urlfilter import OP7_SQL, op7_url_filter
 from lodestone.llm.warc import OP3_SQL, op3_warc
+from lodestone.llm.whitening import op13_whitening
 
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_main_text": op10_main_text,
     "op11_exact_dedup": op11_exact_dedup,
     "op12_source_divergence": op12_source_divergence,
+    "op13_whitening": op13_whitening,
 }
 #: The others are models and programs that SQL can't express; tests hold them against brute force.
 ORACLE_SQL = {
