@@ -46,7 +46,8 @@ def frequent(digests: DataFrame) -> DataFrame:
     """key: 64-bit hashes of the digests that may be frequent, by merged Misra-Gries summaries; at most CANDIDATES rows."""
     keyed = digests.select(F.xxhash64("digest").alias("key"), F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"))
     salted = keyed.groupBy("salt").agg(F.expr(f"approx_top_k_accumulate(key, {COUNTERS})").alias("summary"))
-    found = salted.agg(F.expr(f"approx_top_k_combine(summary, {COUNTERS})").alias("summary"))
+    # One partition: Spark 4.1's combine fails with a MatchError in a task without rows.
+    found = salted.repartition(1).agg(F.expr(f"approx_top_k_combine(summary, {COUNTERS})").alias("summary"))
     return found.select(F.explode(F.expr(f"approx_top_k_estimate(summary, {CANDIDATES})")).alias("x")).select(F.col("x.item").alias("key"))
 
 
