@@ -24,13 +24,18 @@ no rows; extra columns are ignored. Whole texts are read, whatever their length.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.exactdup import normalised
 from lodestone.llm.shared import Scratch, table
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between terms [^\x00-\x40\x5B-\x60\x7B-\x7F]+ once A-Z are lower-cased.
+OTHER = r"[\x00-\x60\x7B-\x7F]+"
+#: Bytes of texts that are counted at a time.
+SLICE = 16 << 20
 SCALE = 1_000_000_000
 #: Groups that are sent to all tasks: at most some 20 MB.
 BROADCAST_ROWS = 100_000
@@ -49,11 +54,39 @@ def distance(p: Column, q: Column) -> Column:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, c, d: how often a group has a term, and in how many of its documents. Columns lang, source, text."""
-    terms = docs.select("lang", "source", F.regexp_extract_all(normalised(F.col("text")), F.lit(TERM), F.lit(0)).alias("t"))
-    count = lambda words, c, d: F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(c).alias("c"), F.lit(d).alias("d")))
-    each = terms.select("lang", "source", F.explode(F.concat(count(F.col("t"), 1, 0), count(F.array_distinct("t"), 0, 1))).alias("x"))
-    return each.groupBy("lang", "source", F.col("x.term").alias("term")).agg(F.sum("x.c").alias("c"), F.sum("x.d").alias("d"))
+    """lang, source, term, c, d: how often a group has a term, and in how many of its documents. Columns lang, source, text.
+
+    Matches are exploded and counted by slices of SLICE bytes of text inside Arrow batches, so Spark's grouping gets a row for
+    each term of a slice's group and not one for each match.
+    """
+
+    def count(batch):
+        terms = pc.split_pattern_regex(pc.ascii_lower(batch.column(2)), OTHER)
+        doc, term = pc.list_parent_indices(terms).to_numpy(), pc.list_flatten(terms).dictionary_encode()
+        code = term.indices.to_numpy().astype(np.int64)
+        real = np.append(np.ones(len(term.dictionary), bool), False)
+        real[pc.index(term.dictionary, "").as_py()] = False  # before a first and after a last separator; -1 hits the appended one
+        doc, code = doc[real[code]], code[real[code]]
+        names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        known = {g: i for i, g in enumerate(dict.fromkeys(names))}
+        group, width = np.array([known[g] for g in names], np.int64), max(1, len(term.dictionary))
+        each, times = np.unique(doc * width + code, return_counts=True)
+        key, at, d = np.unique(group[each // width] * width + each % width, return_inverse=True, return_counts=True)
+        c = np.bincount(at, times, key.size).astype(np.int64)
+        lang, source = (pa.array([g[k] for g in known], pa.string()).take(pa.array(key // width)) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([lang, source, term.dictionary.take(pa.array(key % width)), pa.array(c), pa.array(d.astype(np.int64))], ["lang", "source", "term", "c", "d"])
+
+    def run(batches):
+        for batch in batches:
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + SLICE, "right")))
+                yield count(batch.slice(lo, hi - lo))
+                lo = hi
+
+    parts = docs.select("lang", "source", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "lang string, source string, term string, c long, d long")
+    return parts.groupBy("lang", "source", "term").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
 
 
 def vocabulary(counts: DataFrame, least: int) -> DataFrame:
