@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import query_terms
 from lodestone.operators import patterns as pat
-from lodestone.operators.graph import transitive_callees
+from lodestone.operators.graph import reached
 from lodestone.plans.store import settled
 
 
@@ -130,11 +130,11 @@ def vector_search_batch(df: DataFrame, queries: DataFrame, key: str, vector: str
     return ranked.select("query_key", F.col("key").alias(key), "distance", "rank", similarity(F.col("distance")).alias("score"))
 
 
-def name_candidates(chunks: DataFrame, text: str = "text", score: str = "score", pattern: str = pat.NAME, stop: tuple[str, ...] = pat.NOT_NAMES) -> DataFrame:
-    """name, score of upper-case names in scored chunks: a name's best chunk counts; ``at`` orders ties by first sight."""
-    each = chunks.select(F.col(score).alias("score"), F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))).alias("pos", "name"))
+def name_candidates(chunks: DataFrame, text: str = "text", score: str = "score", pattern: str = pat.NAME, stop: tuple[str, ...] = pat.NOT_NAMES, keys: tuple[str, ...] = ()) -> DataFrame:
+    """name, score of upper-case names in scored chunks: a name's best chunk counts; ``at`` orders ties by first sight. By ``keys``, if given."""
+    each = chunks.select(*keys, F.col(score).alias("score"), F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))).alias("pos", "name"))
     kept = each.where(~F.col("name").isin(*stop) & ~F.col("name").startswith("TB_") & ~F.col("name").startswith("SQ_")) if stop else each
-    return kept.groupBy("name").agg(F.max("score").alias("score"), F.min(F.struct((-F.col("score")).alias("s"), "pos")).alias("at"))
+    return kept.groupBy(*keys, "name").agg(F.max("score").alias("score"), F.min(F.struct((-F.col("score")).alias("s"), "pos")).alias("at"))
 
 
 def rendered_struct() -> Column:
@@ -153,8 +153,8 @@ def rendered_table() -> Column:
     return F.concat(F.lit("CREATE TABLE "), "name", F.lit(" (\n"), F.array_join(F.concat(cols, key), ",\n"), F.lit("\n);"), F.coalesce(F.concat(F.lit("\n-- "), "comment"), F.lit("")))
 
 
-def context(rel: dict[str, DataFrame], name: str, depth: int = 2) -> DataFrame:
-    """section, pos, filename, content, role, relevance: all that belongs to one function.
+def context_many(rel: dict[str, DataFrame], entries: DataFrame, depth: int = 2) -> DataFrame:
+    """entry, section, pos, filename, content, role, relevance: all that belongs to each function of ``entries`` (name, distinct).
 
     Its body; the first struct of each header that it includes; the bodies of what
     it calls within ``depth`` steps; the definitions of all tables that these use.
@@ -162,16 +162,23 @@ def context(rel: dict[str, DataFrame], name: str, depth: int = 2) -> DataFrame:
     """
     functions, structs, ddl, usage = (rel[k] for k in ("functions", "structs", "tables_ddl", "sql_usage"))
     edges = rel["function_calls"].select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
-    fn = functions.where(F.col("name") == name)
-    row = lambda section, pos, content, role, relevance: [F.lit(section).alias("section"), pos.alias("pos"), F.col("file_path").alias("filename"), content.alias("content"), role.alias("role"), F.lit(relevance).alias("relevance")]
+    asked = entries.select(F.col("name").alias("entry"), "name")
+    fn = functions.join(asked, "name")
+    row = lambda section, pos, content, role, relevance: ["entry", F.lit(section).alias("section"), pos.alias("pos"), F.col("file_path").alias("filename"), content.alias("content"), role.alias("role"), F.lit(relevance).alias("relevance")]
     order = lambda c: F.array(F.lpad(c.cast("string"), 9, "0"))
     entry = fn.select(*row(1, order(F.lit(0)), F.col("body"), F.lit("entry"), "direct"))
-    inc = fn.select(F.posexplode("includes").alias("ipos", "file_path")).where(F.col("file_path") != pat.COMMON_HEADER)
+    inc = fn.select("entry", F.posexplode("includes").alias("ipos", "file_path")).where(F.col("file_path") != pat.COMMON_HEADER)
     first = structs.groupBy("file_path").agg(F.min_by(F.struct("name", "description", "fields"), "ord").alias("s")).select("file_path", "s.*")
     headers = inc.join(first, "file_path").select(*row(2, order(F.col("ipos")), rendered_struct(), F.lit("struct"), "direct"))
-    called = transitive_callees(edges, name, depth)
+    called = reached(edges, asked, depth, ("entry",)).groupBy("entry", "name").agg(F.min("depth").alias("depth"))
     bodies = functions.join(called, "name").select(*row(3, F.concat(order(F.col("depth")), F.array("name")), F.col("body"), F.concat(F.lit("callee ("), "name", F.lit(")")), "dependency"))
-    who = called.unionByName(entry.sparkSession.range(1).select(F.lit(name).alias("name"), F.lit(0).alias("depth")))
-    tables = usage.join(who.withColumnRenamed("name", "function_name"), "function_name").groupBy(F.col("table_name").alias("name")).agg(F.min(F.struct("depth", "function_name", "ord")).alias("seen"))
+    who = called.unionByName(asked.select("entry", "name", F.lit(0).alias("depth"))).withColumnRenamed("name", "function_name")
+    tables = usage.join(who, "function_name").groupBy("entry", F.col("table_name").alias("name")).agg(F.min(F.struct("depth", "function_name", "ord")).alias("seen"))
     defs = ddl.join(tables, "name").select(*row(4, F.concat(order(F.col("seen.depth")), F.array("seen.function_name"), F.col("seen.ord")), rendered_table(), F.concat(F.lit("table ("), "name", F.lit(")")), "dependency"))
     return entry.unionByName(headers).unionByName(bodies).unionByName(defs)
+
+
+def context(rel: dict[str, DataFrame], name: str, depth: int = 2) -> DataFrame:
+    """``context_many`` of one function, without ``entry``."""
+    spark = rel["functions"].sparkSession
+    return context_many(rel, spark.range(1).select(F.lit(name).alias("name")), depth).drop("entry")

@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import chunk, evaluate, graph, lookup, parse, search
+from lodestone.operators import chunk, evaluate, graph, lookup, many, parse, search
+from lodestone.operators.substring import SubstringIndex
+from lodestone.plans.store import settled
 from lodestone.sources.files import load_relations, save_relations, source_files
 
 
@@ -23,6 +25,7 @@ class CodeCatalog:
 
     def __init__(self, rel: dict[str, DataFrame], chunks: DataFrame | None = None, files: DataFrame | None = None, embedder: Callable[[Column], Column] = chunk.hash_embedding):
         self.rel, self.chunks, self.files, self.embedder = rel, chunks, files, embedder
+        self.keywords: SubstringIndex | None = None
         self.edges = rel["function_calls"].select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
 
     @classmethod
@@ -48,9 +51,16 @@ class CodeCatalog:
         for name, df in self.rel.items():
             df.createOrReplaceTempView(name)
 
+    def index_substrings(self, path: str) -> CodeCatalog:
+        """Stores a substring index of the functions under ``path``; keyword searches read it from now on."""
+        self.keywords = SubstringIndex.build(self.rel["functions"], ("description", "body"), path)
+        return self
+
     # Search
 
     def search_keywords(self, query: str, limit: int | None = 3) -> DataFrame:
+        if self.keywords:
+            return self.keywords.keyword_search(query, {"description": 3, "body": 1}, "ord", limit)
         return search.keyword_search(self.rel["functions"], query, {"description": 3, "body": 1}, "ord", limit)
 
     def search(self, query: str) -> dict | None:
@@ -88,24 +98,33 @@ class CodeCatalog:
         found = self.search(query) if strategy == "structural" else self.search_hybrid(query, top_k)
         return [r["filename"] for r in found["files_returned"].collect()] if found and "files_returned" in found else []
 
-    def _measured(self, queries: list[str], strategies: tuple[str, ...], truth: DataFrame, top_k: int) -> DataFrame:
-        rows = []
-        for q in queries:
-            for strategy in strategies:
-                began = time.perf_counter()
-                rows.append((q, strategy, self.returned_files(q, strategy, top_k), time.perf_counter() - began))
-        timed = self.edges.sparkSession.createDataFrame(rows, "query string, strategy string, returned_files array<string>, seconds double")
+    def returned_files_many(self, queries: DataFrame, strategies: tuple[str, ...] = ("chunk", "structural", "hybrid"), top_k: int = 5) -> DataFrame:
+        """query, strategy, returned_files (empty without a result), seconds: all distinct queries under all strategies.
+
+        The number of jobs doesn't depend on the number of queries; ``seconds`` is a strategy's time by query, with what strategies share in the first.
+        """
+        asked = settled(queries.select("query").where(F.col("query").isNotNull()).distinct())
+        n, out, began = max(1, asked.count()), None, time.perf_counter()
+        for strategy, found in many.returned_files(self.rel, self.chunks, asked.withColumn("embedding", self.embedder(F.col("query"))), strategies, top_k).items():
+            rows = settled(asked.join(found, "query", "left").select("query", F.lit(strategy).alias("strategy"), F.coalesce("returned_files", F.array().cast("array<string>")).alias("returned_files")))
+            now = time.perf_counter()
+            rows, began = rows.withColumn("seconds", F.lit((now - began) / n)), now
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
+    def _measured(self, queries: DataFrame, strategies: tuple[str, ...], truth: DataFrame, top_k: int) -> DataFrame:
+        timed = self.returned_files_many(queries, strategies, top_k)
         return evaluate.evaluate(timed, truth).join(timed.select("query", "strategy", "seconds"), ["query", "strategy"])
 
     def search_full(self, query: str, truth: DataFrame, top_k: int = 5) -> DataFrame:
         """Metrics of the chunk and the structural strategy for one query; ``files`` lists each file with is_noise and is_relevant."""
-        found = self._measured([query], ("chunk", "structural"), truth, top_k)
+        found = self._measured(self.edges.sparkSession.createDataFrame([(query,)], "query string"), ("chunk", "structural"), truth, top_k)
         flags = F.transform(F.array_distinct("returned_files"), lambda f: F.struct(f.alias("file"), F.array_contains("noise_files", f).alias("is_noise"), F.array_contains("relevant_returned", f).alias("is_relevant")))
         return found.withColumn("files", flags)
 
     def run_evaluation(self, truth: DataFrame, top_k: int = 5) -> DataFrame:
-        """Metrics and seconds of all queries of the ground truth (a row for each, read to the driver) under all strategies."""
-        return self._measured([r["query"] for r in truth.select("query").distinct().collect()], ("chunk", "structural", "hybrid"), truth, top_k)
+        """Metrics and seconds of all queries of the ground truth under all strategies, in a fixed number of jobs."""
+        return self._measured(truth, ("chunk", "structural", "hybrid"), truth, top_k)
 
     # Graph
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import all_of, strip
-from lodestone.operators import analyze, chunk, evaluate, graph, lookup, parse, patterns, search, vcs
-from lodestone.plans.store import settled
+from lodestone.operators import analyze, chunk, evaluate, graph, lookup, many, parse, patterns, search, vcs
+from lodestone.operators.substring import SubstringIndex
+from lodestone.plans.store import settled, work_dir
 
 TERMS = "the tion und eau"
 Q, SQL = {}, {}
@@ -76,13 +77,51 @@ def keyword_topk(spark, d):
     return search.keyword_search(_pages(spark, d), TERMS, {"title": 3, "html": 1}, "page_id").select("page_id", "title", "score")
 
 
+@query("keyword_scores_indexed", SQL["keyword_scores"])
+def keyword_scores_indexed(spark, d):
+    """Through a substring index of all pages; terms of two characters and more."""
+    index = SubstringIndex.build(_pages(spark, d), ("title", "html"), work_dir(spark))
+    return index.keyword_search(TERMS, {"title": 3, "html": 1}, "page_id", None).select("page_id", "score")
+
+
+RARE = "zu eau quantum Mond"
+
+
+@query("substring_documents", "SELECT doc_id, CAST(" + " + ".join(f"CAST(contains(text, '{t}') AS INT)" for t in RARE.split()) + " AS INTEGER) AS score FROM documents WHERE score > 0")
+def substring_documents(spark, d):
+    index = SubstringIndex.build(table(spark, d, "documents").select("doc_id", "text"), ("text",), work_dir(spark))
+    return index.keyword_search(RARE, {"text": 1}, "doc_id", None).select("doc_id", "score")
+
+
+@query(
+    "keyword_search_many",
+    """WITH q AS (SELECT DISTINCT text AS query FROM conversations WHERE conv_id % 20 = 0 AND turn = 0),
+ t AS (SELECT query, unnest(list_filter(string_split_regex(query, '\\s+'), lambda x: len(x) >= 2)) AS term FROM q),
+ u AS (SELECT DISTINCT term FROM t),
+ m AS (SELECT u.term, doc_id FROM u JOIN documents ON contains(text, u.term)),
+ s AS (SELECT query, doc_id, count(*) AS score FROM t JOIN m USING (term) GROUP BY 1, 2),
+ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s)
+ SELECT query, doc_id, score, rank FROM r WHERE rank <= 3""",
+)
+def keyword_search_many(spark, d):
+    """The 3 best documents for the first turn of every 20th conversation, in one pass over all documents."""
+    asked = table(spark, d, "conversations").where("conv_id % 20 = 0 AND turn = 0").select(F.col("text").alias("query"))
+    return many.keyword_search_many(table(spark, d, "documents"), asked, {"text": 1}, "doc_id", "doc_id")
+
+
 L2 = "list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: (CAST(v.embedding[i] AS DOUBLE) - CAST(q.embedding[i] AS DOUBLE)) * (CAST(v.embedding[i] AS DOUBLE) - CAST(q.embedding[i] AS DOUBLE))))"
 
 
+def _vector(e: DataFrame, vec_id: int) -> list[float]:
+    """The vector of one id; empty where there is none, which is near to nothing in particular."""
+    row = e.where(F.col("vec_id") == vec_id).select("embedding").first()
+    return row["embedding"] if row and row["embedding"] else []
+
+
 @query("vector_topk", f"SELECT v.vec_id, round(1.0::DOUBLE / (1 + {L2}), 4) AS score FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY {L2}, v.vec_id LIMIT 7")
 def vector_topk(spark, d):
     e = table(spark, d, "embeddings")
-    return search.vector_search(e, e.where("vec_id = 0").first()["embedding"], "vec_id", k=7).select("vec_id", "score")
+    return search.vector_search(e, _vector(e, 0), "vec_id", k=7).select("vec_id", "score")
 
 
 @query(
@@ -113,7 +152,7 @@ def name_candidates(spark, d):
 )
 def hybrid_topk(spark, d):
     e = table(spark, d, "embeddings")
-    near = search.vector_search(e, e.where("vec_id = 0").first()["embedding"], "vec_id", k=5)
+    near = search.vector_search(e, _vector(e, 0), "vec_id", k=5)
     chunks = near.join(table(spark, d, "documents"), F.col("doc_id") == F.col("vec_id")).select("text", "score")
     return search.name_candidates(chunks, pattern="([A-Z][a-z]{3,})", stop=()).select("name", "score").orderBy(F.desc("score"), "name").limit(5)
 
