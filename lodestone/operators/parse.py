@@ -91,7 +91,7 @@ def select_columns(s: Column, op: Column) -> Column:
 
 
 def statements(text: Column) -> Column:
-    """ARRAY<pat.STRUCT<operation, tables, columns, raw_sql>> of a body."""
+    """ARRAY<STRUCT<operation, tables, columns, raw_sql>> of a body."""
     return F.transform(
         statement_texts(text),
         lambda s: F.struct(operation(s).alias("operation"), statement_tables(s, operation(s)).alias("tables"), select_columns(s, operation(s)).alias("columns"), F.concat(F.lit("EXEC SQL "), s, F.lit(";")).alias("raw_sql")),
@@ -177,6 +177,24 @@ def last_wins(df: DataFrame, key: str, order: str = "ord") -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(order)).alias("row")).select(key, "row.*").select(*df.columns)
 
 
+def parsed_rows(files: DataFrame) -> dict[str, DataFrame]:
+    """The five relations before names are made unique, in order of paths, each row with its file's path as ``source``.
+
+    Functions are cut and parsed once and written; three of the relations derive from that table.
+    """
+    files = files.withColumn("ord", F.split("file_path", "/"))
+    placed = lambda df: df.withColumn("source", F.array_join(F.slice("ord", 1, F.size("ord") - 1), "/"))
+    parsed = settled(placed(parse_functions(files)))
+    usage = parsed.select("source", "ord", "name", F.posexplode("statements").alias("si", "s")).select("source", "ord", "name", "si", "s", F.posexplode("s.tables").alias("ti", "table_name"))
+    return {
+        "functions": parsed.drop("statements", "calls"),
+        "function_calls": parsed.select(F.col("name").alias("caller"), F.explode("calls").alias("callee"), "source").distinct(),
+        "sql_usage": usage.select(place(F.col("si"), F.col("ti")).alias("ord"), F.col("name").alias("function_name"), "table_name", F.col("s.operation").alias("operation"), F.col("s.raw_sql").alias("raw_sql"), "source"),
+        "structs": placed(parse_structs(files)),
+        "tables_ddl": placed(parse_tables(files)),
+    }
+
+
 def relations(files: DataFrame) -> dict[str, DataFrame]:
     """The five relations of a source tree: names unique (the last wins), edges a set, usage a bag.
 

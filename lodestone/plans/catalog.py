@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from lodestone.operators import chunk, evaluate, graph, lookup, many, parse, search
 from lodestone.operators.substring import SubstringIndex
 from lodestone.plans.store import settled
-from lodestone.sources.files import load_relations, save_relations, source_files
+from lodestone.plans.versions import VersionedCatalog
+from lodestone.sources.files import RELATIONS, load_relations, save_relations, source_files
 
 
 class CodeCatalog:
@@ -43,8 +44,17 @@ class CodeCatalog:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, embedder: Callable[[Column], Column] = chunk.hash_embedding) -> CodeCatalog:
+        """The catalog that ``save`` stored last."""
         rel = load_relations(spark, path)
-        return cls(rel, spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/files"), embedder)
+        return cls({n: rel[n] for n in RELATIONS}, rel.get("chunks"), rel.get("files"), embedder)
+
+    @classmethod
+    def versioned(cls, spark: SparkSession, root: str, version: int | None = None, strategy: str = "semantic", embedder: Callable[[Column], Column] = chunk.hash_embedding) -> CodeCatalog:
+        """The newest or another version of a ``VersionedCatalog``."""
+        stored = VersionedCatalog(spark, root)
+        files = stored.files(version)
+        cut = chunk.chunk_semantic if strategy == "semantic" else chunk.chunk_fixed
+        return cls(stored.relations(version), chunk.embed(cut(files), embedder), files, embedder)
 
     def views(self) -> None:
         """Registers the relations as temporary views."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import all_of, strip
 from lodestone.operators import analyze, chunk, evaluate, graph, lookup, many, parse, patterns, search, vcs
+from lodestone.operators.cells import CellIndex
 from lodestone.operators.substring import SubstringIndex
 from lodestone.plans.store import settled, work_dir
 
@@ -135,6 +136,14 @@ def vector_topk_batch(spark, d):
     return search.vector_search_batch(e, e.where("vec_id % 20 = 0"), "vec_id").select("query_key", "vec_id", "rank", "score")
 
 
+@query("vector_topk_cells", SQL["vector_topk_batch"])
+def vector_topk_cells(spark, d):
+    """Through cells of which only those are read that can hold a neighbour."""
+    e = table(spark, d, "embeddings")
+    index = CellIndex.build(e, "vec_id", "embedding", work_dir(spark))
+    return index.search_batch(e.where("vec_id % 20 = 0"), "vec_id").select("query_key", "vec_id", "rank", "score")
+
+
 DOC_SCORE = " + ".join(f"CAST(contains(text, '{t}') AS INT)" for t in TERMS.split())
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import utf8
+from lodestone.plans.store import Manifests
 
 KINDS = ("pc", "h", "sql")
 RELATIONS = ("functions", "function_calls", "sql_usage", "structs", "tables_ddl")
@@ -37,10 +40,26 @@ def file_text(files: DataFrame, file_path: str) -> DataFrame:
     return files.where(F.col("file_path") == file_path).select("file_path", "text")
 
 
-def save_relations(relations: dict[str, DataFrame], path: str, mode: str = "overwrite") -> None:
+def save_relations(relations: dict[str, DataFrame], path: str) -> None:
+    """Stores a snapshot of all relations in a new folder, then makes it the current one in one step.
+
+    A crash in between leaves the snapshot before. That one stays, for readers under way; older ones go.
+    """
+    spark = next(iter(relations.values())).sparkSession
+    manifests = Manifests(spark, path)
+    old = manifests.read() or {"version": 0}
+    folder = f"snapshots/{uuid.uuid4().hex}"
     for name, df in relations.items():
-        df.write.mode(mode).parquet(f"{path}/{name}")
+        df.write.parquet(f"{manifests.root}/{folder}/{name}")
+    manifests.publish({"version": old["version"] + 1, "folder": folder, "names": list(relations)})
+    for number in manifests.numbers()[:-2]:
+        manifests.fs.delete(manifests.path(manifests.read(number)["folder"]), True)
+        manifests.drop(number)
 
 
-def load_relations(spark: SparkSession, path: str, names: tuple[str, ...] = RELATIONS) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{path}/{n}") for n in names}
+def load_relations(spark: SparkSession, path: str, names: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
+    """The relations of the current snapshot, all or those of ``names``."""
+    current = Manifests(spark, path).read()
+    if current is None:
+        raise FileNotFoundError(f"no snapshot at {path}")
+    return {n: spark.read.parquet(f"{path.rstrip('/')}/{current['folder']}/{n}") for n in names or current["names"]}

@@ -1,34 +1,36 @@
-"""Our extension: re-indexing changed files as a stream.
+"""Our extension: re-indexing changed files as a stream, into a versioned catalog.
 
-New versions of files arrive as rows (file_path, file, ext, text, ord, version);
-each micro-batch is parsed with the batch operators and its relations appended,
-and readers see the newest version of each file.
+New versions of files arrive as rows (file_path, file, ext, text, ord, version); a row
+whose text is null says that the file is gone. Each micro-batch is one commit, so
+readers see all of it or nothing, and a batch that is run again is not committed twice.
+Files are told apart by path, like-named ones in different folders included; rows without
+a column file_path have it from ord, which holds its parts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lodestone.operators import parse
+from lodestone.operators.parse import last_wins
+from lodestone.plans.store import settled
+from lodestone.plans.versions import VersionedCatalog
 
 
 def index_stream(files: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Parses a stream of file versions into ``path``; a batch that is run again replaces its own output."""
+    """Commits a stream of file versions to the catalog at ``path``. Of a batch's versions of a file the newest counts, of equal ones the last by ``ord``."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        versions = batch.groupBy("file").agg(F.max("version").alias("version"))
-        newest = batch.join(versions, ["file", "version"]).dropDuplicates(["file"])
-        for name, df in parse.relations(newest).items():
-            df.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/{name}/batch={epoch}")
-        newest.select("file", F.lit(epoch).alias("epoch")).write.mode("overwrite").parquet(f"{path}/files/batch={epoch}")
+        if "file_path" not in batch.columns:
+            batch = batch.withColumn("file_path", F.array_join("ord", "/"))
+        newest = settled(last_wins(batch.withColumn("at", F.struct("version", "ord")), "file_path", "at"))
+        there = newest.where(F.col("text").isNotNull())
+        VersionedCatalog(batch.sparkSession, path).commit(there, newest.where(F.col("text").isNull()).select("file_path"), checkpoint, epoch)
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def newest_functions(spark, path: str) -> DataFrame:
+def newest_functions(spark: SparkSession, path: str) -> DataFrame:
     """Functions of the newest indexed version of each file."""
-    last = spark.read.parquet(f"{path}/files").groupBy("file").agg(F.max("epoch").alias("epoch"))
-    functions = spark.read.parquet(f"{path}/functions")
-    return functions.join(last.withColumnRenamed("file", "file_path"), ["file_path", "epoch"]).drop("epoch", "batch")
+    return VersionedCatalog(spark, path).relation("functions")
