@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import all_of, strip
-from lodestone.operators import analyze, chunk, evaluate, graph, lookup, many, parse, patterns, search, vcs
+from lodestone.operators import analyze, chunk, diffs, evaluate, graph, lookup, many, parse, patterns, search, vcs
 from lodestone.operators.cells import CellIndex
 from lodestone.operators.substring import SubstringIndex
 from lodestone.plans.store import settled, work_dir
+from lodestone.plans.versions import VersionedCatalog
 
 TERMS = "the tion und eau"
 Q, SQL = {}, {}
@@ -545,6 +546,49 @@ def status_parse(spark, d):
     return vcs.status_lines(raw, "raw", "c_custkey")
 
 
+def _history(spark, d):
+    """Two revisions of a file for each order: three lines, then one of them changed and one more."""
+    head = lambda r: f"'Index: o' || o_orderkey || '.pc\\n===\\n--- o' || o_orderkey || '.pc\\t(revision {r - 1})\\n+++ o' || o_orderkey || '.pc\\t(revision {r})\\n'"
+    first = head(1) + "|| '@@ -0,0 +1,3 @@\\n+int a;\\n+-- k = ' || o_custkey || ';\\n+return;\\n'"
+    second = head(2) + "|| '@@ -1,3 +1,4 @@\\n int a;\\n--- k = ' || o_custkey || ';\\n+++ k = ' || (o_custkey + 1) || ';\\n+int b;\\n return;\\n'"
+    o = table(spark, d, "orders")
+    return o.selectExpr("1L AS revision", f"{first} AS raw").unionByName(o.selectExpr("2L AS revision", f"{second} AS raw"))
+
+
+DIFF = """l AS (SELECT 'o' || o_orderkey || '.pc' AS file, o_custkey AS k FROM orders)"""
+
+
+@query(
+    "diff_lines",
+    f"""WITH {DIFF} SELECT file, 1::BIGINT AS revision, 'insert' AS kind, NULL::INTEGER AS old_line, 1 AS new_line, 'int a;' AS content FROM l UNION ALL SELECT file, 1, 'insert', NULL, 2, '-- k = ' || k || ';' FROM l UNION ALL SELECT file, 1, 'insert', NULL, 3, 'return;' FROM l
+ UNION ALL SELECT file, 2, 'context', 1, 1, 'int a;' FROM l UNION ALL SELECT file, 2, 'delete', 2, NULL, '-- k = ' || k || ';' FROM l UNION ALL SELECT file, 2, 'insert', NULL, 2, '++ k = ' || (k + 1) || ';' FROM l
+ UNION ALL SELECT file, 2, 'insert', NULL, 3, 'int b;' FROM l UNION ALL SELECT file, 2, 'context', 3, 4, 'return;' FROM l""",
+)
+def diff_lines(spark, d):
+    return diffs.diff_lines(_history(spark, d), "raw", "revision").select("file", "revision", "kind", "old_line", "new_line", "content")
+
+
+@query(
+    "blame_from_diffs",
+    f"""WITH {DIFF} SELECT file, 1 AS line, 1::BIGINT AS revision, 'int a;' AS content FROM l UNION ALL SELECT file, 2, 2, '++ k = ' || (k + 1) || ';' FROM l UNION ALL SELECT file, 3, 2, 'int b;' FROM l UNION ALL SELECT file, 4, 1, 'return;' FROM l""",
+)
+def blame_from_diffs(spark, d):
+    return diffs.blame(diffs.diff_lines(_history(spark, d), "raw", "revision"))
+
+
+@query("versioned_functions", "SELECT 1 AS version, 'SP_GET_' || s_suppkey AS name, 's' || s_suppkey || '.pc' AS file_path FROM supplier UNION ALL SELECT 2, CASE WHEN s_suppkey % 5 = 0 THEN 'SP_NEW_' ELSE 'SP_GET_' END || s_suppkey, 's' || s_suppkey || '.pc' FROM supplier WHERE s_suppkey % 5 = 0 OR s_suppkey % 7 <> 0")
+def versioned_functions(spark, d):
+    """Functions of two versions of a catalog: the second has changed every fifth file and dropped every seventh."""
+    files = _files(spark, d).withColumn("file_path", F.array_join(F.concat("ord", F.array("file")), "/"))
+    key = F.regexp_extract("file", "^s([0-9]+)", 1).try_cast("int")
+    stored = VersionedCatalog(spark, work_dir(spark))
+    stored.commit(files)
+    changed = files.where((F.col("ext") == "pc") & (key % 5 == 0)).withColumn("text", F.replace("text", F.lit("SP_GET_"), F.lit("SP_NEW_")))
+    stored.commit(changed, files.where((F.col("ext") == "pc") & (key % 7 == 0)).select("file_path"))
+    of = lambda v: stored.relation("functions", v).select(F.lit(v).alias("version"), "name", "file_path")
+    return of(1).unionByName(of(2))
+
+
 @query("log_parse", "SELECT c_custkey, 'r' || c_custkey AS revision, 'u' || c_nationkey AS author, '2024-01-15 10:30:00 +0900' AS date, 'fix ' || c_mktsegment AS message, 'M /a.pc|A /b' || c_custkey || '.pc' AS changed FROM customer UNION ALL SELECT c_custkey, 'r0', 'me', '2023-01-01', 'first', '' FROM customer")
 def log_parse(spark, d):
     rule = vcs.RULE
