@@ -13,10 +13,15 @@ shares a band with probability above 0.999999, one of 0.45 (four fifths of a
 template in the least fitting window) with 0.999. Templates that share a band are
 verified by the exact share of their distinct shingles that the window holds.
 
+Templates of different licenses may have most of their words in common, as those of two versions or
+of GPL and AGPL. Where a template's text alone would give four fifths of another's, the two are rivals:
+a window counts for one of them only if it also holds half of the shingles that tell it
+from the other. So each notice gives its own license and no other.
+
 Only DataFrame operations run on the executors. Defined results: null or blank
 texts and templates of fewer than five words match nothing; rows with a null
 doc_id are left out; repeated rows count once; repeated templates match each by
-their own id. Ties go to the first window. Extra columns are ignored.
+their own id. Templates may have any length. Ties go to the first window. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -59,7 +64,7 @@ NOTICES = (
 
 
 
-def class_sizes(most: int = 1 << 20) -> list[int]:
+def class_sizes(most: int) -> list[int]:
     """1 to 8, then each a quarter above the last, up to ``most`` at least."""
     sizes = list(range(1, 9))
     while sizes[-1] < most:
@@ -67,9 +72,9 @@ def class_sizes(most: int = 1 << 20) -> list[int]:
     return sizes
 
 
-def size_class(n: Column) -> Column:
-    """The least class size of at least ``n`` shingles."""
-    return F.array_min(F.filter(F.lit(class_sizes()).cast("array<int>"), lambda s: s >= n))
+def size_class(n: Column, most: int) -> Column:
+    """The least class size of at least ``n`` shingles, ``n`` being at most ``most``."""
+    return F.array_min(F.filter(F.lit(class_sizes(most)).cast("array<int>"), lambda s: s >= n))
 
 
 def step_of(size: Column) -> Column:
@@ -85,6 +90,17 @@ def signature(sh: Column, bands: int = BANDS, rows: int = ROWS) -> Column:
     return F.array(*[F.struct(F.lit(b).alias("b"), F.xxhash64(*[least(b * rows + r) for r in range(rows)]).alias("v")) for b in range(bands)])
 
 
+def rivals(known: DataFrame, num: int, den: int) -> DataFrame:
+    """template_id, own: for each rival of another license the shingles that tell the template from it. ``known``: template_id, license, t_sh."""
+    each = known.select("template_id", "license", F.size("t_sh").alias("n"), F.explode("t_sh").alias("h"))
+    other = each.select(F.col("template_id").alias("rival"), F.col("license").alias("r_license"), "h")
+    both = each.join(other, "h").where(~F.col("license").eqNullSafe(F.col("r_license")))
+    near = both.groupBy("template_id", "rival", "n").count().where(F.col("count") * den >= F.col("n") * num).select("template_id", "rival")
+    pairs = near.join(known.select("template_id", "t_sh"), "template_id").join(known.select(F.col("template_id").alias("rival"), F.col("t_sh").alias("r_sh")), "rival")
+    own = pairs.select("template_id", F.array_except("t_sh", "r_sh").alias("own")).where(F.size("own") > 0)
+    return own.groupBy("template_id").agg(F.collect_list("own").alias("own"))
+
+
 def scan(docs: DataFrame, templates: DataFrame, num: int = 80, den: int = 100, k: int = K, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, template_id, license, start, containment: the best window of each document and template that holds num / den of it.
 
@@ -93,8 +109,12 @@ def scan(docs: DataFrame, templates: DataFrame, num: int = 80, den: int = 100, k
     """
     known = templates.select("template_id", "license", word_list(F.col("text")).alias("words")).where(F.size("words") >= k)
     known = known.select("template_id", "license", F.array_distinct(shingles(F.col("words"), k)).alias("t_sh"), F.size("words").alias("w"))
-    known = written(known.withColumn("size", size_class(F.col("w") - (k - 1))))
-    of = known.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("t_sh")), F.lit(0)).alias("n")).first()
+    known = written(known)
+    longest = known.agg(F.coalesce(F.max("w"), F.lit(k))).first()[0]
+    known = known.withColumn("size", size_class(F.col("w") - (k - 1), longest - (k - 1)))
+    known = written(known.join(rivals(known, num, den), "template_id", "left").withColumn("own", F.coalesce("own", F.array().cast("array<array<bigint>>"))))
+    own = F.aggregate("own", F.lit(0), lambda n, o: n + F.size(o))
+    of = known.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("t_sh")), F.lit(0)).alias("n"), F.coalesce(F.sum(own), F.lit(0)).alias("own")).first()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     anchors = known.select("size", F.explode("t_sh").alias("h")).distinct()
@@ -114,9 +134,10 @@ def scan(docs: DataFrame, templates: DataFrame, num: int = 80, den: int = 100, k
     probes = windows.select("doc_id", "size", "start", "sh", F.explode(signature(F.col("sh"))).alias("k")).select("doc_id", "size", "start", "sh", "k.b", "k.v")
     shared = F.size(F.array_intersect("sh", "t_sh")) / F.size("t_sh")
     near = probes.join(sized(index, 64 * BANDS * of["rows"], broadcast_bytes), ["size", "b", "v"])
-    full = known.select("template_id", "size", "w", "license", "t_sh")
-    near = near.join(sized(full, 128 * of["rows"] + 8 * of["n"], broadcast_bytes), ["template_id", "size", "w"]).select("doc_id", "template_id", "license", "start", shared.alias("containment"))
-    hit = near.where(F.col("containment") * den >= num)
+    full = known.select("template_id", "size", "w", "license", "t_sh", "own")
+    told = F.forall("own", lambda o: 2 * F.size(F.array_intersect("sh", o)) >= F.size(o))
+    near = near.join(sized(full, 128 * of["rows"] + 8 * (of["n"] + of["own"]), broadcast_bytes), ["template_id", "size", "w"])
+    hit = near.select("doc_id", "template_id", "license", "start", shared.alias("containment"), told.alias("told")).where((F.col("containment") * den >= num) & F.col("told"))
     best = F.max(F.struct("containment", (-F.col("start")).alias("back"))).alias("x")
     return hit.groupBy("doc_id", "template_id", "license").agg(best).select("doc_id", "template_id", "license", (-F.col("x.back")).alias("start"), F.col("x.containment").alias("containment"))
 
@@ -140,6 +161,13 @@ sizes AS (SELECT list_min(list_filter(""" + str(class_sizes(2000)) + r""", lambd
 hits AS (SELECT doc_id, p, ts.h, template_id, license, size, (size + 3) // 4 AS step, total FROM ds JOIN ts USING (h) JOIN sizes USING (template_id)),
 win AS (SELECT doc_id, template_id, license, total, i * step AS start, h FROM hits, unnest(range(greatest(CAST(ceil((p - size - step + 2) / step) AS BIGINT), 0), p // step + 1)) AS x(i)),
 c AS (SELECT doc_id, template_id, license, start, count(DISTINCT h) / any_value(total) AS containment FROM win GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, template_id ORDER BY containment DESC, start) AS k FROM c WHERE 100 * containment >= 80)
+v AS (SELECT b.template_id, a.template_id AS rival FROM ts b JOIN ts a USING (h) WHERE a.license <> b.license GROUP BY ALL HAVING 100 * count(*) >= 80 * (SELECT total FROM sizes z WHERE z.template_id = b.template_id)),
+ow AS MATERIALIZED (SELECT v.template_id, v.rival, b.h FROM v JOIN ts b ON b.template_id = v.template_id WHERE NOT EXISTS (SELECT 1 FROM ts a WHERE a.template_id = v.rival AND a.h = b.h)),
+os AS (SELECT template_id, rival, count(*) AS n FROM ow GROUP BY 1, 2),
+f AS MATERIALIZED (SELECT * FROM c WHERE 100 * containment >= 80),
+have AS (SELECT win.doc_id, win.template_id, win.start, ow.rival, count(DISTINCT win.h) AS k FROM win JOIN ow ON ow.template_id = win.template_id AND ow.h = win.h GROUP BY ALL),
+bad AS (SELECT DISTINCT f.doc_id, f.template_id, f.start FROM f JOIN os ON os.template_id = f.template_id
+  LEFT JOIN have ON have.doc_id = f.doc_id AND have.template_id = f.template_id AND have.start = f.start AND have.rival = os.rival WHERE 2 * coalesce(have.k, 0) < os.n),
+r AS (SELECT f.*, row_number() OVER (PARTITION BY f.doc_id, f.template_id ORDER BY containment DESC, f.start) AS k FROM f ANTI JOIN bad ON bad.doc_id = f.doc_id AND bad.template_id = f.template_id AND bad.start = f.start)
 SELECT doc_id, template_id, license, start, containment FROM r WHERE k = 1
 """

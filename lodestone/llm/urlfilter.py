@@ -5,7 +5,7 @@ rule or listed URL could fit it: each host suffix (of the label counts that the
 list has) with each path prefix (of the lengths that the list has). A blocked
 Bloom filter of the list's keys, a table with a row for each block, lets only possible hits through; those meet the
 list in an exact equi-join that removes the false positives. The longest rule
-wins; where no rule fits, a listed URL is blocked and any other allowed. For the
+wins, of contradicting rules of one host and path the one that blocks; where no rule fits, a listed URL is blocked and any other allowed. For the
 list, but not for rules, hosts and paths of both sides are made canonical: without
 user, default port and trailing dots, an empty path as /.
 
@@ -97,7 +97,8 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col: str = "
         .unionByName(listed.select(F.lit("block").alias("verdict"), list_host.alias("host"), list_path.alias("path"), F.lit(False).alias("is_rule")))
         .where(F.col("host").isNotNull() & F.col("path").isNotNull())
         .select("verdict", "is_rule", F.concat("host", "path").alias("key"), F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("plen"))
-        .dropDuplicates(["key", "is_rule"])
+        .groupBy("key", "is_rule", "labels", "plen").agg(F.max(F.struct(F.col("verdict") == "block", "verdict")).alias("x"))
+        .select("x.verdict", "is_rule", "key", "labels", "plen")
     )
     shape = keys.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("key") + 64), F.lit(0)).alias("bytes"), F.array_sort(F.collect_set("labels")).alias("labels"), F.array_sort(F.collect_set("plen")).alias("plens")).first()
     host, path = split_url(F.col(url_col))
@@ -137,7 +138,9 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col: str = "
             F.max(~F.col("is_rule")).alias("hit"),
         )
     )
-    return urls.join(best, url, "left").select(
+    # URLs without a host, however many, fit nothing and stay out of the join.
+    bare = urls.where(F.col("host") == "").select("*", *[F.lit(None).cast(best.schema[c].dataType).alias(c) for c in ("best", "hit")])
+    return urls.where(F.col("host") != "").join(best, url, "left").unionByName(bare).select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"),
         F.coalesce(F.col("best.says"), F.when(F.col("hit"), "block"), F.lit("allow")).alias("verdict"),
         F.coalesce("hit", F.lit(False)).alias("listed"),

@@ -233,20 +233,63 @@ def test_licenses_against_brute_force(spark):
     templates = spark.createDataFrame([*licenses.NOTICES, ("short", "x", "MIT license"), ("null", "x", None)], "template_id string, license string, text string")
     got = {(r["doc_id"], r["template_id"]): r["containment"] for r in licenses.scan(df, templates).collect()}
     want = {}
+    sets = {name: (license, set(counts(words(text)))) for name, license, text in licenses.NOTICES}
     for d, t in docs:
         have = counts(words(t or ""))
-        for name, _, text in licenses.NOTICES:
-            need = counts(words(text))
+        for name, (license, need) in sets.items():
             whole = sum(1 for s in need if s in have) / len(need)
-            if whole >= 0.8:
+            own = [need - other for rival, other in sets.values() if rival != license and len(need & other) >= 0.8 * len(need)]
+            if whole >= 0.8 and all(2 * sum(1 for s in o if s in have) >= len(o) for o in own):
                 want[d, name] = whole
     assert got == pytest.approx(want)
     assert {(r["doc_id"], r["template_id"]) for r in licenses.scan(df, templates, broadcast_bytes=0).collect()} == set(got)
     assert licenses.scan(df, templates.where("false")).collect() == [] and licenses.scan(df.where("false"), templates).collect() == []
 
 
+def test_each_notice_gives_its_license_alone(spark):
+    """No license of a template that shares most of its words, also in long texts and with a few words changed."""
+    rnd = random.Random(8)
+    filler = lambda n: " ".join(rnd.choices(["alpha", "beta", "gamma", "delta", "omega"], k=n))
+    docs, want = [], {}
+    for name, license, text in licenses.NOTICES:
+        w = text.split()
+        for t in (text, f"{filler(300)} {text} {filler(300)}", " ".join(w[: len(w) - 1] + ["changed"]) if len(w) > 60 else text):
+            want[len(docs)] = (name, license)
+            docs.append((len(docs), t))
+    texts = {name: text for name, _, text in licenses.NOTICES}
+    docs.append((900, f"{filler(100_000)} {texts['gpl-header']} {filler(100_000)}"))
+    docs.append((901, "This work is licensed under the GNU General Public License, version 9."))
+    docs.append((902, f"{texts['gpl-2-line']} {filler(50)} {texts['gpl-3-line']}"))
+    templates = spark.createDataFrame(list(licenses.NOTICES), "template_id string, license string, text string")
+    got = {}
+    for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string"), templates).collect():
+        got.setdefault(r["doc_id"], {})[r["template_id"]] = r["license"]
+    for d, (name, license) in want.items():
+        assert name in got[d] and {x.split("-")[0] for x in got[d].values()} == {license.split("-")[0]}, (name, got[d])
+        if license.startswith(("GPL-", "CC-", "AGPL", "LGPL")):
+            assert set(got[d].values()) == {license}
+    assert set(got[900]) == {"gpl-header"} and 901 not in got and set(got[902]) == {"gpl-2-line", "gpl-3-line"}
+
+
+def test_templates_of_any_length(spark):
+    from pyspark.sql import functions as F
+
+    n = (1 << 22) + 5
+    assert spark.range(1).select(licenses.size_class(F.lit(n), n)).first()[0] >= n
+
+
 # URL rules
 
+def test_contradicting_rules(spark):
+    """Of two rules of one host and path the one that blocks wins, in either order."""
+    urls = spark.createDataFrame([(1, "http://a.org/x"), (2, None), (3, "nothing")], "page_id long, url string")
+    both = [("allow", "a.org", "/"), ("block", "a.org", "/")]
+    for rules in (both, both[::-1]):
+        got = urlfilter.judge(urls, spark.createDataFrame(rules, "verdict string, host string, path string"), spark.createDataFrame([], "host string, path string")).collect()
+        assert sorted((r["page_id"], r["rule"], r["verdict"]) for r in got) == [(1, "a.org/", "block"), (2, None, "allow"), (3, None, "allow")]
+
+
+
 def test_url_rules(spark):
     urls = ["http://Sub.Example.ORG/es/x?y=/q#z", "https://example.org/en/12", "http://a.b.com/fr/1", "http://com/de/", "ftp://notexample.org/es/", "http://x.net/fr/", "http://org", "http://a.org?x=/es/", "no scheme/x",
             "", None, "http://deep.sub.spam-farm.example.org/de", "http://cheap-pills.example.com/en", "://x.com/de/y", "http://ex.com/a\nb", "http://ÄÖ.org/x", "http://a..org/", "http://e.com/fr", "http://" + "a." * 3000 + "org/es/"]
