@@ -161,7 +161,7 @@ sizes AS (SELECT list_min(list_filter(""" + str(class_sizes(2000)) + r""", lambd
 hits AS (SELECT doc_id, p, ts.h, template_id, license, size, (size + 3) // 4 AS step, total FROM ds JOIN ts USING (h) JOIN sizes USING (template_id)),
 win AS (SELECT doc_id, template_id, license, total, i * step AS start, h FROM hits, unnest(range(greatest(CAST(ceil((p - size - step + 2) / step) AS BIGINT), 0), p // step + 1)) AS x(i)),
 c AS (SELECT doc_id, template_id, license, start, count(DISTINCT h) / any_value(total) AS containment FROM win GROUP BY ALL),
-v AS (SELECT b.template_id, a.template_id AS rival FROM ts b JOIN ts a USING (h) WHERE a.license <> b.license GROUP BY ALL HAVING 100 * count(*) >= 80 * (SELECT total FROM sizes z WHERE z.template_id = b.template_id)),
+v AS (SELECT template_id, rival FROM (SELECT b.template_id, a.template_id AS rival, count(*) AS k FROM ts b JOIN ts a ON a.h = b.h WHERE a.license <> b.license GROUP BY 1, 2) x JOIN sizes USING (template_id) WHERE 100 * k >= 80 * total),
 ow AS MATERIALIZED (SELECT v.template_id, v.rival, b.h FROM v JOIN ts b ON b.template_id = v.template_id WHERE NOT EXISTS (SELECT 1 FROM ts a WHERE a.template_id = v.rival AND a.h = b.h)),
 os AS (SELECT template_id, rival, count(*) AS n FROM ow GROUP BY 1, 2),
 f AS MATERIALIZED (SELECT * FROM c WHERE 100 * containment >= 80),
