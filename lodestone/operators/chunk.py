@@ -7,10 +7,11 @@ from collections.abc import Callable
 from functools import reduce
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, FloatType, IntegerType, StringType, StructField, StructType
 
 from lodestone.functions.text import lines, strip
 from lodestone.operators import patterns as pat
@@ -104,19 +105,26 @@ def chunk_semantic(files: DataFrame) -> DataFrame:
     return code.unionByName(whole)
 
 
+@F.pandas_udf(ArrayType(FloatType()))
+def _summed(spots: pd.Series, signs: pd.Series, dims: pd.Series) -> pd.Series:
+    """Sums of signs by spot, scaled to length one; one pass over the words of a text."""
+
+    def one(at, sign, size):
+        if at is None:
+            return None
+        v = np.bincount(np.asarray(at, np.int64), np.asarray(sign, float), size)
+        norm = np.sqrt(np.square(v).sum())
+        return (v / norm if norm > 0 else v).astype(np.float32)
+
+    return pd.Series([one(*x) for x in zip(spots, signs, dims, strict=True)])
+
+
 def hash_embedding(text: Column, dims: int = 64) -> Column:
     """A deterministic embedding without a model: hashed word counts, scaled to length one."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
     spots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)).cast("int"))
     signs = F.transform(words, lambda w: F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, F.lit(1.0)).otherwise(F.lit(-1.0)))
-    zero = F.array_repeat(F.lit(0.0), dims)
-
-    def add(acc: Column, pair: Column) -> Column:
-        return F.transform(acc, lambda x, i: F.when(i == pair["p"], x + pair["s"]).otherwise(x))
-
-    sums = F.aggregate(F.arrays_zip(spots.alias("p"), signs.alias("s")), zero, add)
-    norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(sums, lambda x: F.when(norm > 0, x / norm).otherwise(x).cast("float"))
+    return _summed(spots, signs, F.lit(dims))
 
 
 def embed(chunks: DataFrame, embedder: Callable[[Column], Column] = hash_embedding) -> DataFrame:

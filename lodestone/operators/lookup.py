@@ -13,13 +13,15 @@ def function_detail(rel: dict[str, DataFrame], name: str | None = None) -> DataF
     """Functions with calls, called_by, struct_files, dependency_files and ddl_files; one function, or all.
 
     Lists of files keep the order of their sources; included headers are listed
-    whether they exist or not, dependencies and definitions only where they do.
+    whether they exist or not, dependencies and definitions only where they do. For nodes
+    with too many neighbours for one list there is ``graph.links``.
     """
     functions, edges, ddl = rel["functions"], rel["function_calls"], rel["tables_ddl"]
-    fn = functions if name is None else functions.where(F.col("name") == name)
-    out = edges.groupBy(F.col("caller").alias("name")).agg(F.array_sort(F.collect_set("callee")).alias("calls"))
-    back = edges.groupBy(F.col("callee").alias("name")).agg(F.array_sort(F.collect_set("caller")).alias("called_by"))
-    files = edges.join(functions.select(F.col("name").alias("callee"), "file_path"), "callee").groupBy(F.col("caller").alias("name")).agg(F.transform(F.array_sort(F.collect_list(F.struct("callee", "file_path"))), lambda x: x["file_path"]).alias("dependency_files"))
+    only = lambda df, key: df if name is None else df.where(F.col(key) == name)  # noqa: E731 - pushed to the scans, so one function reads its own edges
+    fn, called, calling = only(functions, "name"), only(edges, "caller"), only(edges, "callee")
+    out = called.groupBy(F.col("caller").alias("name")).agg(F.array_sort(F.collect_set("callee")).alias("calls"))
+    back = calling.groupBy(F.col("callee").alias("name")).agg(F.array_sort(F.collect_set("caller")).alias("called_by"))
+    files = called.join(functions.select(F.col("name").alias("callee"), "file_path"), "callee").groupBy(F.col("caller").alias("name")).agg(F.transform(F.array_sort(F.collect_list(F.struct("callee", "file_path"))), lambda x: x["file_path"]).alias("dependency_files"))
     used = fn.select("name", F.posexplode("tables_used").alias("pos", "t")).join(ddl.select(F.col("name").alias("t"), "file_path"), "t").groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "file_path"))), lambda x: x["file_path"]).alias("ddl_files"))
     joined = fn.join(out, "name", "left").join(back, "name", "left").join(files, "name", "left").join(used, "name", "left")
     none = F.array().cast("array<string>")
