@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.plans.store import settled
@@ -67,6 +67,52 @@ def tree(edges: DataFrame, root: str, depth: int = 2) -> DataFrame:
     return rows.select("src", "dst", "depth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("paths")))).drop("col")
 
 
+COUNT = "decimal(38,0)"
+
+
+def path_sizes(edges: DataFrame, root: str, depth: int) -> list[DataFrame]:
+    """For each level the steps that paths from ``root`` take there: src, dst, size, before.
+
+    ``size`` counts the paths that begin with the step, itself included, of at most ``depth`` steps in
+    all, and ``before`` those of the same node's steps to lesser names. A node stands once in a level,
+    however many paths lead to it, so levels have no more rows than the graph has edges. Exact below 10^38.
+    """
+    step = settled(edges.select("src", "dst").distinct())
+    front, levels = edges.sparkSession.range(1).select(F.lit(root).alias("src")), []
+    for level in _levels(front, lambda f: step.join(f, "src").select(F.col("dst").alias("src")).distinct(), depth - 1):
+        levels.append(front)
+        front = level
+    levels.append(front)
+    below, out = None, []
+    w = Window.partitionBy("src").orderBy("dst").rowsBetween(Window.unboundedPreceding, -1)
+    for nodes in reversed(levels):
+        rows = step.join(nodes, "src")
+        rows = rows.withColumn("size", F.lit(1).cast(COUNT)) if below is None else rows.join(below, "dst", "left").withColumn("size", (1 + F.coalesce("total", F.lit(0))).cast(COUNT))
+        rows = settled(rows.select("src", "dst", "size", F.coalesce(F.sum("size").over(w), F.lit(0)).cast(COUNT).alias("before")))
+        below = rows.groupBy(F.col("src").alias("dst")).agg(F.sum("size").cast(COUNT).alias("total"))
+        out.append(rows)
+    return out[::-1]
+
+
+def paths_page(sizes: list[DataFrame], root: str, first: int, count: int) -> DataFrame:
+    """rank, path, depth of the paths with ranks ``first`` (from 0) to ``first + count - 1`` in pre-order, names rising, found without the others.
+
+    ``sizes`` comes from ``path_sizes``; ``path`` begins with the root. Each level joins the ranges of
+    ranks still asked for to the steps of their nodes and keeps the steps whose ranges overlap.
+    """
+    number = lambda x: F.lit(str(x)).cast(COUNT)
+    front = sizes[0].sparkSession.range(1).select(F.array(F.lit(root)).alias("path"), F.lit(root).alias("src"), number(first).alias("lo"), number(first + count).alias("hi"), number(0).alias("at"))
+    out = []
+    for depth, steps in enumerate(sizes, 1):
+        # ``at`` is the rank of the node's first step; lo and hi, the end excluded, are ranks of the whole.
+        begin = F.col("at") + F.col("before")
+        hit = front.join(steps, "src").select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("src"), "lo", "hi", begin.cast(COUNT).alias("rank"), "size")
+        hit = settled(hit.where((F.col("rank") < F.col("hi")) & (F.col("rank") + F.col("size") > F.col("lo"))))
+        out.append(hit.where(F.col("rank") >= F.col("lo")).select("rank", "path", F.lit(depth).alias("depth")))
+        front = hit.where(F.col("size") > 1).select("path", "src", "lo", "hi", (F.col("rank") + 1).cast(COUNT).alias("at"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def reached(edges: DataFrame, seeds: DataFrame, depth: int, key: tuple[str, ...] = ()) -> DataFrame:
     """Every distinct (key, name, depth) with a path of exactly ``depth`` >= 1 steps from the seed's ``name``.
 

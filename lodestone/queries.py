@@ -206,6 +206,17 @@ def call_tree(spark, d):
     return graph.tree(settled(dag(spark, d)), "R1", 3)
 
 
+@query(
+    "paths_page",
+    f"""WITH RECURSIVE {DAG}, t(path, name, depth) AS (SELECT ['R1'], 'R1', 0 UNION ALL SELECT list_append(t.path, e.dst), e.dst, t.depth + 1 FROM edges e JOIN t ON e.src = t.name WHERE t.depth < 3),
+ r AS (SELECT array_to_string(path, '>') AS path, depth, row_number() OVER (ORDER BY path) - 1 AS rank FROM t WHERE depth > 0) SELECT path, depth, rank FROM r WHERE rank BETWEEN 40 AND 299""",
+)
+def paths_page(spark, d):
+    """The paths of ranks 40 to 299 of a call tree, without laying out the tree."""
+    page = graph.paths_page(graph.path_sizes(dag(spark, d), "R1", 3), "R1", 40, 260)
+    return page.select(F.array_join("path", ">").alias("path"), "depth", F.col("rank").cast("long").alias("rank"))
+
+
 @query("call_tree_cyclic", f"WITH RECURSIVE {CYCLE}{TREE.format('click', 4)} SELECT src, dst, depth FROM t")
 def call_tree_cyclic(spark, d):
     return graph.tree(settled(transitions(spark, d)), "click", 4)

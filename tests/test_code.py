@@ -307,6 +307,32 @@ def test_deep_and_bushy_trees(spark):
     assert t.where("depth = 40").count() == 2**20 and t.where("dst = 'h3'").count() == 8
 
 
+def test_pages_of_a_huge_tree(spark):
+    """Any page of the 2 ** 40 longest paths in order, and all of a small cyclic graph against a walk."""
+    mids = spark.range(5 * 256).selectExpr("'h' || (id div 256) AS a", "'h' || (id div 256) || 'm' || lpad(id % 256, 3, '0') AS m", "'h' || (id div 256 + 1) AS b")
+    sizes = graph.path_sizes(settled(mids.selectExpr("a AS src", "m AS dst").unionByName(mids.selectExpr("m AS src", "b AS dst"))), "h0", 10)
+    total = 0
+    for _ in range(5):
+        total = 256 * (2 + total)
+    assert sum(r["size"] for r in sizes[0].collect()) == total > 2**40
+    for first in (0, total // 3, total - 7):
+        got = sorted(graph.paths_page(sizes, "h0", first, 7).collect())
+        assert [int(r["rank"]) for r in got] == list(range(first, first + 7)) and [r["path"] for r in got] == sorted(r["path"] for r in got)
+    assert got[-1]["path"] == [x for i in range(5) for x in (f"h{i}", f"h{i}m255")] + ["h5"] and graph.paths_page(sizes, "h0", total, 5).count() == 0
+    edges = [("a", "b"), ("a", "c"), ("b", "a"), ("c", "c"), ("c", "b"), ("c", "b"), ("b", "d")]
+
+    def walk(path, left):
+        for n in sorted({y for x, y in edges if x == path[-1]}) if left else []:
+            yield [*path, n]
+            yield from walk([*path, n], left - 1)
+
+    want = list(walk(["a"], 5))
+    sizes = graph.path_sizes(spark.createDataFrame(edges, "src string, dst string"), "a", 5)
+    for first, count in ((0, 10**6), (3, 9)):
+        assert [r["path"] for r in sorted(graph.paths_page(sizes, "a", first, count).collect())] == want[first : first + count]
+    assert graph.paths_page(graph.path_sizes(spark.createDataFrame(edges, "src string, dst string"), "nowhere", 3), "nowhere", 0, 5).count() == 0
+
+
 def test_vector_batch_in_several_blocks(spark):
     """Against all distances, with ties, blocks of all sizes, queries sent and copied, and rows that take no part."""
     made = [(f"k{i:02}", [float(i % 7), float(i % 3)]) for i in range(60)]
