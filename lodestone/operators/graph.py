@@ -145,6 +145,26 @@ def function_impact(edges: DataFrame, name: str, depth: int = 5) -> DataFrame:
     return reached(reverse(edges), _seed(edges, name), depth)
 
 
+def affected_counts(edges: DataFrame, depth: int = 5, lg_k: int = 14) -> DataFrame:
+    """name, depth, affected: for every function and each depth from 1 on, about how many distinct functions reach it within so many steps.
+
+    ``function_impact`` of all functions at once, as counts: a distinct-count sketch for each function goes
+    along the edges, and a round for each depth merges those of its callers, combined map-side. The work of a
+    round is one row an edge, whatever the sets' sizes. The relative standard error is 1.04 / sqrt(2^lg_k), 0.8 %
+    by default; a function counts itself if it is on a cycle, as it does there. Functions that nobody calls give no rows.
+    """
+    step = settled(edges.select("src", "dst").distinct())
+    direct = settled(step.groupBy(F.col("dst").alias("name")).agg(F.hll_sketch_agg("src", lg_k).alias("own")))
+    now, out = direct.withColumnRenamed("own", "sketch"), []
+    for d in range(1, depth + 1):
+        if d > 1:
+            # A function's callers, and the callers of each within one step less.
+            passed = step.join(now.select(F.col("name").alias("src"), "sketch"), "src").select(F.col("dst").alias("name"), "sketch")
+            now = settled(passed.unionByName(direct.select("name", F.col("own").alias("sketch"))).groupBy("name").agg(F.hll_union_agg("sketch").alias("sketch")))
+        out.append(now.select("name", F.lit(d).alias("depth"), F.hll_sketch_estimate("sketch").alias("affected")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def table_impact(edges: DataFrame, usage: DataFrame, table: str, depth: int = 5) -> DataFrame:
     """name, operation, depth of everything that uses ``table`` directly or through calls.
 

@@ -235,6 +235,12 @@ def impact_function(spark, d):
     return graph.function_impact(settled(dag(spark, d)), "P1")
 
 
+@query("affected_counts")
+def affected_counts(spark, d):
+    """Of every node; estimates, so there is no SQL: a test holds them against exact counts."""
+    return graph.affected_counts(dag(spark, d), 3)
+
+
 @query("impact_cyclic", f"WITH RECURSIVE {CYCLE}{BACK.format('purchase', 4)} SELECT DISTINCT name, depth FROM t")
 def impact_cyclic(spark, d):
     return graph.function_impact(settled(transitions(spark, d)), "purchase", 4)
