@@ -33,19 +33,32 @@ def sql_spans(ls: Column) -> Column:
     return F.aggregate(F.transform(ls, lambda x, i: F.struct(i.alias("i"), x.alias("line"))), zero, step, lambda acc: acc["done"])
 
 
-def comment_above(ls: Column, at: Column) -> Column:
-    """The comment on the nearest line above that is not blank; empty if that is code."""
-    above = F.reverse(F.slice(ls, 1, at))
-    near = strip(F.coalesce(F.try_element_at(F.filter(above, lambda x: x.rlike(r"(?U)\S")), F.lit(1)), F.lit("")))
+def filled(ls: Column) -> Column:
+    """The place of each line that is not blank, null for others; made once for a body."""
+    return F.transform(ls, lambda x, i: F.when(x.rlike(r"(?U)\S"), i))
+
+
+def coded(ls: Column) -> Column:
+    """The place of each line that is neither blank nor an opening brace, null for others."""
+    return F.transform(ls, lambda x, i: F.when(~strip(x).isin("", "{"), i))
+
+
+def _above(ls: Column, places: Column, at: Column) -> Column:
+    """The nearest line above ``at`` that has a place, trimmed; looks at places, not at texts."""
+    return strip(F.coalesce(F.get(ls, F.array_max(F.slice(places, 1, at))), F.lit("")))
+
+
+def comment_above(ls: Column, places: Column, at: Column) -> Column:
+    """The comment on the nearest line above that is not blank; empty if that is code. ``places``: ``filled``."""
+    near = _above(ls, places, at)
     whole = near.startswith("/*") & near.endswith("*/")
     part = near.startswith("/*") | near.startswith("*") | near.endswith("*/")
     return F.when(whole & (F.length(near) >= 4), strip(F.regexp_extract(near, r"(?s)^/\*(.*)\*/$", 1))).when(part, strip(F.regexp_replace(near, r"^[/* ]+|[ */]+$", ""))).otherwise("")
 
 
-def condition_above(ls: Column, at: Column) -> Column:
-    """The nearest line above that is neither blank nor an opening brace, if it begins an ``if``; else empty."""
-    above = F.filter(F.transform(F.reverse(F.slice(ls, 1, at)), strip), lambda x: (x != "") & (x != "{"))
-    near = F.coalesce(F.try_element_at(above, F.lit(1)), F.lit(""))
+def condition_above(ls: Column, places: Column, at: Column) -> Column:
+    """The nearest line above that is neither blank nor an opening brace, if it begins an ``if``; else empty. ``places``: ``coded``."""
+    near = _above(ls, places, at)
     return F.when(near.startswith("if ") | near.startswith("if("), near).otherwise("")
 
 
@@ -54,10 +67,11 @@ def sql_statements(functions: DataFrame, name: str = "name", body: str = "body")
     ls = F.col("ls")
     told = lambda s: F.struct(
         (s["first"] + 1).alias("line_no"), F.array_join(F.slice(ls, s["first"] + 1, s["last"] - s["first"] + 1), " ").alias("raw"),
-        comment_above(ls, s["first"]).alias("comment"), condition_above(ls, s["first"]).alias("condition"),
+        comment_above(ls, F.col("filled"), s["first"]).alias("comment"), condition_above(ls, F.col("coded"), s["first"]).alias("condition"),
     )
     # All that depends on other lines is taken before the rows are made, so none carries the body along.
-    each = functions.select(F.col(name).alias("name"), lines(F.col(body)).alias("ls")).select("name", F.explode(F.transform(sql_spans(ls), told)).alias("s")).select("name", "s.*")
+    each = functions.select(F.col(name).alias("name"), lines(F.col(body)).alias("ls")).select("name", "ls", filled(ls).alias("filled"), coded(ls).alias("coded"))
+    each = each.select("name", F.explode(F.transform(sql_spans(ls), told)).alias("s")).select("name", "s.*")
     made = each.withColumn("raw_sql", strip(F.regexp_replace("raw", r"(?U)\s+", " ")))
     op = F.upper(F.regexp_extract(F.replace("raw_sql", F.lit("EXEC SQL"), F.lit("")), rf"(?iU)^\s*({pat.FIRST_WORDS})", 1))
     return made.select(
@@ -83,12 +97,12 @@ def _lines_with(functions: DataFrame, name: str, body: str, keep, more) -> DataF
     """name, line_no, line and what ``more`` says of (lines, 0-based place), for the lines that ``keep`` takes."""
     ls = F.col("ls")
     rows = F.filter(F.transform(ls, lambda x, i: F.when(keep(x), F.struct((i + 1).alias("line_no"), x.alias("line"), more(ls, i).alias("more")))), lambda x: x.isNotNull())
-    return functions.select(F.col(name).alias("name"), lines(F.col(body)).alias("ls")).select("name", F.explode(rows).alias("x")).select("name", "x.*")
+    return functions.select(F.col(name).alias("name"), lines(F.col(body)).alias("ls")).select("name", "ls", filled(ls).alias("filled")).select("name", F.explode(rows).alias("x")).select("name", "x.*")
 
 
 def service_calls(functions: DataFrame, name: str = "name", body: str = "body") -> DataFrame:
     """name, line_no, pos, callee, args, comment of each upper-case call, SQL functions included."""
-    each = _lines_with(functions, name, body, lambda x: ~x.contains("DECLARE") & x.rlike(pat.CALL), comment_above)
+    each = _lines_with(functions, name, body, lambda x: ~x.contains("DECLARE") & x.rlike(pat.CALL), lambda ls, i: comment_above(ls, F.col("filled"), i))
     found = each.select("name", "line_no", "more", F.posexplode(F.arrays_zip(all_of(F.col("line"), pat.CALL, 1).alias("callee"), all_of(F.col("line"), pat.CALL, 2).alias("args"))).alias("pos", "c"))
     kept = found.where(~F.col("c.callee").startswith("EXEC") & ~F.col("c.callee").startswith("SQL"))
     return kept.select("name", "line_no", "pos", F.col("c.callee").alias("callee"), strip(F.col("c.args")).alias("args"), F.col("more").alias("comment"))
