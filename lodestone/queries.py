@@ -454,6 +454,21 @@ def function_context(spark, d):
     return search.context(parse.relations(_files(spark, d)), "SP_GET_1").select("section", "filename", "role", "relevance")
 
 
+@query(
+    "context_of_all",
+    """WITH s AS (SELECT 'SP_GET_' || s_suppkey AS entry, s_suppkey AS k, n_nationkey AS n, n_regionkey AS r FROM supplier JOIN nation ON n_nationkey = s_nationkey)
+ SELECT entry, 1 AS section, 's' || k || '.pc' AS filename, 'entry' AS role FROM s UNION ALL SELECT entry, 2, 'n' || n || '_str.h', 'struct' FROM s
+ UNION ALL SELECT entry, 3, 'nt' || n || '.pc', 'callee (NT_GET_' || n || ')' FROM s UNION ALL SELECT entry, 3, 'rg' || r || '.pc', 'callee (RG_GET_' || r || ')' FROM s
+ UNION ALL SELECT entry, 4, 'TB_N' || n || '.sql', 'table (TB_N' || n || ')' FROM s""",
+)
+def context_of_all(spark, d):
+    """Contexts of all suppliers' functions at once: callees two steps away and the definitions of their tables among them."""
+    n = table(spark, d, "nation").selectExpr("array('t', lpad(n_nationkey, 9, '0')) AS ord", "'nt' || n_nationkey || '.pc' AS file", "'pc' AS ext", r"'int NT_GET_' || n_nationkey || '(in_t *in)\n{\n    EXEC SQL SELECT ID INTO :v FROM TB_N' || n_nationkey || ';\n    RG_GET_' || n_regionkey || '(in);\n}\n' AS text")
+    r = table(spark, d, "region").selectExpr("array('r', lpad(r_regionkey, 9, '0')) AS ord", "'rg' || r_regionkey || '.pc' AS file", "'pc' AS ext", r"'int RG_GET_' || r_regionkey || '(in_t *in)\n{\n    return 0;\n}\n' AS text")
+    rel = parse.relations(_files(spark, d).unionByName(n).unionByName(r))
+    return search.context_many(rel, rel["functions"].where(F.col("name").startswith("SP_GET_")).select("name")).select("entry", "section", "filename", "role")
+
+
 @query("parse_structs", "SELECT 'n' || n_nationkey || '_in_t' AS name, 'nation ' || n_nationkey AS description, 'char name[' || (n_nationkey + 2) || '] its name;long region[] ' AS fields FROM nation")
 def parse_structs(spark, d):
     text = F.array_join(F.transform("fields", lambda f: F.concat(f["c_type"], F.lit(" "), f["name"], F.lit("["), F.coalesce(f["size"], F.lit("")), F.lit("] "), F.coalesce(f["comment"], F.lit("")))), ";")
