@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import all_of, strip
-from lodestone.operators import analyze, chunk, diffs, evaluate, graph, lookup, many, parse, patterns, search, vcs
+from lodestone.operators import analyze, chunk, diffs, evaluate, graph, lookup, many, parse, patterns, roles, search, vcs
 from lodestone.operators.cells import CellIndex
 from lodestone.operators.substring import SubstringIndex
 from lodestone.plans.store import settled, work_dir
@@ -420,6 +420,21 @@ def parse_functions(spark, d):
     return f.select("name", "file_path", "description", *[F.array_join(c, "|").alias(c) for c in ("params", "tables_used", "calls", "includes")])
 
 
+@query(
+    "table_access",
+    """SELECT 'NT_SET_' || n_nationkey AS name, 0 AS pos, 'UPDATE' AS operation, 'TB_N' || n_nationkey AS table_name, 'write' AS role, 0 AS part, 0 AS level FROM nation
+ UNION ALL SELECT 'NT_SET_' || n_nationkey, 0, 'UPDATE', 'TB_R' || n_regionkey, 'read', 1, 1 FROM nation UNION ALL SELECT 'NT_SET_' || n_nationkey, 0, 'UPDATE', 'TB_ALL', 'read', 2, 2 FROM nation
+ UNION ALL SELECT 'NT_SET_' || n_nationkey, 1, 'INSERT', 'TB_LOG', 'write', 0, 0 FROM nation UNION ALL SELECT 'NT_SET_' || n_nationkey, 1, 'INSERT', 'TB_N' || n_nationkey, 'read', 0, 0 FROM nation""",
+)
+def table_access(spark, d):
+    """Tables read and written by statements with subqueries."""
+    n = table(spark, d, "nation").selectExpr(
+        "array('t', lpad(n_nationkey, 9, '0')) AS ord", "'nt' || n_nationkey || '.pc' AS file", "'pc' AS ext",
+        r"'int NT_SET_' || n_nationkey || '(in_t *in)\n{\n    EXEC SQL UPDATE TB_N' || n_nationkey || ' SET B = 1 WHERE K IN (SELECT K FROM TB_R' || n_regionkey || ' WHERE C > (SELECT MIN(C) FROM TB_ALL));\n    EXEC SQL INSERT INTO TB_LOG SELECT K FROM TB_N' || n_nationkey || ';\n}\n' AS text",
+    )
+    return roles.table_access(parse.parse_functions(n))
+
+
 @query("function_bodies", f"""SELECT 'SP_GET_' || s_suppkey AS name, regexp_extract({_plain(FILE)}, '(?s)[{{].*[}}]') AS body FROM supplier""")
 def function_bodies(spark, d):
     return parse.parse_functions(_files(spark, d)).select("name", "body")
