@@ -2,14 +2,16 @@
 
 Texts are reduced to words (lower-cased runs of letters and digits); an item of
 w words is compared with every document window of w words, windows cut off at a
-document's ends included. A window is fingerprinted unless it has too few of the
-shingles of items of its length, at whatever offset, to reach the threshold
-(``starts``); that count is a bound on what the two can have in common, so no
-window of the similarity asked for is left out, and passages with moved or
-inserted parts are found.
+document's ends included. A document meets an item only by one of the item's rarest
+shingles, as many as can't all be missing in a passage of the similarity asked for;
+and a window is fingerprinted for an item unless it has too few of the item's
+shingles, at whatever offset, to reach the threshold (``starts``). Both are bounds
+on what the two can have in common, so no window of that similarity is left out,
+and passages with moved or inserted parts are found. Work grows with the items that
+a document shares shingles with, not with the items there are.
 
 Each window gets a 64-bit SimHash of its shingles, weighted by how often they
-occur. Windows meet items of the same length in a multi-index of Hamming blocks:
+occur. Windows meet their items in a multi-index of Hamming blocks:
 the fingerprints are cut into radius + 1 blocks, and two that differ in at most
 ``radius`` bits agree in one block at least, so no pair within the radius is
 missed. Candidates within the radius are then confirmed by the exact weighted
@@ -22,22 +24,24 @@ has its whole sequence as one shingle and matches only texts of just those words
 
 Defined results: null or blank texts and items match nothing; rows with a null
 doc_id can't be named and are left out of ``matches`` but kept by ``clean``;
-repeated rows of a document count once in ``matches``; repeated items match each
-by their own item_id. Of windows of the same similarity the first and then the longest
-comes first. An item of 2^21 shingles or more is refused. Extra columns are ignored by
+repeated rows of a document count once in ``matches``; repeated items are compared once and
+match each by their own item_id. Of windows of the same similarity the first and then the longest
+comes first. Items may have any length. Extra columns are ignored by
 ``matches`` and kept by ``clean``.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.shared import table, written
 
 K, RADIUS = 5, 23
-#: Shingles of an item that the counters of ``simhash`` can take.
-MOST_SHINGLES = (1 << 21) - 1
+#: Parts into which the rows of a key are dealt where a join is shuffled.
+PARTS = 16
 
 
 def word_list(text: Column) -> Column:
@@ -57,27 +61,25 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def simhash(hashes: Column) -> Column:
+def simhash(hashes: Column, lanes: int = 3) -> Column:
     """64-bit SimHash of an array of hashes, each occurrence counting once.
 
-    One pass over the array counts three bits, each in 21 bits of a long.
+    One pass over the array counts ``lanes`` bits, each in 64 / lanes bits of a long: three for
+    arrays of less than 2^21 hashes, two for all that Spark's arrays can hold.
     """
-    zero = F.lit(0).cast("long")
+    zero, width = F.lit(0).cast("long"), 64 // lanes
 
     def lane(x: Column, i: int) -> Column:
-        return F.shiftleft(x.bitwiseAND(F.lit(1 << i).cast("long")), 20 * i)
+        return F.shiftleft(x.bitwiseAND(F.lit(1 << i).cast("long")), (width - 1) * i)
 
     def counter(low: int):
-        return lambda acc, h: acc + lanes(F.shiftrightunsigned(h, low))
-
-    def lanes(x: Column) -> Column:
-        return lane(x, 0).bitwiseOR(lane(x, 1)).bitwiseOR(lane(x, 2))
+        return lambda acc, h: acc + reduce(Column.bitwiseOR, [lane(F.shiftrightunsigned(h, low), i) for i in range(lanes)])
 
     out = zero
-    for low in range(0, 64, 3):
+    for low in range(0, 64, lanes):
         sums = F.aggregate(hashes, zero, counter(low))
-        for i in range(min(3, 64 - low)):
-            count = F.shiftrightunsigned(sums, 21 * i).bitwiseAND(F.lit((1 << 21) - 1).cast("long"))
+        for i in range(min(lanes, 64 - low)):
+            count = F.shiftrightunsigned(sums, width * i).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
             out = out.bitwiseOR(F.when(2 * count > F.size(hashes), F.lit(_signed(1 << (low + i))).cast("long")).otherwise(zero))
     return out
 
@@ -108,17 +110,20 @@ def weighted_common(a: Column, b: Column) -> Column:
     return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, d: acc + F.least(times(a, d), times(b, d)))
 
 
+def _up(a, b) -> Column:
+    return F.floor((a + (b - 1)) / b).cast("int")
+
+
 def starts(at: Column, m: Column, k: int, num: int, den: int) -> Column:
-    """(w, start, take) of all windows that can reach num / den, of a text of ``m`` shingles.
+    """(item, w, start, take) of all windows that can reach num / den, of a text of ``m`` shingles.
 
-    ``at``: w, the words of an item, and ps, the sorted positions of shingles of
-    such items. A window of n shingles and an item of s need num * (n + s) / (num + den)
+    ``at``: an item, its words w and ps, the sorted positions of its shingles
+    in the text. A window of n shingles and an item of s need num * (n + s) / (num + den)
     in common, n at least num / den * s. The windows whose first hit is ps[i] begin after
     ps[i - 1], and those with enough hits late enough to hold ps[i + need - 1].
     """
-    up = lambda a, b: F.floor((a + (b - 1)) / b).cast("int")
     ps, size = at["ps"], F.greatest(at["w"] - (k - 1), F.lit(1))
-    least = up(num * size, den)
+    least = _up(num * size, den)
 
     def first(p: Column, i: Column) -> Column:
         far = F.get(ps, i + least - 1)
@@ -129,8 +134,8 @@ def starts(at: Column, m: Column, k: int, num: int, den: int) -> Column:
         return F.least(x["start"] + size, m) - F.greatest(x["start"], F.lit(0))
 
     all_ = F.flatten(F.transform(ps, first))
-    able = F.filter(all_, lambda x: F.get(ps, x["i"] + up(num * (take(x) + size), num + den) - 1) < x["start"] + size)
-    return F.transform(able, lambda x: F.struct(at["w"].alias("w"), x["start"].alias("start"), take(x).alias("take")))
+    able = F.filter(all_, lambda x: F.get(ps, x["i"] + _up(num * (take(x) + size), num + den) - 1) < x["start"] + size)
+    return F.transform(able, lambda x: F.struct(at["item"].alias("item"), at["w"].alias("w"), x["start"].alias("start"), take(x).alias("take")))
 
 
 def sized(df: DataFrame, bytes_: int, most: int) -> DataFrame:
@@ -138,43 +143,73 @@ def sized(df: DataFrame, bytes_: int, most: int) -> DataFrame:
     return F.broadcast(df) if bytes_ <= most else df
 
 
+def joined(many: DataFrame, few: DataFrame, on: list[str], spread: list[str], bytes_: int, most: int) -> DataFrame:
+    """``many`` joined to ``few``, which is sent to all tasks up to ``most`` bytes.
+
+    Beyond, both are shuffled, a key's rows of ``many`` dealt into parts by the columns ``spread``.
+    """
+    if bytes_ <= most:
+        return many.join(F.broadcast(few), on)
+    dealt = many.withColumn("part", F.pmod(F.xxhash64(*spread), F.lit(PARTS)).cast("int"))
+    return dealt.join(few.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), [*on, "part"]).drop("part")
+
+
+def rarest(items: DataFrame, known, num: int, den: int, broadcast_bytes: int) -> DataFrame:
+    """h, items: every shingle of the items, and the items among whose rarest it is.
+
+    What reaches num / den has that share of an item's shingles at least; so it can't be
+    without all of the rarest ones, one more than may be missing. Most shingles have no items.
+    """
+    each = items.select("item", F.explode("item_sh").alias("h"))
+    times = each.groupBy("h").agg(F.count("*").alias("times"))
+    by_item = joined(each, times, ["h"], ["item"], 32 * known["n"], broadcast_bytes).groupBy("item").agg(F.array_sort(F.collect_list(F.struct("times", "h"))).alias("x"))
+    some = F.slice(F.col("x.h"), 1, F.size("x") - _up(num * F.size("x"), den) + 1)
+    rare = by_item.select("item", F.explode(F.array_distinct(some)).alias("h"))
+    return each.select(F.lit(None).cast("long").alias("item"), "h").unionByName(rare).groupBy("h").agg(F.collect_set("item").alias("items"))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, k: int = K, num: int = 80, den: int = 100, radius: int = RADIUS, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, item_id, start, n_words, similarity: for each document and item the best window that reaches num / den.
 
     ``docs``: doc_id, text; ``benchmark``: item_id, text. What comes from the
     benchmark is broadcast only up to ``broadcast_bytes``, else shuffled.
     """
-    items = benchmark.select("item_id", word_list(F.col("text")).alias("words")).where(F.size("words") > 0)
-    items = items.select("item_id", F.size("words").alias("w"), shingles(F.col("words"), k).alias("item_sh"))
-    items = written(items.withColumn("item_fp", simhash(F.col("item_sh"))))
+    named = benchmark.select("item_id", word_list(F.col("text")).alias("words")).where(F.size("words") > 0).withColumn("key", F.sha2(F.array_join("words", " "), 256))
+    items = named.select("key", "words").dropDuplicates(["key"]).select(F.monotonically_increasing_id().alias("item"), "key", F.size("words").alias("w"), shingles(F.col("words"), k).alias("item_sh"))
+    items = written(items)
     known = items.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("item_sh")), F.lit(0)).alias("n"), F.coalesce(F.max(F.size("item_sh")), F.lit(0)).alias("longest")).first()
-    if known["longest"] > MOST_SHINGLES:
-        raise ValueError(f"an item has {known['longest']} shingles; {MOST_SHINGLES} are the most")
+    lanes, full = 3 if known["longest"] < 1 << 21 else 2, 64 * known["rows"] + 8 * known["n"]
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    anchors = items.select("w", F.explode("item_sh").alias("h")).distinct()
     found = texts.select("doc_id", word_list(F.col("text")).alias("words")).select("doc_id", F.posexplode(shingles(F.col("words"), k)).alias("p", "h"))
-    hits = found.join(sized(anchors, 32 * known["n"], broadcast_bytes), "h").groupBy("doc_id", "w").agg(F.array_sort(F.collect_set("p")).alias("ps"))
-    hits = hits.where(den * F.size("ps") >= num * F.greatest(F.col("w") - (k - 1), F.lit(1)))
-    wanted = written(hits.groupBy("doc_id").agg(F.collect_list(F.struct("w", "ps")).alias("at")))
-
-    held = texts.join(wanted, "doc_id").select("doc_id", F.explode("at").alias("at"), word_list(F.col("text")).alias("words")).select("doc_id", "at", shingles(F.col("words"), k).alias("sh"))
-    windows = held.select("doc_id", "sh", F.explode(starts(F.col("at"), F.size("sh"), k, num, den)).alias("x"))
+    hits = joined(found, rarest(items, known, num, den, broadcast_bytes), ["h"], ["doc_id", "p"], 64 * known["n"], broadcast_bytes)
+    near = F.array_distinct(F.flatten(F.collect_set(F.when(F.size("items") > 0, F.col("items")))))
+    hits = hits.groupBy("doc_id").agg(F.collect_set(F.struct("p", "h")).alias("hit"), near.alias("near")).select("doc_id", "hit", F.explode("near").alias("item"))
+    pairs = joined(hits, items.select("item", "w", "item_sh"), ["item"], ["doc_id"], full, broadcast_bytes)
+    own = F.filter("hit", lambda x: F.array_contains(F.col("item_sh"), x["h"]))
+    pairs = pairs.select("doc_id", "item", "w", F.array_sort(F.array_distinct(F.transform(own, lambda x: x["p"]))).alias("ps"))
+    pairs = pairs.where(den * F.size("ps") >= num * F.greatest(F.col("w") - (k - 1), F.lit(1)))
+    wanted = written(pairs.groupBy("doc_id").agg(F.collect_list(F.struct("item", "w", "ps")).alias("at")))
+
+    held = texts.join(wanted, "doc_id").select("doc_id", "at", word_list(F.col("text")).alias("words")).select("doc_id", "at", shingles(F.col("words"), k).alias("sh"))
+    held = held.select("doc_id", "sh", F.flatten(F.transform("at", lambda a: starts(a, F.size("sh"), k, num, den))).alias("xs"))
     begin = F.greatest(F.col("x.start"), F.lit(0))
-    windows = windows.select("doc_id", "x.w", begin.alias("start"), F.slice("sh", begin + 1, F.greatest(F.col("x.take"), F.lit(0))).alias("sh")).where(F.size("sh") > 0)
-    windows = windows.withColumn("fp", simhash(F.col("sh")))
+    # Outer, since Spark would push a filter on xs down to the texts and compute it twice; rows without windows go just below.
+    windows = held.select("doc_id", "sh", F.explode_outer("xs").alias("x")).select("doc_id", "x.item", begin.alias("start"), F.slice("sh", begin + 1, F.greatest(F.col("x.take"), F.lit(0))).alias("sh")).where(F.size("sh") > 0)
+    windows = windows.withColumn("fp", simhash(F.col("sh"), lanes))
 
-    index = items.select("item_id", "w", "item_fp", F.explode(blocks(F.col("item_fp"), radius)).alias("k")).select("item_id", "w", "item_fp", "k.b", "k.v").distinct()
-    probes = windows.select("*", F.explode(blocks(F.col("fp"), radius)).alias("k")).select("doc_id", "w", "start", "sh", "fp", "k.b", "k.v")
+    index = items.select("item", simhash(F.col("item_sh"), lanes).alias("item_fp")).select("item", "item_fp", F.explode(blocks(F.col("item_fp"), radius)).alias("k")).select("item", "item_fp", "k.b", "k.v")
+    probes = windows.select("*", F.explode(blocks(F.col("fp"), radius)).alias("k")).select("doc_id", "item", "start", "sh", "fp", "k.b", "k.v")
     diff = F.col("fp").bitwiseXOR(F.col("item_fp"))
-    near = probes.join(sized(index, 64 * known["rows"] * (radius + 1), broadcast_bytes), ["w", "b", "v"]).where((F.bit_count(diff) <= radius) & (F.col("b") == first_block(diff, radius)))
-    full = items.select("item_id", "w", "item_fp", "item_sh").distinct()
-    both = near.select("doc_id", "item_id", "w", "item_fp", "start", "sh").join(sized(full, 64 * known["rows"] + 8 * known["n"], broadcast_bytes), ["item_id", "w", "item_fp"])
-    scored = both.select("doc_id", "item_id", "start", F.size("sh").alias("n"), F.size("item_sh").alias("m"), weighted_common(F.col("sh"), F.col("item_sh")).alias("c"))
+    met = joined(probes, index, ["item", "b", "v"], ["doc_id", "start"], 64 * known["rows"] * (radius + 1), broadcast_bytes).where((F.bit_count(diff) <= radius) & (F.col("b") == first_block(diff, radius)))
+    both = joined(met.select("doc_id", "item", "start", "sh"), items.select("item", "item_sh"), ["item"], ["doc_id", "start"], full, broadcast_bytes)
+    scored = both.select("doc_id", "item", "start", F.size("sh").alias("n"), F.size("item_sh").alias("m"), weighted_common(F.col("sh"), F.col("item_sh")).alias("c"))
     whole = F.col("n") + F.col("m") - F.col("c")
-    hit = scored.where(den * F.col("c") >= num * whole).select("doc_id", "item_id", "start", (F.col("n") + k - 1).alias("n_words"), (F.col("c") / whole).alias("similarity"))
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n_words")).alias("x")
-    return hit.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("x.back")).alias("start"), F.col("x.n_words").alias("n_words"), F.col("x.similarity").alias("similarity"))
+    hit = scored.where(den * F.col("c") >= num * whole).select("doc_id", "item", F.struct((F.col("c") / whole).alias("similarity"), (-F.col("start")).alias("back"), (F.col("n") + k - 1).alias("n_words")).alias("x"))
+    members = named.select("key", "item_id").distinct()
+    members = joined(members, items.select("key", "item"), ["key"], ["item_id"], 96 * known["rows"], broadcast_bytes).select("item", "item_id")
+    best = hit.groupBy("doc_id", "item").agg(F.max("x").alias("x")).join(members, "item").groupBy("doc_id", "item_id").agg(F.max("x").alias("x"))
+    return best.select("doc_id", "item_id", (-F.col("x.back")).alias("start"), F.col("x.n_words").alias("n_words"), F.col("x.similarity").alias("similarity"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -211,6 +211,32 @@ def test_simhash_against_brute_force(spark):
         assert r["f"] & (2**64 - 1) == want
 
 
+def test_wide_counters_give_the_same_fingerprint(spark):
+    df = spark.range(40).selectExpr("transform(sequence(0, id), x -> xxhash64(x, id % 7)) AS h")
+    assert df.where(decontaminate.simhash(df["h"], 2) != decontaminate.simhash(df["h"])).count() == 0
+
+
+def test_leaks_of_items_with_a_common_preamble(spark):
+    """Most shingles of each item are in all items, some items repeat; documents have the preamble alone, or with one item's own words."""
+    rnd = random.Random(12)
+    preamble, own = [f"p{i}" for i in range(24)], [[f"w{rnd.randrange(4000)}" for _ in range(6 + i % 9)] for i in range(30)]
+    items = [(i, " ".join(preamble + own[i])) for i in range(30)] + [(100, " ".join(preamble + own[0])), (101, " ".join(preamble)), (102, " ".join(preamble[:7] * 3))]
+    docs = []
+    for i in range(40):
+        words = preamble + own[rnd.randrange(30)]
+        if i % 3 == 1:
+            words = [w if rnd.random() > 0.03 else "x" for w in words]
+        elif i % 3 == 2:
+            words = preamble[: rnd.randrange(8, 25)] + [f"o{j}" for j in range(9)]
+        docs.append((i, " ".join([f"a{j}" for j in range(i % 5)] + words + [f"z{j}" for j in range(i % 4)])))
+    docs.append((40, " ".join(preamble[:7] * 3)))
+    want = {(d, i): s for d, t in docs for i, x in items if (s := leaked(t, x)) >= 0.8}
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for most in (64 << 20, 0):
+        got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.matches(df, bench, broadcast_bytes=most).collect()}
+        assert got == pytest.approx(want) and len(want) > 40
+
+
 def test_no_leaks_of_empty_tables(spark):
     docs, none = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.matches(docs, none).collect() == [] and decontaminate.clean(docs, none).count() == 1
