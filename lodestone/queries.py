@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import all_of, strip
-from lodestone.operators import analyze, chunk, diffs, evaluate, graph, lookup, many, parse, patterns, roles, search, vcs
+from lodestone.operators import analyze, chunk, components, diffs, evaluate, graph, lookup, many, parse, patterns, roles, search, vcs
 from lodestone.operators.cells import CellIndex
 from lodestone.operators.substring import SubstringIndex
 from lodestone.plans.store import settled, work_dir
@@ -241,6 +241,19 @@ def affected_counts(spark, d):
     return graph.affected_counts(dag(spark, d), 3)
 
 
+@query(
+    "components_affected",
+    f"""WITH RECURSIVE {DAG.replace("edges AS", "dag AS", 1)}, {CYCLE.replace("edges AS", "cycle AS", 1)}, edges AS (SELECT * FROM dag UNION SELECT * FROM cycle),
+ t(a, b) AS (SELECT src, dst FROM edges UNION SELECT t.a, e.dst FROM t JOIN edges e ON e.src = t.b),
+ n AS (SELECT src AS name FROM edges UNION SELECT dst FROM edges), m AS (SELECT x.a AS name, min(x.b) AS other FROM t x JOIN t y ON x.a = y.b AND x.b = y.a GROUP BY 1),
+ k AS (SELECT b AS name, count(*) AS affected FROM t GROUP BY 1)
+ SELECT name, least(name, coalesce(other, name)) AS component, CAST(coalesce(affected, 0) AS BIGINT) AS affected FROM n LEFT JOIN m USING (name) LEFT JOIN k USING (name)""",
+)
+def components_affected(spark, d):
+    """Of every node of both graphs its component and how many nodes reach it at any depth."""
+    return components.affected_exactly(dag(spark, d).unionByName(transitions(spark, d)))
+
+
 @query("impact_cyclic", f"WITH RECURSIVE {CYCLE}{BACK.format('purchase', 4)} SELECT DISTINCT name, depth FROM t")
 def impact_cyclic(spark, d):
     return graph.function_impact(settled(transitions(spark, d)), "purchase", 4)
