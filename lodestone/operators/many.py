@@ -3,7 +3,9 @@
 A stated set of queries (distinct, sent to all tasks) meets all rows in one pass:
 one Aho-Corasick automaton of all their terms goes over each text once, and each task
 keeps the k best rows of each query, so what is shuffled is bounded by tasks, queries
-and k. The strategies for all queries take a fixed number of jobs, whatever their number.
+and k. Rows are scored in blocks, one query at a time over the rows that hold its terms, so a task
+holds a block's hits and the best rows, never all pairs of rows and queries; a query whose rarest terms a block lacks,
+so that it can't reach the k-th best score yet known, passes it by. The strategies for all queries take a fixed number of jobs, whatever their number.
 """
 
 from __future__ import annotations
@@ -17,6 +19,9 @@ from lodestone.functions.text import query_terms
 from lodestone.operators import search
 from lodestone.plans.store import settled
 
+#: A task scores its rows in blocks of about so many hits (terms in texts).
+HITS = 2_000_000
+
 
 def sortable(x) -> tuple:
     """A value that sorts as Spark sorts it: null first, arrays and structs by their parts."""
@@ -32,11 +37,11 @@ def keyword_search_many(df: DataFrame, queries: DataFrame, weights: dict[str, in
     have no terms, and queries that no row matches, give no rows. A repeated term of a query counts each time.
     """
     asked = [r["query"] for r in queries.select("query").distinct().where(F.col("query").isNotNull()).collect()]  # the stated set
-    uses: dict[str, list[int]] = {}
-    for number, q in enumerate(asked):
-        for term in query_terms(q):
-            uses.setdefault(term, []).append(number)
-    terms, who = list(uses), [np.array(u, np.int64) for u in uses.values()]
+    place_of: dict[str, int] = {}
+    uses = [(number, place_of.setdefault(term, len(place_of))) for number, q in enumerate(asked) for term in query_terms(q)]
+    terms = list(place_of)
+    asker, wanted = np.array(uses, np.int64).reshape(-1, 2).T  # a query's terms lie together
+    begin = np.searchsorted(asker, np.arange(len(asked) + 1))
     columns, points = list(weights), list(weights.values())
     kind = {c: df.schema[c].dataType.simpleString() for c in (key, order)}
     held_schema = f"number long, score long, key {kind[key]}, ord {kind[order]}"
@@ -55,6 +60,34 @@ def keyword_search_many(df: DataFrame, queries: DataFrame, weights: dict[str, in
         first = np.searchsorted(sorted_number, sorted_number, "left")
         return at[np.arange(at.size) - first < k]
 
+    def block_best(found: list[tuple], rows: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """number, score, row of the k best of a block's rows, in whose order ties go, where they reach ``floor``; ``found``: row, terms, weight."""
+        term = np.concatenate([t for _, t, _ in found])
+        row = np.repeat(np.array([r for r, _, _ in found], np.int64), [t.size for _, t, _ in found])
+        gain = np.repeat(np.array([w for _, _, w in found], np.int64), [t.size for _, t, _ in found])
+        at = np.argsort(term, kind="stable")
+        row, gain = row[at], gain[at] if len(set(points)) > 1 or points[0] != 1 else None
+        held = np.bincount(term, minlength=len(terms))
+        ends = np.cumsum(held)
+        starts = ends - held
+        # All but a query's rarest terms together stay below its floor: rows without any of the rarest are left out.
+        rare = wanted[np.lexsort((held[wanted], asker))]
+        spare = (floor - 1) // max(1, sum(w for w in points if w > 0))
+        sums = np.append(0, np.cumsum(held[rare]))
+        need = np.maximum(begin[1:] - spare, begin[:-1])
+        number, score, chosen = [], [], []
+        for n in np.flatnonzero(sums[need] > sums[begin[:-1]]).tolist():
+            parts = [slice(starts[t], ends[t]) for t in rare[begin[n] : begin[n + 1]].tolist()]
+            s = np.bincount(np.concatenate([row[p] for p in parts]), None if gain is None else np.concatenate([gain[p] for p in parts]), rows)
+            at = np.flatnonzero(s >= floor[n])
+            if at.size > k:
+                at = at[s[at] >= np.partition(s[at], at.size - k)[at.size - k]]
+            at = at[np.argsort(-s[at], kind="stable")[:k]]
+            number.append(np.full(at.size, n, np.int64))
+            score.append(s[at].astype(np.int64))
+            chosen.append(at)
+        return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in (number, score, chosen))
+
     def run(batches):
         import ahocorasick
 
@@ -62,35 +95,36 @@ def keyword_search_many(df: DataFrame, queries: DataFrame, weights: dict[str, in
         for i, t in enumerate(terms):
             machine.add_word(t, i)
         machine.make_automaton()
-        held = None
+        held, new, floor = None, [], np.ones(len(asked), np.int64)
+
+        def merged() -> pa.Table:
+            """The k best so far, all columns; a query with k rows has its worst score as its floor."""
+            table = pa.concat_tables([*([held] if held else []), *new]).combine_chunks()
+            ranks = place(list(zip(table.column(3).to_pylist(), table.column(2).to_pylist(), strict=True)))
+            table = table.take(pa.array(best(table.column(0).to_numpy(), table.column(1).to_numpy(), ranks)))
+            number, score = table.column(0).to_numpy(), table.column(1).to_numpy()
+            full = np.bincount(number, minlength=len(asked)) >= k
+            floor[full] = score[np.searchsorted(number, np.flatnonzero(full), "right") - 1]
+            return table
+
         for batch in batches:
             texts = [batch.column(2 + i) for i in range(len(columns))]
-            number, score, row = [], [], []
-            for r in range(batch.num_rows):
-                hits, times = [], []
+            order = np.argsort(place(list(zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True))), kind="stable")
+            found, hits, lo = [], 0, 0
+            for i, r in enumerate(order.tolist()):
                 for column, w in zip(texts, points, strict=True):
-                    for t in {i for _, i in machine.iter(text)} if (text := column[r].as_py()) else ():
-                        hits.append(who[t])
-                        times.append(np.full(who[t].size, w, np.int64))
-                if hits:
-                    q, back = np.unique(np.concatenate(hits), return_inverse=True)
-                    s = np.zeros(q.size, np.int64)
-                    np.add.at(s, back, np.concatenate(times))
-                    number.append(q[s > 0])
-                    score.append(s[s > 0])
-                    row.append(np.full(number[-1].size, r, np.int64))
-            if not number:
-                continue
-            number, score, row = (np.concatenate(x) for x in (number, score, row))
-            ranks = place(list(zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True)))
-            keep = best(number, score, ranks[row])
-            rows = pa.array(row[keep])
-            new = pa.Table.from_arrays([pa.array(number[keep]), pa.array(score[keep]), batch.column(0).take(rows), batch.column(1).take(rows)], ["number", "score", "key", "ord"])
-            held = pa.concat_tables([held, new]).combine_chunks() if held else new
-            ranks = place(list(zip(held.column(3).to_pylist(), held.column(2).to_pylist(), strict=True)))
-            held = held.take(pa.array(best(held.column(0).to_numpy(), held.column(1).to_numpy(), ranks)))
-        if held:
-            yield from held.to_batches(max_chunksize=10_000)
+                    if (text := column[r].as_py()) and (seen := {t for _, t in machine.iter(text)}):
+                        found.append((i - lo, np.fromiter(seen, np.int32, len(seen)), w))
+                        hits += len(seen)
+                if found and (hits >= HITS or i + 1 == batch.num_rows):
+                    number, score, at = block_best(found, i + 1 - lo, floor)
+                    rows = pa.array(order[lo + at])
+                    new.append(pa.Table.from_arrays([pa.array(number), pa.array(score), batch.column(0).take(rows), batch.column(1).take(rows)], ["number", "score", "key", "ord"]))
+                    if sum(len(t) for t in new) > (len(held) if held else 0):
+                        held, new = merged(), []
+                    found, hits, lo = [], 0, i + 1
+        if held or new:
+            yield from merged().to_batches(max_chunksize=10_000)
 
     texts = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"text{i}") for i, c in enumerate(columns)]
     found = df.select(F.col(key).alias("key"), F.col(order).alias("ord"), *texts).mapInArrow(run, held_schema)

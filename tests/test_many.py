@@ -1,7 +1,9 @@
 """Many queries in one plan against one query at a time, and retrieval quality on ten own records."""
 
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from lodestone.operators import evaluate, many, search
@@ -107,6 +109,33 @@ def test_keywords(spark, k):
     assert many.keyword_search_many(df.where("false"), spark.createDataFrame([("fee",)], "query string"), WEIGHTS, "name", "ord").collect() == []
 
 
+def test_keywords_hold_no_pairs(spark, monkeypatch):
+    """A task's memory doesn't grow with rows times queries; blocks of any size give the same rows."""
+    n, q = 4000, 1500
+    df = spark.createDataFrame([(i, f"the{i % 97:02} and{i % 89:02} the rest") for i in range(n)], "id long, text string")
+    queries = spark.createDataFrame([(f"the and{i % 89:02} rest the{i % 97:02} q{i}",) for i in range(q)], "query string")
+    tasks, plain = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: tasks.append((self, run)) or plain(self, run, schema))
+    many.keyword_search_many(df, queries, {"text": 1}, "id", "id")
+    batches = tasks[0][0].toArrow().combine_chunks().to_batches()
+    out = []
+    for hits in (many.HITS, 7):
+        monkeypatch.setattr(many, "HITS", hits)
+        tracemalloc.start()
+        table = pa.Table.from_batches(tasks[0][1](batches[:1] if hits > 7 else [batches[0].slice(0, 400)]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < n * q  # bytes
+        out.append(sorted(tuple(r.values()) for r in table.select(["number", "score", "key"]).to_pylist()))
+    monkeypatch.undo()
+    assert len(out[0]) == 3 * q
+    texts = [f"the{i % 97:02} and{i % 89:02} the rest" for i in range(400)]
+    asked = sorted((r["query"] for r in queries.collect()), key=lambda x: int(x.rsplit("q")[1]))
+    got = sorted(v[1:] for v in out[1])
+    want = sorted(t for x in asked for t in sorted(((sum(w in text for w in x.split()), i) for i, text in enumerate(texts)), key=lambda t: (-t[0], t[1]))[:3])
+    assert got == want
+
+
 def test_index_of_substrings_in_the_catalog(spark, cat, tmp_path):
     plain = [(q, [(r["name"], r["score"]) for r in cat.search_keywords(q).collect()]) for q in ("account", "tax brackets", "TB_")]
     cat.index_substrings(str(tmp_path / "index"))
