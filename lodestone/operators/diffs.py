@@ -3,8 +3,9 @@
 ``diff_lines`` reads diff text by a small state machine: a hunk ends when the line counts of its head are
 used up, so a removed line that begins with "-- " is no file head. ``line_maps`` turns a
 revision's hunks of a file into runs: lines taken over from the revision before, and lines that are new. Maps of
-neighbouring revisions compose to one map, in any grouping, so ``composed`` halves their number
-in each round, two maps to a task at a time, however long a history is; ``blame`` reads off who wrote each line.
+neighbouring revisions compose to one map, in any grouping, so ``composed`` goes by spans of revisions,
+many tasks to a file, then by spans of spans, however long a history is; ``blame`` reads off who wrote each line. Maps
+carry the text of the lines that are new, so lines needn't be looked up again.
 
 Defined results: null and blank texts give no rows; property changes and binary files have no lines; a text cut off in a
 hunk gives the lines that are there; line ends of CR LF lose the CR. Maps need each (file, revision) once, revisions as rising numbers.
@@ -15,9 +16,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.plans.store import settled
@@ -28,7 +30,9 @@ KINDS = {" ": "context", "-": "delete", "+": "insert"}
 ROW = "file string, hunk int, pos int, kind string, old_line int, new_line int, content string, ends_file boolean"
 #: Length of the run of all lines behind the last hunk.
 REST = 1 << 40
-RUN = "struct<length:bigint,old:bigint,revision:bigint,line:bigint>"
+MAP = "file string, revision long, part long, runs array<struct<length:bigint,old:bigint,revision:bigint,line:bigint>>, texts array<string>"
+#: Revisions (then spans) that one task composes, and rows of a batch.
+SPAN, BATCH = 1024, 50_000
 
 
 def parsed(text: str) -> Iterator[list]:
@@ -123,8 +127,8 @@ def compose(first: list[tuple], second: list[tuple]) -> list[tuple]:
         at += r[0]
     out, j = [], 0
     for length, old, revision, line in second:
-        if old is None:
-            out.append((length, None, revision, line))
+        if not old:
+            out.append((length, old, revision, line))
             continue
         j = j if j < len(starts) and starts[j] <= old else 0
         while j + 1 < len(starts) and starts[j + 1] <= old:
@@ -135,41 +139,148 @@ def compose(first: list[tuple], second: list[tuple]) -> list[tuple]:
             skip = begin - starts[i]
             take = min(left, n - skip)
             if take > 0:
-                out.append((take, o + skip if o is not None else None, r, k + skip if k is not None else None))
+                out.append((take, o + skip if o else o, r, k + skip if k else k))
             begin, left, i = begin + take, left - take, i + 1
     return out
 
 
+def map_of(rows: list, revision: int) -> tuple[list[tuple], list[str]]:
+    """The runs of a revision of a file, 0 for what they lack, and the lines it wrote, from its (hunk, pos, kind, old_line, new_line, content)."""
+    if any(a[:2] > b[:2] for a, b in zip(rows, rows[1:])):
+        rows = sorted(rows, key=lambda r: r[:2])
+    return [(n, o or 0, r or 0, k or 0) for n, o, r, k in runs_of([r[:5] for r in rows], revision)], [r[5] for r in rows if r[2] == "insert"]
+
+
+def new_lines(runs: list[tuple]) -> list[tuple[int, int]]:
+    """(revision, line) of each line in ``runs`` that isn't taken over, in their order."""
+    return [(revision, k) for length, old, revision, line in runs if not old for k in range(line, line + length)]
+
+
+def packed(maps: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """A batch of MAP from (file, revision, part, runs, texts)."""
+    files, revisions, parts, runs, texts = zip(*maps, strict=True)
+    ends = lambda lists: pa.array(np.append(0, np.cumsum(list(map(len, lists)))), pa.int32())
+    flat = np.array([r for rs in runs for r in rs], np.int64).reshape(-1, 4).T
+    held = pa.StructArray.from_arrays([pa.array(c) for c in flat], ["length", "old", "revision", "line"])
+    lines = pa.array([t for ts in texts for t in ts], pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(files), pa.array(revisions, pa.int64()), pa.array(parts, pa.int64()), pa.ListArray.from_arrays(ends(runs), held), pa.ListArray.from_arrays(ends(texts), lines)], schema=schema)
+
+
+def unpacked(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The (file, revision, part, runs, texts) of a batch of MAP."""
+    plain = list(zip(*(c.to_numpy().tolist() for c in batch.column(3).flatten().flatten()), strict=True))
+    lines = batch.column(4).flatten().to_pylist()
+    r = t = 0
+    for file, rev, part, r_to, t_to in zip(*(batch.column(i).to_pylist() for i in range(3)), *(np.cumsum(pc.list_value_length(batch.column(i)).to_numpy()).tolist() for i in (3, 4)), strict=True):
+        yield file, rev, part, plain[r:r_to], lines[t:t_to]
+        r, t = r_to, t_to
+
+
+def in_batches(maps: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Batches of MAP, closed once they have BATCH maps or lines."""
+    schema = pa.schema([("file", pa.string()), ("revision", pa.int64()), ("part", pa.int64()), ("runs", pa.list_(pa.struct([(f, pa.int64()) for f in ("length", "old", "revision", "line")]))), ("texts", pa.list_(pa.string()))])
+    held, size = [], 0
+    for m in maps:
+        held.append(m)
+        size += 1 + len(m[3]) + len(m[4])
+        if size >= BATCH:
+            yield packed(held, schema)
+            held, size = [], 0
+    if held:
+        yield packed(held, schema)
+
+
 def line_maps(lines: DataFrame, file: str = "file", revision: str = "revision") -> DataFrame:
-    """file, revision, runs of each revision of each file, from ``diff_lines`` with a revision."""
-    each = lines.groupBy(F.col(file).alias("file"), F.col(revision).cast("long").alias("revision")).agg(F.array_sort(F.collect_list(F.struct("hunk", "pos", "kind", "old_line", "new_line"))).alias("rows"))
+    """file, revision, part (0), runs, texts (of the lines that are new) of each revision of each file, from ``diff_lines`` with a revision."""
+    whole = lines.select(F.col(file).alias("file"), F.col(revision).cast("long").alias("revision"), F.struct("hunk", "pos", "kind", "old_line", "new_line", "content").alias("row")).dropna(subset=["file", "revision"])
+
+    def run(batches):
+        for batch in batches:
+            yield from in_batches((f, r, 0, *map_of([tuple(x.values()) for x in rows.as_py()], r)) for f, r, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True))
+
+    return whole.groupBy("file", "revision").agg(F.collect_list("row").alias("rows")).mapInArrow(run, MAP)
 
-    @F.pandas_udf(f"array<{RUN}>")
-    def runs(rows: pd.Series, revision: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("length", "old", "revision", "line"), r, strict=True)) for r in runs_of([tuple(x.values()) for x in rs], int(v))] for rs, v in zip(rows, revision, strict=True)])
 
-    return each.select("file", "revision", runs("rows", "revision").alias("runs"))
+def text_maps(df: DataFrame, raw: str, revision: str) -> DataFrame:
+    """``line_maps`` of ``diff_lines``, where all lines of a (file, revision) are in one text: nothing is shuffled."""
+
+    def maps(batch):
+        for text, r in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            files: dict[str, list] = {}
+            for row in parsed(text.as_py() or ""):
+                files.setdefault(row[0], []).append(row[1:7])
+            for f, rows in files.items():
+                if f is not None:
+                    yield f, r, 0, *map_of(rows, r)
+
+    def run(batches):
+        for batch in batches:
+            yield from in_batches(maps(batch))
+
+    return df.select(F.col(raw).cast("string").alias("raw"), F.col(revision).cast("long").alias("revision")).dropna().mapInArrow(run, MAP)
+
+
+def joined(a: tuple, b: tuple) -> tuple:
+    """Two neighbouring maps as one, with the lines that are left."""
+    runs = compose(a[3], b[3])
+    lines = dict(zip(new_lines(a[3]) + new_lines(b[3]), a[4] + b[4], strict=True))
+    return *b[:3], runs, [lines[at] for at in new_lines(runs)]
+
+
+def folded(maps: Iterator[tuple]) -> Iterator[tuple]:
+    """One map for the neighbours of one (file, part): pairs are joined, then pairs of pairs, so a long run of maps costs each a few steps."""
+    stack: list[tuple[int, tuple]] = []
+
+    def whole() -> tuple:
+        one = stack.pop()[1]
+        while stack:
+            one = joined(stack.pop()[1], one)
+        return one
+
+    for m in maps:
+        if stack and (stack[-1][1][0], stack[-1][1][2]) != (m[0], m[2]):
+            yield whole()
+        level = 0
+        while stack and stack[-1][0] == level:
+            m, level = joined(stack.pop()[1], m), level + 1
+        stack.append((level, m))
+    if stack:
+        yield whole()
 
 
 def composed(maps: DataFrame) -> DataFrame:
-    """file, revision (the last), runs: all maps of a file as one, by rounds that compose neighbours."""
-    @F.pandas_udf(f"array<{RUN}>")
-    def joined(a: pd.Series, b: pd.Series) -> pd.Series:
-        plain = lambda rs: [tuple(None if pd.isna(r[k]) else int(r[k]) for k in ("length", "old", "revision", "line")) for r in rs]
-        return pd.Series([[dict(zip(("length", "old", "revision", "line"), r, strict=True)) for r in compose(plain(x), plain(y))] for x, y in zip(a, b, strict=True)])
-
-    w = Window.partitionBy("file").orderBy("revision")
-    now = settled(maps.select("file", "revision", "runs", (F.row_number().over(w) - 1).alias("n")))
-    most = now.agg(F.max("n")).first()[0] or 0
-    while most > 0:
-        pair = now.withColumn("pair", F.floor(F.col("n") / 2))
-        left = pair.where("n % 2 = 0").select("file", "pair", F.col("revision").alias("r1"), F.col("runs").alias("a"))
-        right = pair.where("n % 2 = 1").select("file", "pair", F.col("revision").alias("r2"), F.col("runs").alias("b"))
-        both = left.join(right, ["file", "pair"], "left")
-        alone = both.where(F.col("b").isNull()).select("file", F.col("r1").alias("revision"), F.col("a").alias("runs"), F.col("pair").alias("n"))
-        now = settled(both.where(F.col("b").isNotNull()).select("file", F.col("r2").alias("revision"), joined("a", "b").alias("runs"), F.col("pair").alias("n")).unionByName(alone))
-        most //= 2
-    return now.select("file", "revision", "runs")
+    """file, revision (the last), runs, texts: all maps of a file as one. A task composes those of a file within SPAN revisions, the next round the results of SPAN such."""
+
+    def run(batches):
+        yield from in_batches(folded(m for batch in batches for m in unpacked(batch)))
+
+    part = "revision"
+    while True:
+        parts = maps.withColumn("part", F.expr(f"{part} div {SPAN}"))
+        maps, part = settled(parts.repartition("file", "part").sortWithinPartitions("file", "revision").mapInArrow(run, MAP)), "part"
+        low, high = maps.agg(F.min("part"), F.max("part")).first()
+        if low == high:
+            return maps.select("file", "revision", "runs", "texts")
+
+
+def written(maps: DataFrame) -> DataFrame:
+    """file, line, revision, content of the lines that the revisions of ``composed`` maps wrote."""
+
+    def run(batches):
+        for batch in batches:
+            length, old, revision, line = (c.to_numpy() for c in batch.column(1).flatten().flatten())
+            runs = pc.list_value_length(batch.column(1)).to_numpy()
+            of = np.repeat(np.arange(len(runs)), runs)
+            ends = np.cumsum(length)
+            before = ends - length
+            before -= before[np.cumsum(runs) - runs][of]  # within the file
+            own = np.flatnonzero(old == 0)
+            n = length[own]
+            at = np.repeat(own, n)
+            k = np.arange(at.size) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[at])), pa.array((before[at] + k + 1).astype(np.int32)), pa.array(revision[at]), batch.column(2).flatten()], ["file", "line", "revision", "content"])
+
+    return maps.select("file", "runs", "texts").mapInArrow(run, "file string, line int, revision long, content string")
 
 
 def blame(lines: DataFrame, file: str = "file", revision: str = "revision") -> DataFrame:
@@ -177,10 +288,9 @@ def blame(lines: DataFrame, file: str = "file", revision: str = "revision") -> D
 
     For a history from the empty file on these are all its lines.
     """
-    runs = composed(line_maps(lines, file, revision)).select("file", F.posexplode("runs").alias("i", "run"))
-    w = Window.partitionBy("file").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    begun = runs.withColumn("before", F.coalesce(F.sum("run.length").over(w), F.lit(0)))
-    written = begun.where(F.col("run.old").isNull()).select("file", "run.revision", "run.line", "before", F.explode(F.sequence(F.lit(0).cast("long"), F.col("run.length") - 1)).alias("k"))
-    at = written.select("file", "revision", (F.col("line") + F.col("k")).alias("new_line"), (F.col("before") + F.col("k") + 1).cast("int").alias("line"))
-    text = lines.where(F.col("kind") == "insert").select(F.col(file).alias("file"), F.col(revision).cast("long").alias("revision"), F.col("new_line").cast("long").alias("new_line"), "content")
-    return at.join(text, ["file", "revision", "new_line"]).select("file", "line", "revision", "content")
+    return written(composed(line_maps(lines, file, revision)))
+
+
+def blame_texts(df: DataFrame, raw: str, revision: str) -> DataFrame:
+    """``blame`` of ``diff_lines``, where all lines of a (file, revision) are in one text."""
+    return written(composed(text_maps(df, raw, revision)))

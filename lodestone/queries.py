@@ -633,7 +633,7 @@ def diff_lines(spark, d):
     f"""WITH {DIFF} SELECT file, 1 AS line, 1::BIGINT AS revision, 'int a;' AS content FROM l UNION ALL SELECT file, 2, 2, '++ k = ' || (k + 1) || ';' FROM l UNION ALL SELECT file, 3, 2, 'int b;' FROM l UNION ALL SELECT file, 4, 1, 'return;' FROM l""",
 )
 def blame_from_diffs(spark, d):
-    return diffs.blame(diffs.diff_lines(_history(spark, d), "raw", "revision"))
+    return diffs.blame_texts(_history(spark, d), "raw", "revision")
 
 
 @query("versioned_functions", "SELECT 1 AS version, 'SP_GET_' || s_suppkey AS name, 's' || s_suppkey || '.pc' AS file_path FROM supplier UNION ALL SELECT 2, CASE WHEN s_suppkey % 5 = 0 THEN 'SP_NEW_' ELSE 'SP_GET_' END || s_suppkey, 's' || s_suppkey || '.pc' FROM supplier WHERE s_suppkey % 5 = 0 OR s_suppkey % 7 <> 0")

@@ -63,6 +63,19 @@ def test_blame_from_diffs(spark, told):
     assert got == sorted((f, i + 1, r, t) for f, ls in last.items() for i, (t, r) in enumerate(ls))
 
 
+@pytest.mark.parametrize("span", [1024, 3])
+def test_blame_of_texts(spark, told, span, monkeypatch):
+    """Blame from texts, by spans of any length, equals that from lines; it parses each text once and shuffles maps alone."""
+    monkeypatch.setattr(diffs, "SPAN", span)
+    monkeypatch.setattr(diffs, "BATCH", 20)
+    df, last = told
+    df = df.unionByName(spark.createDataFrame([(None, "--- z\n+++ z\n@@ -0,0 +1 @@\n+a"), (3, None), (4, "@@ -0,0 +1 @@\n+of no file")], df.schema))
+    got = diffs.blame_texts(df, "raw", "revision")
+    assert sorted(tuple(r) for r in got.collect()) == sorted((f, i + 1, r, t) for f, ls in last.items() for i, (t, r) in enumerate(ls))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("MapInArrow") == 1
+
+
 def test_lines_of_diffs(spark, told):
     """Old and new numbers point to the line of each version."""
     df, _ = told
