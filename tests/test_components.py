@@ -46,6 +46,20 @@ def test_components_and_reach(spark):
     assert got == {n: sum(n in s for s in reached.values()) for n in reached}
 
 
+def test_ends_stay_out_of_the_rounds(spark, monkeypatch):
+    """Nodes that lead nowhere on, most of a call graph, take no part in the rounds; edges are read once."""
+    seen, plain = [], components._closed
+    monkeypatch.setattr(components, "_closed", lambda on: seen.extend(on.collect()) or plain(on))
+    edges = [("r", "m1"), ("r", "m2"), ("m1", "m2"), ("m2", "m1"), *((m, f"leaf{i}") for i in range(50) for m in ("m1", "m2", "r")), ("m1", "loop"), ("loop", "loop")]
+    df = spark.createDataFrame([*edges, (None, "m1"), *edges[:9]], "src string, dst string")
+    reached, component = brute(edges)
+    got = {r["name"]: (r["component"], r["affected"]) for r in components.affected_exactly(df).collect()}
+    assert got == {n: (component[n], sum(n in s for s in reached.values())) for n in reached}
+    assert [tuple(r) for r in seen] == [("r", "m1")]
+    chain = spark.createDataFrame([(f"c{i:02}", f"c{i + 1:02}") for i in range(20)], "src string, dst string")
+    assert {r["name"]: r["affected"] for r in components.affected_exactly(chain).collect()} == {f"c{i:02}": i for i in range(21)}
+
+
 def test_no_edges(spark):
     df = spark.createDataFrame([], "src string, dst string")
     assert components.strong_components(df).count() == 0 == components.affected_exactly(df).count()
