@@ -45,6 +45,12 @@ def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return out
 
 
+def nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row up to rounding, a slice of rows at a time."""
+    size, step = np.square(centres).sum(1) / 2, max(1, (1 << 22) // len(centres))
+    return np.concatenate([np.zeros(0, np.int64), *((size - x[lo : lo + step] @ centres.T).argmin(1) for lo in range(0, len(x), step))])
+
+
 def k_means(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
     """Centres of at most ``k`` cells; first ones are spread by sampling far rows, cells that lose all rows go."""
     rnd = np.random.default_rng(seed)
@@ -56,7 +62,7 @@ def k_means(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 7) -> np.nd
             break
         centres = np.vstack([centres, x[rnd.choice(len(x), p=far / far.sum())]])
     for _ in range(rounds):
-        near = distances(x, centres).argmin(1)
+        near = nearest_centre(x, centres)
         held = np.unique(near)
         centres = np.vstack([x[near == c].mean(0) for c in held])
     return centres
@@ -92,9 +98,10 @@ class CellIndex:
         def assign(batches):
             for batch in batches:
                 if batch.num_rows:
-                    d = distances(lists(batch.column(1)), centres)
-                    cell = d.argmin(1)
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], ["key", "v", "cell", "d"])
+                    x = lists(batch.column(1))
+                    cell = nearest_centre(x, centres)
+                    d = np.sqrt(np.square(x - centres[cell]).sum(1))
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell.astype(np.int32)), pa.array(d)], ["key", "v", "cell", "d"])
 
         def pack(batches):
             held, size = [], 0
@@ -171,7 +178,8 @@ class CellIndex:
         """q, key, distance (squared): the k best of each shell for each query that can gain from it."""
         kind, q_kind = self.kind, pairs.schema["q"].dataType.simpleString()
         one = F.struct("q", "v", "c", "reach")
-        salted = pairs.withColumn("salt", F.pmod(F.xxhash64("q"), F.lit(max(1, -(-pairs.count() // QUERIES)))))
+        most = pairs.groupBy("cell").count().agg(F.max("count")).first()[0] or 0  # a shell is copied once for each QUERIES of its own cell's queries
+        salted = pairs.withColumn("salt", F.pmod(F.xxhash64("q"), F.lit(max(1, -(-most // QUERIES)))))
         packed = salted.groupBy("cell", "salt").agg(F.collect_list(one).alias("qs"))
         both = self.shells.join(packed, "cell").select("low", "high", "keys", "vals", "qs")
 
@@ -187,7 +195,7 @@ class CellIndex:
                     keys = batch.column(2)[i].values
                     x = np.frombuffer(batch.column(3)[i].as_buffer(), np.float64).reshape(len(keys), -1)
                     order = pc.sort_indices(keys)
-                    qi, vi, d = _nearest(x[order.to_numpy()], lists(v.take(pa.array(use))), k)
+                    qi, vi, d = _nearest(x[order.to_numpy()], lists(v.take(pa.array(use))), k, most=np.square(reach[use]) * (1 + SLACK))
                     yield pa.RecordBatch.from_arrays([q.take(pa.array(use[qi])), keys.take(order).take(pa.array(vi)), pa.array(d)], ["q", "key", "distance"])
 
         return both.mapInArrow(run, f"q {q_kind}, key {kind}, distance double")

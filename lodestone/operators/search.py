@@ -73,8 +73,36 @@ def _blocks(df: DataFrame, key: str, vector: str, rows: int) -> DataFrame:
     return kept.mapInArrow(run, f"block long, dims long, keys array<{df.schema[key].dataType.simpleString()}>, vals binary")
 
 
-def _nearest(v: np.ndarray, q: np.ndarray, k: int, step: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions in ``q`` and ``v`` and squared distance of the k nearest rows, ties to the earlier; sums run in the order of dimensions."""
+def _nearest(v: np.ndarray, q: np.ndarray, k: int, step: int = 64, most: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions in ``q`` and ``v`` and squared distance of the k nearest rows, ties to the earlier; sums run in the order of dimensions.
+
+    One matrix product says, up to what rounding can take, which rows can be among them; only these are summed. ``most``: for each
+    row of ``q`` the largest distance of use.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        vv, qq = np.square(v).sum(1), np.square(q).sum(1)
+        error = 8 * np.finfo(float).eps * (v.shape[1] + 8) * np.square(np.sqrt(vv.max(initial=0)) + np.sqrt(qq))
+    if not (np.isfinite(vv).all() and np.isfinite(error).all()):
+        return _nearest_plainly(v, q, k, step)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for lo in range(0, len(q), step):
+        some, slack = q[lo : lo + step], error[lo : lo + step]
+        near = vv[None, :] - 2 * (some @ v.T) + qq[lo : lo + step, None]
+        limit = np.partition(near, k - 1, 1)[:, k - 1] + 2 * slack if len(v) > k else np.full(len(some), np.inf)
+        if most is not None:
+            limit = np.minimum(limit, most[lo : lo + step] + slack)
+        qi, vi = np.nonzero(near <= limit[:, None])
+        d = np.zeros(qi.size)
+        for x, y in zip(v.T, some.T, strict=True):
+            d += np.square(x[vi] - y[qi])
+        at = np.lexsort((vi, d, qi))
+        at = at[np.arange(at.size) - np.searchsorted(qi, qi) < k]  # qi rises, so it is the same before and after sorting
+        out.append((lo + qi[at], vi[at], d[at]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _nearest_plainly(v: np.ndarray, q: np.ndarray, k: int, step: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions in ``q`` and ``v`` and squared distance of the k nearest rows, ties to the earlier, for numbers that aren't finite or whose squares aren't."""
     out = []
     columns = np.ascontiguousarray(v.T)
     for lo in range(0, len(q), step):

@@ -52,6 +52,39 @@ def test_hot_cell_is_many_shells(spark, tmp_path, monkeypatch):
     assert rows(index.search_batch(asked, "id")) == rows(search.vector_search_batch(df, asked, "id"))
 
 
+@pytest.mark.parametrize("far", [0, 1e8, 1e200])
+def test_only_near_rows_are_summed(far, monkeypatch):
+    """The nearest rows are those of sums over all, bit by bit, ties included; only those that can be among them are summed."""
+    rnd = np.random.default_rng(8)
+    v = np.vstack([rnd.normal(size=(2000, 8)), np.round(rnd.normal(size=(2000, 8))), np.ones((40, 8))]) + far
+    q = np.vstack([v[::50], rnd.normal(size=(9, 8))])
+    summed = []
+    plain = np.square
+    monkeypatch.setattr(np, "square", lambda x: (summed.append(np.size(x)), plain(x))[1])
+    got = search._nearest(v, q, 5)
+    monkeypatch.undo()
+    if not far:
+        assert sum(summed) < 0.1 * q.size * len(v)
+    want = search._nearest_plainly(v, q, 5)
+    assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
+    most = np.full(len(q), np.median(want[2]))
+    near = search._nearest(v, q, 5, most=most)
+    if far < 1e100:
+        assert all(np.array_equal(a[want[2] <= most[0]], b[near[2] <= most[0]]) for a, b in zip(want, near, strict=True)) and len(near[0]) < len(want[0])
+
+
+def test_shells_are_copied_by_their_own_queries(spark, tmp_path, monkeypatch):
+    """Queries of other cells don't make more copies of a shell."""
+    monkeypatch.setattr(cells, "QUERIES", 40)
+    df = frame(spark, np.random.default_rng(9).normal(size=(600, 4)).astype(np.float32))
+    index = cells.CellIndex.build(df, "id", "embedding", str(tmp_path / "i"), 20)
+    read, plain = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: (read.append(self) if "qs" in self.columns else None, plain(self, run, schema))[1])
+    got = rows(index.search_batch(df.where("id < 'k00040'"), "id"))
+    assert len(read) == 2 and all(r.count() <= 3 * index.shells.count() for r in read)
+    assert got == rows(search.vector_search_batch(df, df.where("id < 'k00040'"), "id"))
+
+
 def test_of_little(spark, tmp_path):
     one = frame(spark, np.array([[1.0, 2.0]], np.float32))
     index = cells.CellIndex.build(one, "id", "embedding", str(tmp_path / "one"))
