@@ -8,8 +8,11 @@ the nearest cells first, until they have k vectors; the k-th best distance then
 which other cells and shells can still improve it, and only these are read. The result is that of
 ``search.vector_search_batch``, whatever the centres; good centres only make it read less.
 
-Centres (at most CENTRES, bounded in bytes) are sent to all tasks. A cell of any size is
-many shells in many tasks; of a shell's queries at most QUERIES meet it in one row.
+Centres (at most CENTRES, bounded in bytes) are sent to all tasks. Near cells together are a place,
+a large cell's shells are dealt to several. A query goes once to each place it has to read, so its copies grow
+with the places, not the cells; blocks of at most QUERIES queries meet a place's shells one by one and keep the k
+best so far, which narrow what the next shell has to give. Blocks and shells are bounded in bytes, and so is what
+a place has of blocks at a time (TURN, KEPT): its shells come again for more.
 
 Rows without key or vector, with an empty vector, a null, NaN or infinity in it take no part;
 vectors of another length than the index's are not compared.
@@ -27,6 +30,10 @@ from lodestone.operators.search import _nearest, similarity
 from lodestone.plans.store import settled
 
 BLOCK, QUERIES, CENTRES, SAMPLE_BYTES, ROUNDS = 4096, 1024, 4096, 64 << 20, 10
+#: Bytes of vectors in a shell or block at most, in a place (but for the shells of one cell), in what a task yields at once.
+BLOCK_BYTES, PLACE_BYTES, SLICE_BYTES = 2 << 20, 8 << 20, 8 << 20
+#: Places of an index that is smaller than so many of PLACE_BYTES; blocks that meet a place's shells in one turn; rows that these keep, about.
+PLACES, TURN, KEPT = 64, 64, 1 << 20
 #: Bounds are eased by this share of the numbers they come from, far more than rounding can take.
 SLACK = 1e-9
 
@@ -45,6 +52,12 @@ def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return out
 
 
+def can_hold(c: np.ndarray, low: np.ndarray, high: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Whether vectors between ``low`` and ``high`` from a centre can lie within ``reach`` of a query ``c`` from it; true where that overflows."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        return ~(np.maximum(c - high, low - c) > reach + SLACK * (c + high))
+
+
 def nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """The nearest centre of each row up to rounding, a slice of rows at a time."""
     size, step = np.square(centres).sum(1) / 2, max(1, (1 << 22) // len(centres))
@@ -79,6 +92,22 @@ class CellIndex:
         self.centres = np.array([known[c]["centre"] for c in self.ids])
         self.n, self.low, self.high = (np.array([known[c][f] for c in self.ids], float) for f in ("n", "low", "high"))
         self.kind = self.shells.schema["keys"].dataType.elementType.simpleString()
+        self.dims = self.centres.shape[1] if len(self.ids) else -1
+        self.place, self.parts = self._deal()
+
+    def _deal(self) -> tuple[np.ndarray, np.ndarray]:
+        """First place and number of places of each cell: near small cells share one, a large cell has some of its own."""
+        place, parts, left, at = np.zeros(len(self.ids), np.int64), np.ones(len(self.ids), np.int64), np.ones(len(self.ids), bool), 0
+        room = max(1, min(PLACE_BYTES // (8 * self.dims), int(self.n.sum()) // PLACES)) if len(self.ids) else 1
+        while left.any():
+            order = distances(self.centres[[left.argmax()]], self.centres)[0].argsort(kind="stable")
+            order = order[left[order]]
+            take = order[: max(1, np.searchsorted(self.n[order].cumsum(), room, "right"))]
+            place[take], left[take] = at, False
+            if take.size == 1:
+                parts[take] = -(-self.n[take] // max(room, BLOCK))
+            at += parts[take[0]]
+        return place, parts
 
     @classmethod
     def build(cls, df: DataFrame, key: str, vector: str, path: str, cells: int | None = None) -> CellIndex:
@@ -103,6 +132,8 @@ class CellIndex:
                     d = np.sqrt(np.square(x - centres[cell]).sum(1))
                     yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell.astype(np.int32)), pa.array(d)], ["key", "v", "cell", "d"])
 
+        block = max(1, min(BLOCK, BLOCK_BYTES // (8 * dims)))
+
         def pack(batches):
             held, size = [], 0
 
@@ -110,7 +141,7 @@ class CellIndex:
                 cell, d, v = rows.column(2).to_numpy(), rows.column(3).to_numpy(), lists(rows.column(1).combine_chunks())
                 keys = rows.column(0).combine_chunks()
                 cuts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-                starts = [s for a, b in zip(cuts, np.append(cuts[1:], cell.size), strict=True) for s in range(a, b, BLOCK)]
+                starts = [s for a, b in zip(cuts, np.append(cuts[1:], cell.size), strict=True) for s in range(a, b, block)]
                 for a, b in zip(starts, [*starts[1:], cell.size], strict=True):
                     one = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), keys.slice(a, b - a))
                     yield pa.RecordBatch.from_arrays([pa.array([cell[a]], pa.int32()), pa.array([b - a], pa.int32()), pa.array([d[a]]), pa.array([d[b - 1]]), one, pa.array([v[a:b].tobytes()], pa.binary())], ["cell", "n", "low", "high", "keys", "vals"])
@@ -118,7 +149,7 @@ class CellIndex:
             for batch in batches:
                 held.append(batch)
                 size += batch.num_rows
-                if size >= 4 * BLOCK:
+                if size >= 4 * block:
                     yield from shells(pa.Table.from_batches(held))
                     held, size = [], 0
             if size:
@@ -136,88 +167,101 @@ class CellIndex:
         return cls(spark, path)
 
     def _near_cells(self, asked: DataFrame, k: int) -> DataFrame:
-        """q, v, cell, c, reach of the nearest cells of each query that have k vectors together; reach is infinite."""
-        ids, n, centres = self.ids, self.n, self.centres
+        """Pairs of each query with the places of its nearest cells that have k vectors together, one for each cell; reach is infinite."""
+        ids, place, parts, slices, nearest = self.ids, self.place, self.parts, self._slices, _first_cells(self.centres, self.n, k)
 
         def run(batches):
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                c = distances(lists(batch.column(1)), centres)
-                order = np.argsort(c, 1, kind="stable")
-                held = np.cumsum(n[order], 1)
-                take = np.minimum((held < k).sum(1) + 1, len(ids))
-                row = np.repeat(np.arange(len(c)), take)
-                cell = np.concatenate([o[:t] for o, t in zip(order, take, strict=True)])
-                yield _pairs(batch, row, ids[cell], c[row, cell], np.full(row.size, np.inf))
+            for batch in slices(batches):
+                row, cell = np.nonzero(nearest(lists(batch.column(1)))[1])
+                of, part = _counted(parts[cell])
+                row, cell = row[of], cell[of]
+                yield _pairs(batch, row, np.full(row.size, np.inf), place[cell] + part, ids[cell], np.zeros(row.size))
 
         return asked.mapInArrow(run, self._pair_schema(asked))
 
     def _more_cells(self, asked: DataFrame, k: int) -> DataFrame:
-        """The other cells that can hold a vector as near as ``reach``; ``asked``: q, v, reach, seen (cells)."""
-        ids, low, high, centres = self.ids, self.low, self.high, self.centres
+        """Pairs of each query with all places where a cell can hold a vector within its reach; ``asked``: q, v, reach."""
+        low, high, slices, nearest = self.low, self.high, self._slices, _first_cells(self.centres, self.n, k)
+        cell, part = _counted(self.parts)
+        at = self.place[cell] + part
+        cell, at = cell[at.argsort(kind="stable")], np.sort(at)
+        starts = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if at.size else at
 
         def run(batches):
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                c = distances(lists(batch.column(1)), centres)
+            for batch in slices(batches):
+                c, seen = nearest(lists(batch.column(1)))
                 reach = batch.column(2).to_numpy()
-                ok = np.maximum(c - high, low - c) <= reach[:, None] + SLACK * (c + high)
-                for i, seen in enumerate(batch.column(3).to_pylist()):
-                    ok[i, np.searchsorted(ids, seen)] = False
-                row, cell = np.nonzero(ok)
-                yield _pairs(batch, row, ids[cell], c[row, cell], reach[row])
+                ok = can_hold(c, low, high, reach[:, None])
+                row, to = np.nonzero(np.logical_or.reduceat(ok[:, cell], starts, axis=1))
+                yield _pairs(batch, row, reach[row], at[starts][to], np.full(row.size, -1), (ok | seen).sum(1)[row])
 
         return asked.mapInArrow(run, self._pair_schema(asked))
 
     def _pair_schema(self, asked: DataFrame) -> str:
-        return f"q {asked.schema['q'].dataType.simpleString()}, v array<double>, cell int, c double, reach double"
+        return f"q {asked.schema['q'].dataType.simpleString()}, v array<double>, reach double, place int, only int, cells_read int"
+
+    @property
+    def _slices(self):
+        """Cuts batches of queries so that neither their distances from the centres nor their pairs take more than SLICE_BYTES."""
+        step = max(1, SLICE_BYTES // (8 * max(1, len(self.ids), int(self.parts.sum()) * self.dims)))
+        return lambda batches: (batch.slice(lo, step) for batch in batches for lo in range(0, batch.num_rows, step))
 
     def _read(self, pairs: DataFrame, k: int) -> DataFrame:
-        """q, key, distance (squared): the k best of each shell for each query that can gain from it."""
-        kind, q_kind = self.kind, pairs.schema["q"].dataType.simpleString()
-        one = F.struct("q", "v", "c", "reach")
-        most = pairs.groupBy("cell").count().agg(F.max("count")).first()[0] or 0  # a shell is copied once for each QUERIES of its own cell's queries
-        salted = pairs.withColumn("salt", F.pmod(F.xxhash64("q"), F.lit(max(1, -(-most // QUERIES)))))
-        packed = salted.groupBy("cell", "salt").agg(F.collect_list(one).alias("qs"))
-        both = self.shells.join(packed, "cell").select("low", "high", "keys", "vals", "qs")
+        """q, key, distance (squared): of the shells of a place (of the cell ``only``, or of any if it is -1) the k best for each query, some more at times."""
+        kind, q_kind, ids, centres = self.kind, pairs.schema["q"].dataType.simpleString(), self.ids, self.centres
+        most = max(1, min(QUERIES, BLOCK_BYTES // (8 * max(1, self.dims)), KEPT // k))
+        turn = max(1, min(TURN, KEPT // (most * k)))
+        asked = {r["place"]: -(-r["count"] // most) for r in pairs.groupBy("place").count().collect()}  # at most a row for each place
+        small = lambda rows, schema: F.broadcast(self.spark.createDataFrame(rows, schema))
+        salts = small([(p, s) for p, s in asked.items()], "place int, salts int")
+        salted = pairs.join(salts, "place").withColumn("salt", F.pmod(F.xxhash64("q"), "salts").cast("int"))
+        packed = salted.groupBy("place", "salt").agg(F.collect_list(F.struct("q", "v", "reach", "only")).alias("qs")).withColumn("turn", F.floor(F.col("salt") / turn).cast("int"))
+        cells = [(int(c), int(p), int(n)) for c, p, n in zip(self.ids, self.place, self.parts, strict=True) if any(x in asked for x in range(p, p + n))]
+        found = self.shells.where(F.col("cell").isin([c for c, _, _ in cells])).join(small(cells, "cell int, first int, parts int"), "cell")
+        placed = found.withColumn("place", (F.col("first") + F.pmod(F.xxhash64(F.col("keys")[0]), "parts")).cast("int")).join(salts, "place")
+        turned = placed.withColumn("turn", F.explode(F.sequence(F.lit(0), F.floor((F.col("salts") - 1) / turn).cast("int"))))
+        both = turned.hint("merge").join(packed, ["place", "turn"]).select("place", "turn", "salt", "cell", "low", "high", "keys", "vals", "qs")
 
         def run(batches):
+            at, held = None, {}
             for batch in batches:
                 for i in range(batch.num_rows):
-                    low, high, qs = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(4)[i].values
-                    q, v, c, reach = (qs.field(f) for f in range(4))
-                    c, reach = c.to_numpy(), reach.to_numpy()
-                    use = np.flatnonzero(np.maximum(c - high, low - c) <= reach + SLACK * (c + high))
-                    if not use.size:
-                        continue
-                    keys = batch.column(2)[i].values
-                    x = np.frombuffer(batch.column(3)[i].as_buffer(), np.float64).reshape(len(keys), -1)
-                    order = pc.sort_indices(keys)
-                    qi, vi, d = _nearest(x[order.to_numpy()], lists(v.take(pa.array(use))), k, most=np.square(reach[use]) * (1 + SLACK))
-                    yield pa.RecordBatch.from_arrays([q.take(pa.array(use[qi])), keys.take(order).take(pa.array(vi)), pa.array(d)], ["q", "key", "distance"])
+                    place, part, salt, cell, low, high = (batch.column(c)[i].as_py() for c in range(6))
+                    if (place, part) != at:
+                        yield from (r for b in held.values() for r in b.rows())
+                        at, held = (place, part), {}
+                    q, v, reach, only = (batch.column(8)[i].values.field(f) for f in range(4))
+                    if salt not in held:
+                        held[salt] = _Best(reach.to_numpy(), k)
+                    block = held[salt]
+                    y, only = lists(v), only.to_numpy()
+                    with np.errstate(over="ignore"):
+                        c = np.sqrt(np.square(y - centres[np.searchsorted(ids, cell)]).sum(1))
+                    use = np.flatnonzero(((only == cell) | (only < 0)) & can_hold(c, low, high, np.sqrt(block.most)))
+                    if use.size:
+                        keys = batch.column(6)[i].values
+                        x = np.frombuffer(batch.column(7)[i].as_buffer(), np.float64).reshape(len(keys), -1)
+                        order = pc.sort_indices(keys)
+                        qi, vi, d = _nearest(x[order.to_numpy()], y[use], k, most=block.most[use])
+                        block.add(use[qi], q.take(pa.array(use[qi])), keys.take(order.take(pa.array(vi))), d)
+            yield from (r for b in held.values() for r in b.rows())
 
         return both.mapInArrow(run, f"q {q_kind}, key {kind}, distance double")
 
     def search_with_cells(self, queries: DataFrame, key: str, vector: str = "embedding", k: int = 5) -> tuple[DataFrame, DataFrame]:
         """The neighbours, and query_key, cells_read, cells: how many cells were read for each query, of how many."""
-        dims = self.centres.shape[1] if len(self.ids) else -1
-        fine = F.col(key).isNotNull() & (F.size(vector) == dims) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+        fine = F.col(key).isNotNull() & (F.size(vector) == self.dims) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
         asked = settled(queries.where(fine).select(F.col(key).alias("q"), F.col(vector).cast("array<double>").alias("v")))
-        if dims < 0:
+        if self.dims < 0:
             asked = asked.where("false")
-        first = settled(self._near_cells(asked, k))
         w = Window.partitionBy("q").orderBy("distance", "key")
         best = lambda df: df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        found = settled(best(self._read(first, k)).drop("rank"))
-        # Fewer than k in all cells together: nothing else is left to read.
+        found = best(self._read(settled(self._near_cells(asked, k)), k))
+        # Fewer than k in all cells together: nothing is left out.
         reach = found.groupBy("q").agg(F.when(F.count("*") >= k, F.sqrt(F.max("distance"))).otherwise(F.lit(float("inf"))).alias("reach"))
-        seen = first.groupBy("q").agg(F.collect_list("cell").alias("seen"))
-        more = settled(self._more_cells(asked.join(reach, "q").join(seen, "q").select("q", "v", "reach", "seen"), k))
-        all_found = best(found.unionByName(self._read(more, k)))
-        near = all_found.select(F.col("q").alias("query_key"), F.col("key").alias(key), "distance", "rank", similarity(F.col("distance")).alias("score"))
-        read = first.select("q").unionByName(more.select("q")).groupBy(F.col("q").alias("query_key")).agg(F.count("*").alias("cells_read")).withColumn("cells", F.lit(len(self.ids)))
+        more = settled(self._more_cells(asked.join(reach, "q").select("q", "v", "reach"), k))
+        near = best(self._read(more, k)).select(F.col("q").alias("query_key"), F.col("key").alias(key), "distance", "rank", similarity(F.col("distance")).alias("score"))
+        read = more.groupBy(F.col("q").alias("query_key")).agg(F.max("cells_read").alias("cells_read")).withColumn("cells", F.lit(len(self.ids)))
         return near, read
 
     def search_batch(self, queries: DataFrame, key: str, vector: str = "embedding", k: int = 5) -> DataFrame:
@@ -225,6 +269,57 @@ class CellIndex:
         return self.search_with_cells(queries, key, vector, k)[0]
 
 
-def _pairs(batch: pa.RecordBatch, row: np.ndarray, cell: np.ndarray, c: np.ndarray, reach: np.ndarray) -> pa.RecordBatch:
+class _Best:
+    """The k nearest rows so far for each query of a block, ties by key."""
+
+    def __init__(self, reach: np.ndarray, k: int):
+        with np.errstate(over="ignore"):
+            self.most, self.k, self.kept, self.new = np.square(reach) * (1 + SLACK), k, [], 0
+
+    def add(self, at: np.ndarray, q: pa.Array, key: pa.Array, d: np.ndarray) -> None:
+        self.kept.append(pa.table({"at": pa.array(at), "q": q, "key": key, "distance": pa.array(d)}))
+        self.new += len(d)
+        if self.new >= len(self.most) * self.k:
+            self.cut()
+
+    def cut(self) -> None:
+        rows = pa.concat_tables(self.kept)
+        order = pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in ("at", "distance", "key")])
+        at = rows["at"].take(order).to_numpy()
+        rank = np.arange(at.size) - np.searchsorted(at, at)
+        rows, at, rank = rows.take(order.filter(pa.array(rank < self.k))).combine_chunks(), at[rank < self.k], rank[rank < self.k]
+        last = rank == self.k - 1
+        self.most[at[last]] = np.minimum(self.most[at[last]], rows["distance"].to_numpy()[last])
+        self.kept, self.new = [rows], 0
+
+    def rows(self):
+        if self.kept:
+            self.cut()
+            yield from self.kept[0].select(["q", "key", "distance"]).to_batches()
+
+
+def _first_cells(centres: np.ndarray, n: np.ndarray, k: int):
+    """Of queries the distances from all centres, and which cells come first: the nearest that have k vectors together."""
+
+    def run(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        with np.errstate(over="ignore"):
+            c = distances(x, centres)
+        order = np.argsort(c, 1, kind="stable")
+        before = np.cumsum(n[order], 1) - n[order]
+        first = np.zeros(c.shape, bool)
+        np.put_along_axis(first, order, before < k, 1)
+        return c, first
+
+    return run
+
+
+def _counted(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each position as often as its part says, and the number of that time from 0."""
+    of = np.repeat(np.arange(len(parts)), parts)
+    return of, np.arange(of.size) - (np.cumsum(parts) - parts)[of]
+
+
+def _pairs(batch: pa.RecordBatch, row: np.ndarray, reach: np.ndarray, place: np.ndarray, only: np.ndarray, cells_read: np.ndarray) -> pa.RecordBatch:
     at = pa.array(row)
-    return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(cell.astype(np.int32)), pa.array(c), pa.array(reach)], ["q", "v", "cell", "c", "reach"])
+    numbers = [pa.array(x.astype(np.int32)) for x in (place, only, cells_read)]
+    return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(reach), *numbers], ["q", "v", "reach", "place", "only", "cells_read"])

@@ -87,11 +87,18 @@ def _nearest(v: np.ndarray, q: np.ndarray, k: int, step: int = 64, most: np.ndar
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     for lo in range(0, len(q), step):
         some, slack = q[lo : lo + step], error[lo : lo + step]
-        near = vv[None, :] - 2 * (some @ v.T) + qq[lo : lo + step, None]
-        limit = np.partition(near, k - 1, 1)[:, k - 1] + 2 * slack if len(v) > k else np.full(len(some), np.inf)
-        if most is not None:
-            limit = np.minimum(limit, most[lo : lo + step] + slack)
-        qi, vi = np.nonzero(near <= limit[:, None])
+        near = some @ v.T
+        near *= -2
+        near += vv
+        near += qq[lo : lo + step, None]
+        limit = np.full(len(some), np.inf) if most is None else most[lo : lo + step] + slack
+        under = near <= limit[:, None]
+        if len(v) > k:
+            many = np.flatnonzero(np.count_nonzero(under, axis=1) > 4 * k)  # the others have few to sum as it is
+            if many.size:
+                limit[many] = np.minimum(limit[many], np.partition(near[many], k - 1, 1)[:, k - 1] + 2 * slack[many])
+                under = near <= limit[:, None]
+        qi, vi = np.divmod(np.flatnonzero(under), len(v)) if len(v) else (np.zeros(0, np.int64),) * 2
         d = np.zeros(qi.size)
         for x, y in zip(v.T, some.T, strict=True):
             d += np.square(x[vi] - y[qi])

@@ -85,6 +85,39 @@ def test_shells_are_copied_by_their_own_queries(spark, tmp_path, monkeypatch):
     assert got == rows(search.vector_search_batch(df, df.where("id < 'k00040'"), "id"))
 
 
+def test_queries_go_to_places_in_slices(spark, tmp_path, monkeypatch):
+    """A query that has to read most cells isn't copied by each of them, and no task yields all copies at once."""
+    monkeypatch.setattr(cells, "PLACES", 8, raising=False)
+    monkeypatch.setattr(cells, "SLICE_BYTES", 1 << 16, raising=False)
+    df = frame(spark, np.random.default_rng(10).normal(size=(900, 16)).astype(np.float32))
+    index = cells.CellIndex.build(df, "id", "embedding", str(tmp_path / "i"), 300)
+    asked, made, plain = df.where("id < 'k00060'"), [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: (made.append((self, run)) if "reach" in schema else None, plain(self, run, schema))[1])
+    got, read = index.search_with_cells(asked, "id", k=3)
+    assert rows(got) == rows(search.vector_search_batch(df, asked, "id", k=3))
+    assert len(index.ids) > 200 and min(r["cells_read"] for r in read.collect()) > 100
+    assert len(made) == 2
+    for queries, run in made:
+        pairs = list(run(iter(queries.toArrow().combine_chunks().to_batches())))
+        assert 60 <= sum(p.num_rows for p in pairs) <= 60 * 16
+        assert max(p.nbytes for p in pairs) <= 1 << 16
+
+
+@pytest.mark.parametrize("n", [1, 40])
+def test_places_take_blocks_in_turns(spark, tmp_path, monkeypatch, n):
+    """Few blocks at a time, places of many cells, a cell of many places, shells cut by bytes."""
+    for name, value in {"QUERIES": 7, "TURN": 2, "KEPT": 70, "PLACES": 3, "BLOCK_BYTES": 4 * 8 * 20, "BLOCK": 60}.items():
+        monkeypatch.setattr(cells, name, value)
+    x = np.round(np.random.default_rng(11).normal(size=(700, 4)), 1).astype(np.float32)  # with ties
+    df = frame(spark, np.vstack([x, x[:90]]))
+    index = cells.CellIndex.build(df, "id", "embedding", str(tmp_path / "i"), n)
+    assert max(r["n"] for r in index.shells.select("n").collect()) <= 20
+    assert int(index.parts.sum()) > 3 if n == 1 else len(set(index.place)) < len(index.ids)
+    asked = df.where("id < 'k00050' OR id >= 'k00750'")
+    for k in (1, 6, 1000):
+        assert rows(index.search_batch(asked, "id", k=k)) == rows(search.vector_search_batch(df, asked, "id", k=k))
+
+
 def test_of_little(spark, tmp_path):
     one = frame(spark, np.array([[1.0, 2.0]], np.float32))
     index = cells.CellIndex.build(one, "id", "embedding", str(tmp_path / "one"))
