@@ -91,6 +91,7 @@ class CellIndex:
         self.ids = np.array(sorted(known), np.int64)
         self.centres = np.array([known[c]["centre"] for c in self.ids])
         self.n, self.low, self.high = (np.array([known[c][f] for c in self.ids], float) for f in ("n", "low", "high"))
+        self.pieces = np.array([known[c]["shells"] for c in self.ids], np.int64)
         self.kind = self.shells.schema["keys"].dataType.elementType.simpleString()
         self.dims = self.centres.shape[1] if len(self.ids) else -1
         self.place, self.parts = self._deal()
@@ -105,7 +106,7 @@ class CellIndex:
             take = order[: max(1, np.searchsorted(self.n[order].cumsum(), room, "right"))]
             place[take], left[take] = at, False
             if take.size == 1:
-                parts[take] = -(-self.n[take] // max(room, BLOCK))
+                parts[take] = np.minimum(self.pieces[take], -(-self.n[take] // room))
             at += parts[take[0]]
         return place, parts
 
@@ -159,7 +160,7 @@ class CellIndex:
         stored = dealt.mapInArrow(pack, f"cell int, n int, low double, high double, keys array<{kind}>, vals binary")
         stored.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/shells")
         schema = stored.schema
-        found = spark.read.schema(schema).parquet(f"{path}/shells").groupBy("cell").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+        found = spark.read.schema(schema).parquet(f"{path}/shells").groupBy("cell").agg(F.sum("n").alias("n"), F.count("*").alias("shells"), F.min("low").alias("low"), F.max("high").alias("high"))
         places = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>")
         found.join(F.broadcast(places), "cell").write.mode("overwrite").parquet(f"{path}/cells")
         if not total:
